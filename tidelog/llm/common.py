@@ -27,15 +27,20 @@ def chunks(batches: Iterator, column: str, max_bytes: int = 4 << 20) -> Iterator
             at = to
 
 
-def worker_cache(name: str, make: Callable):
-    """An object that outlives a task in a Python worker that Spark reuses; only caches and loaded files live here."""
+def worker_cache(name: str, make: Callable, version: str = ""):
+    """An object that outlives a task in a Python worker that Spark reuses, until another version of it is asked for.
+
+    Only caches and loaded files live here: no result depends on what is found.
+    """
     import sys
     import types
 
     home = sys.modules.setdefault("_tidelog_worker_cache", types.ModuleType("_tidelog_worker_cache"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    held = getattr(home, name, None)
+    if held is None or held[0] != version:
+        held = (version, make())
+        setattr(home, name, held)
+    return held[1]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,9 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: written once as a table in the shared folder, and read from there."""
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

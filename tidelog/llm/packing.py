@@ -80,7 +80,7 @@ def _pack(path: str, capacity: int, least: int, end: bytes):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = worker_cache(f"encoder_{path}", lambda: Encoder(path))
+        encoder = worker_cache("encoder", lambda: Encoder(path), path)
         context = TaskContext.get()
         serial = (context.partitionId() if context else 0) << 40
         open_bins: dict[int, list] = {}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontam, packing, simhash
+from tidelog.llm import decontam, jpeg, langid, packing, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_warc": warc.op2_warc,
+    "op4_media": jpeg.op4_media,
+    "op7_langid": langid.op7_langid,
     "op9_decontam": decontam.op9_decontam,
     "op10_packing": packing.op10_packing,
 }
@@ -25,4 +28,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
 """
 
-ORACLES = {"op9_decontam": DECONTAM_SQL}
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+bits AS (SELECT DISTINCT h, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', h[i]) - 1), 4, '0')), 'string_agg', '') AS b FROM p),
+b32 AS (SELECT h, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(1, 6), lambda j: CASE WHEN substr(b, 5 * i + j, 1) = '1' THEN CAST(pow(2, 5 - j) AS INT) ELSE 0 END)) AS INT) + 1, 1)), 'string_agg', '') AS d FROM bits)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN g USING (h) JOIN b32 USING (h)
+"""
+
+ORACLES = {"op2_warc": WARC_SQL, "op9_decontam": DECONTAM_SQL}
