@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontam, jpeg, langid, packing, simhash, warc
+from tidelog.llm import decontam, html_extract, jpeg, langid, packing, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_warc": warc.op2_warc,
+    "op3_html": html_extract.op3_html,
     "op4_media": jpeg.op4_media,
     "op7_langid": langid.op7_langid,
     "op9_decontam": decontam.op9_decontam,
