@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontam, html_extract, jpeg, langid, packing, simhash, warc
+from tidelog.llm import decontam, html_extract, jpeg, langid, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_warc": warc.op2_warc,
     "op3_html": html_extract.op3_html,
     "op4_media": jpeg.op4_media,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_langid": langid.op7_langid,
+    "op8_quality": quality.op8_quality,
     "op9_decontam": decontam.op9_decontam,
     "op10_packing": packing.op10_packing,
 }
