@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontam, html_extract, jpeg, langid, packing, quality, simhash, toxicity, warc
+from tidelog.llm import decontam, html_extract, jpeg, langid, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html": html_extract.op3_html,
     "op4_media": jpeg.op4_media,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_pii": pii.op6_pii,
     "op7_langid": langid.op7_langid,
     "op8_quality": quality.op8_quality,
     "op9_decontam": decontam.op9_decontam,
