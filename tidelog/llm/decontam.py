@@ -60,14 +60,19 @@ def _position(fingerprint: Column) -> Column:
     return (F.lit(_POSITIONS) - fingerprint.bitwiseAND(F.lit(_POSITIONS))).cast("int")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5) -> DataFrame:
-    """(doc_id, k1, k2, n_words, n_hit, n_items, items_sha256): one row per row of docs; k1, k2 name id and text."""
+def _names(id_: Column, text: Column) -> list[Column]:
+    """128 bits that name an id together with its text."""
+    return [F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, F.lit(1), id_).alias("k2")]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+    """(k1, k2, n_hit, n_items, items_sha256) of the documents that hold a window; k1, k2 name id and text. Broadcast if it is small."""
     id_, text = F.col(id_col), F.col(text_col)
-    name = [F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, F.lit(1), id_).alias("k2")]
+    name = _names(id_, text)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("iw")).where(F.size("iw") > 0).distinct()
     items = cut(items.withColumn("span", F.least(F.size("iw"), F.lit(window))))
     lengths = sorted(r["span"] for r in items.select("span").distinct().collect())  # at most `window` values
-    hits = None
+    every = None
     for length in lengths:
         gram = min(k, length) if length == window else length
         own = items.where(F.col("span") == length)
@@ -78,27 +83,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         marks = let(words_of(text), _marks(gram, length - gram + 1))
         found = docs.select(*name, F.explode(marks).alias("f")).select("k1", "k2", _position(F.col("f")).alias("p"), _hash_of(F.col("f")).alias("h"))
         found = found.join(index, "h").select("k1", "k2", "item", (F.col("p") - F.col("q")).alias("diagonal"))
-        hits = found if hits is None else hits.unionByName(found)
+        every = found if every is None else every.unionByName(found)
     rows = docs.select(*name, text.alias("text"))
-    if hits is None:
-        verdict = docs.sparkSession.createDataFrame([], "k1 long, k2 long, n_hit long, n_items long, items_sha256 string")
-    else:
-        hits = hits.distinct().join(items, "item")
-        hits = cut(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "diagonal", "iw", "span")).alias("hits")))
-        weight = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + F.size(x["iw"]) * 16 + 64)
-        if (hits.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_BYTES:
-            hits = F.broadcast(hits)
-        checked = rows.join(hits, ["k1", "k2"]).select("k1", "k2", let(words_of(F.col("text")), _extended).alias("runs"))
-        verdict = checked.groupBy("k1", "k2").agg(F.first("runs").alias("runs")).where(F.size("runs") > 0)
-        covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.flatten(F.transform(r["starts"], lambda s: F.sequence(s, s + r["span"] - 1))))))
-        names = F.sort_array(F.array_distinct(F.transform("runs", lambda r: r["item"])))
-        verdict = cut(verdict.select("k1", "k2", F.size(covered).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256")))
-        if verdict.count() <= BROADCAST_ROWS // 4:
-            verdict = F.broadcast(verdict)
-    base = docs.select(id_.alias("doc_id"), *name, F.size(words_of(text)).cast("long").alias("n_words"))
-    out = base.join(verdict, ["k1", "k2"], "left")
+    if every is None:
+        return docs.sparkSession.createDataFrame([], "k1 long, k2 long, n_hit long, n_items long, items_sha256 string")
+    every = every.distinct().join(items, "item")
+    every = cut(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "diagonal", "iw", "span")).alias("hits")))
+    weight = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + F.size(x["iw"]) * 16 + 64)
+    if (every.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_BYTES:
+        every = F.broadcast(every)
+    checked = rows.join(every, ["k1", "k2"]).select("k1", "k2", let(words_of(F.col("text")), _extended).alias("runs"))
+    verdict = checked.groupBy("k1", "k2").agg(F.first("runs").alias("runs")).where(F.size("runs") > 0)
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.flatten(F.transform(r["starts"], lambda s: F.sequence(s, s + r["span"] - 1))))))
+    names = F.sort_array(F.array_distinct(F.transform("runs", lambda r: r["item"])))
+    verdict = cut(verdict.select("k1", "k2", F.size(covered).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256")))
+    return F.broadcast(verdict) if verdict.count() <= BROADCAST_ROWS // 4 else verdict
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256): one row per row of docs. options: those of hits()."""
+    id_, text = F.col(id_col), F.col(text_col)
+    found = hits(docs, benchmark, id_col, text_col, **options)
+    base = docs.select(id_.alias("doc_id"), *_names(id_, text), F.size(words_of(text)).cast("long").alias("n_words"))
+    out = base.join(found, ["k1", "k2"], "left")
     none = F.sha2(F.lit(""), 256)
-    return out.select("doc_id", "k1", "k2", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", none).alias("items_sha256"))
+    return out.select("doc_id", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", none).alias("items_sha256"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that hold a window of benchmark."""
+    found = hits(docs, benchmark, id_col, text_col, **options).select(F.struct("k1", "k2").alias("_name"))
+    return docs.withColumn("_name", F.struct(*_names(F.col(id_col), F.col(text_col)))).join(found, "_name", "left_anti").select(*docs.columns)
 
 
 def _marks(gram: int, span: int):

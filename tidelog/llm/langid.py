@@ -252,6 +252,26 @@ def identify(rows: DataFrame, models: Models) -> DataFrame:
     return rows.mapInArrow(_predict(models, uuid.uuid4().hex), f"{schema}, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 
+def _accept(models: Models, version: str, column: str):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        cache = worker_cache("langid", dict, version)
+        for part in chunks(batches, column, 2 << 20):
+            accepted = models.predict(part.column(column).to_pylist(), cache)[3]
+            yield part.filter(pa.array(accepted))
+
+    return run
+
+
+def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """docs without those that language identification rejects."""
+    import uuid
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_accept(models, uuid.uuid4().hex, text_col), schema)
+
+
 def op7_langid(spark, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -438,6 +438,40 @@ def find_spans(rows: DataFrame, tagger: Tagger | None) -> DataFrame:
     return rows.mapInArrow(_find(tagger), f"{schema}, {SPANS}")
 
 
+def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """text with every span (or run of spans that overlap) replaced by the kind of its first in brackets."""
+    out, at = [], 0
+    for a, b, kind in sorted(spans):
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    out.append(text[at:])
+    return "".join(out)
+
+
+def _mask(tagger: Tagger | None, column: str):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in chunks(batches, column, 4 << 20):
+            texts = part.column(column).to_pylist()
+            some = [i for i, t in enumerate(texts) if t and TRIGGER.search(t)]
+            base = [base_spans(texts[i]) for i in some]
+            more = tagger.added([texts[i] for i in some], base) if tagger and some else [[]] * len(some)
+            for i, own, add in zip(some, base, more):
+                texts[i] = mask(texts[i], own + add)
+            at = part.schema.get_field_index(column)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(part.num_columns)], names=part.schema.names)
+
+    return run
+
+
+def masked(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
+    """docs, their texts without personal data."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_mask(tagger, text_col), schema)
+
+
 def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

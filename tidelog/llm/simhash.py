@@ -163,6 +163,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(table, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each component of near duplicates: that with the smallest id. options: those of near_duplicates()."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    keep = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")))
+    rows = docs.join(keep.distinct(), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    if keep.count() != keep.distinct().count():  # ids that repeat
+        rows = rows.dropDuplicates([id_col])
+    return rows
+
+
 def hex_fingerprint(fp: str | Column = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
