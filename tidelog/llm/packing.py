@@ -31,27 +31,62 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[str, int]:
+    """Byte-level BPE files write a byte as a letter: printable ones as they are, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """A byte-level BPE file's tokens as bytes with their ids, if the ids are the order of the merges; else None."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary, letters = model["vocab"], _byte_letters()
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [vocabulary.get(a + b) for a, b in pairs]
+    singles = [vocabulary.get(c) for c in letters]
+    if None in ids or None in singles or ids != sorted(set(ids)) or max(singles) > min(ids):
+        return None
+    return {bytes(letters[c] for c in token): vocabulary[token] for token in [*letters, *(a + b for a, b in pairs)]}
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, for byte-level BPE whose words begin at a space.
 
     Such a tokenizer never joins characters across a space that follows a character which isn't white space and precedes
-    one which isn't: a text without white space after a space, or at its end after white space, is the concatenation of
-    its space-led words. Their ids are kept by word (a cache of at most `most` words, emptied when full); any other text goes
-    through the tokenizer whole.
+    one which isn't: a text without white space after a space, and without a space at its end, is the concatenation of
+    its space-led words. Their ids are kept by word (a cache of at most `most` words, emptied when full). New words are encoded
+    together by the same merges in one string, and cut where words end; any other text goes through the tokenizer whole.
     """
 
+    # The fixed pattern of this kind of byte-level BPE.
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
     def __init__(self, path: str, most: int = 300_000):
         import os
         import re
 
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
-        self.inner: dict[str, bytes] = {}
-        self.joined = re.compile(r" \s").search
+        self.known: dict[str, bytes] = {}
+        self.spaced = re.compile(r" \s").search
+        self.merges = None
+        if ranks := ranks_of(path):
+            import tiktoken
+
+            self.merges = tiktoken.Encoding("merges", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+            for token, i in ranks.items():
+                self.sizes[i] = len(token)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -59,18 +94,34 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        import numpy as np
+
+        if not words:
+            return []
+        if self.merges is None:
+            return self.whole([" " + w for w in words])
+        ids = np.array(self.merges.encode_ordinary(" " + " ".join(words)), dtype="<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        at = np.searchsorted(ends, wanted)
+        if at[-1] >= len(ends) or (ends[at] != wanted).any():
+            return self.whole([" " + w for w in words])
+        raw, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text. Words that aren't known yet are tokenized together."""
-        plain = [bool(t) and not self.joined(t) and not (t[-1] == " ") for t in texts]
-        words = [t.split(" ") if p else None for t, p in zip(texts, plain)]
-        known = self.inner
+        """The ids of every text. Words that aren't known yet are encoded together."""
+        known = self.known
         if len(known) > self.most:
             known.clear()
-        new = list(dict.fromkeys(w for ws in words if ws for w in ws[1:] if w not in known))
-        known.update(zip(new, self.whole([" " + w for w in new])))
-        firsts = self.whole([ws[0] if ws else t for ws, t in zip(words, texts)])
+        words = [t.split(" ") if t and t[0] != " " and t[-1] != " " and not self.spaced(t) else None for t in texts]
+        new = list({w for ws in words if ws for w in ws[1:] if w not in known})
+        known.update(zip(new, self.together(new)))
+        firsts = iter(self.whole([ws[0] if ws else t for ws, t in zip(words, texts)]))
         get = known.__getitem__
-        return [first + b"".join(map(get, ws[1:])) if ws else first for first, ws in zip(firsts, words)]
+        return [b"".join((first, *map(get, ws[1:]))) if ws else first for ws, first in zip(words, firsts)]
 
 
 def _pack(path: str, capacity: int, least: int, end: bytes):
