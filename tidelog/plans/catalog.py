@@ -1,4 +1,324 @@
-"""Every query of the engine by name, with the SQL that gives the same rows where plain SQL can."""
+"""Every query of the engine by name: (spark, folder of tables) -> DataFrame. The SQL beside it is in oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidelog.functions.hashing import record_digest, shard_jump, shard_modulo
+from tidelog.operators import bench, history, metadata, predicates, projections, queues, reads
+from tidelog.plans.oracles import ORACLES  # noqa: F401
+from tidelog.sources import views as v
+from tidelog.streaming import queries as live
+
+NOW = v.NOW_MS
+TIMES = [1704067200000000 + i * 3 * 86400000000 for i in range(12)]  # every third day from 2024-01-01
+FILTERS = [("#", 0), ("+/en/#", 1), ("+/fr/+", 2), ("m.+/#", 1), ("+/de/#", 1), ("$sys/#", 2), ("www.example.com/+", 2), ("+/+/1", 2)]
+RESERVED = "sys."
+
+
+def _marks(spark, d):
+    kind = F.when(F.col("shard") == 0, "unbounded").when(F.col("shard") == 3, "refused").when(F.col("stream") == "error", "settling").otherwise("committed")
+    return v.tails(spark, d).select("stream", "shard", kind.alias("kind"), F.floor(F.col("tail") * 9 / 10).cast("long").alias("mark"))
+
+
+def _pieces(spark, d):
+    rows = v.log(spark, d).withColumn("position", (F.col("offset") % 3).cast("int")).withColumn("len", F.lit(3)).withColumn("batch", F.col("offset") - F.col("position"))
+    return rows.where("event_id % 17 <> 0").select("stream", "shard", "offset", "batch", "position", "len")
+
+
+def _mounts(spark, d):
+    t = v.topics(spark, d)
+    tenant = F.concat(F.lit("t"), (F.length("host") % 3).cast("string")).alias("tenant")
+    hosts = t.select(tenant, F.concat("host", F.lit("/")).alias("prefix"), F.concat(F.lit("host-"), "host").alias("stream"))
+    return hosts.unionByName(t.where("section <> ''").select(tenant, F.concat("host", F.lit("/"), "section").alias("prefix"), F.concat(F.lit("lang-"), "section").alias("stream"))).distinct()
+
+
+def _headers(spark, d):
+    h = lambda n, c: F.struct(F.lit(n).alias("name"), c.cast("string").alias("value"))
+    base = F.array(h("type", F.col("event_type")), h("user", F.col("user_id")), h("type", F.concat(F.lit("again-"), "event_type")))
+    return v.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.array_append(base, h("sys.trace", F.col("event_id")))).otherwise(base).alias("headers"))
+
+
+def _attempts(spark, d):
+    rows = v.log(spark, d)
+    expected = F.when(F.col("event_id") % 5 != 0, F.col("offset") - F.floor(F.col("offset") / 7)).cast("long")
+    return rows.select("stream", "shard", F.col("event_id").alias("arrival"), expected.alias("expected"), F.lit(1).alias("records"))
+
+
+def _cas(spark, d):
+    rows = v.cache_ops(spark, d)
+    expected = F.when(F.col("offset") % 3 == 0, F.lit(None)).otherwise(F.col("offset") - F.col("offset") % 50).cast("long")
+    return rows.select("shard", "key", "offset", "ts_ms", "op", "expires_at_millis", expected.alias("expected"))
+
+
+def _group_ops(spark, d):
+    kinds = ["advance"] * 8 + ["dead_letter"] * 3 + ["claim"] * 4 + ["redrive", "finish_redrive", "discard", "seek", "delete"]
+    op = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("event_id") % 20 + 1).cast("int"))
+    rows = v.log(spark, d).where("stream = 'click' OR stream = 'view'")
+    return rows.select("shard", F.col("event_id").alias("idx"), F.col("stream").alias("grp"), op.alias("op"), (F.col("offset") * 3 / 4).cast("long").alias("to"), F.col("offset").alias("target"), F.lit(0).cast("long").alias("cre"), (1 + F.col("event_id") % 6).cast("int").alias("attempts"))
+
+
+def _group_writes(spark, d):
+    return _group_ops(spark, d).where("op IN ('advance', 'seek') AND (op = 'advance' OR idx % 40 = 18)")
+
+
+def _final(spark, d):
+    h = v.history(spark, d).where("(stream = 'click' OR stream = 'view')")
+    held = h.where("value % 97 <> 0 AND (outcome <> 'fail' OR value % 40 = 0)").select("stream", "shard", "offset", "value")
+    again = h.where("value % 101 = 0").select("stream", "shard", (F.col("offset") + 1000000).alias("offset"), "value")
+    ghost = h.where("value % 211 = 0").select("stream", "shard", (F.col("offset") + 2000000).alias("offset"), (-F.col("value")).alias("value"))
+    return held.unionByName(again).unionByName(ghost)
+
+
+def _set_rules(spark, d):
+    h = v.history(spark, d).where("(stream = 'click' OR stream = 'view')")
+    reads_ = h.select("stream", "shard", "offset", (F.col("value") + (F.col("value") % 151 == 0).cast("int")).alias("value"))
+    got = h.where("value % 61 <> 0").select(F.concat_ws("/", "stream", "shard").alias("sub"), "stream", "shard", F.col("value").alias("arrival"), (F.col("offset") - 5 * (F.col("value") % 131 == 0).cast("int")).alias("offset"), "value", (F.col("value") % 2).alias("skipped_before"))
+    leaders = v.log(spark, d).select("stream", "shard", F.floor(F.col("offset") / 50).alias("generation"), F.when(F.col("event_id") % 499 == 0, "n9").otherwise(F.concat(F.lit("n"), "shard")).alias("node"))
+    return history.set_rules(h, _final(spark, d), reads_, got, leaders)
+
+
+def _realtime(spark, d):
+    ops = v.history(spark, d).where("outcome = 'ok'").withColumn("offset", F.col("offset") + 30 * (F.col("value") % 37 == 0).cast("int"))
+    return history.realtime_order(ops)
+
+
+def _puts_gets(spark, d):
+    rows = v.log(spark, d)
+    puts = rows.where("event_id % 3 <> 0").select("key", F.col("event_id").alias("put"), F.col("ts_us").alias("invoke"), (F.col("ts_us") + F.col("cents") * 1000).alias("complete"), (F.col("event_id") % 10 != 1).alias("acked"))
+    seen = F.when(F.col("event_id") % 4 == 0, F.lit(None)).otherwise(F.col("event_id") - 1 - F.col("event_id") % 7)
+    gets = rows.where("event_id % 3 = 0").select("key", F.col("event_id").alias("get"), F.col("ts_us").alias("invoke"), (F.col("ts_us") + 1000).alias("complete"), seen.alias("seen"))
+    return puts, gets
+
+
+def _stale(spark, d):
+    puts, gets = _puts_gets(spark, d)
+    prior = puts.select("key", F.col("put").alias("p"))
+    # a get sees the put of its own key that is nearest below the number drawn for it
+    gets = gets.join(prior, "key", "left").groupBy("key", "get", "invoke", "complete").agg(F.max(F.when(F.col("p") <= F.col("seen"), F.col("p"))).alias("seen"))
+    return history.stale_gets(puts, gets)
+
+
+def _edges(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = v.table(spark, d, "events").select("event_id", F.lead("event_id").over(order).alias("next"), F.lag("event_id", 2).over(order).alias("back"))
+    forward = rows.where("next IS NOT NULL").select(F.col("event_id").alias("a"), F.col("next").alias("b"))
+    return forward.unionByName(rows.where("event_id % 50 = 0 AND back IS NOT NULL").select(F.col("event_id").alias("a"), F.col("back").alias("b"))).distinct()
+
+
+def _registers(spark, d):
+    rows = v.log(spark, d)
+    action = F.when(F.col("event_id") % 3 == 0, "get").when(F.col("event_id") % 31 == 0, "delete").otherwise("put")
+    value = F.when(F.col("event_id") % 3 == 0, F.lag("event_id").over(_by_key()))
+    return rows.select("key", F.col("ts_us").alias("invoke"), (F.col("ts_us") + F.col("cents") * 10000).alias("complete"), action.alias("action"), F.when(action == "get", value).when(action == "put", F.col("event_id")).alias("value"), F.when(F.col("event_id") % 41 == 0, "info").otherwise("ok").alias("outcome"))
+
+
+def _by_key():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("key").orderBy("ts_us")
+
+
+def _ledger(spark, d):
+    e = v.table(spark, d, "events")
+    writes = e.select(F.col("event_id").alias("key"), F.when(F.col("event_id") % 13 == 0, "refused").when(F.col("event_id") % 13 == 1, "in_doubt").otherwise("acked").alias("outcome"))
+    seen = e.where("event_id % 29 <> 0 AND (event_id % 13 <> 0 OR event_id % 26 = 0)").select(F.explode(F.when(F.col("event_id") % 31 == 0, F.array("event_id", "event_id")).otherwise(F.array("event_id"))).alias("key"))
+    return history.ledger_verdict(writes, seen.unionByName(e.where("event_id % 500 = 0").select((-1 - F.col("event_id")).alias("key"))))
+
+
+def _divergence(spark, d):
+    ops = v.cache_ops(spark, d)
+    latest = lambda rows: projections.latest(rows).select("key", "value")
+    return history.divergence(latest(ops), latest(ops.where("offset % 9 <> 0")))
+
+
+def _stalls(spark, d):
+    ops = v.log(spark, d).select("stream", "shard", F.col("ts_us").alias("begin"), (F.col("ts_us") + F.col("cents") * 100).alias("acked_at"))
+    return history.stalls(ops, 500000)
+
+
+def _runs(spark, d):
+    rows = v.log(spark, d)
+    return rows.select(F.col("stream").alias("workload"), (F.col("user_id") % 5).cast("int").alias("size"), "cents", (F.col("event_id") % 19 == 0).alias("failed"), F.floor(F.col("ts_us") / 86400000000).cast("long").alias("session"), "ts_us", (F.col("user_id") % 2 == 1).alias("candidate"))
+
+
+def _rounds(spark, d):
+    rows = _runs(spark, d).withColumn("round", F.col("session") % 12)
+    side = lambda c: F.expr(f"percentile(CASE WHEN {c} THEN cents END, 0.5)")
+    return rows.groupBy(F.col("workload").alias("cell"), "round").agg(side("NOT candidate").alias("baseline"), side("candidate").alias("candidate"))
+
+
+def _streams(spark, d):
+    t = v.log(spark, d).groupBy("tenant", "stream").agg((F.max("shard") + 1).alias("shards"), F.count(F.lit(1)).alias("n"))
+    return t.withColumn("durable", F.col("n") % 2 == 0).withColumn("consistency", F.when(F.col("n") % 3 == 0, "quorum").otherwise("leader")).withColumn("retention_bytes", F.when(F.col("n") % 5 != 0, F.col("n") - F.col("n") % 4 * 1000)).withColumn("retention_ms", F.lit(None).cast("long"))
+
+
+def _readers(spark, d):
+    return v.log(spark, d).where("event_id % 3 = 0").select(F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("principal"), "tenant", "stream").distinct()
+
+
+def _states(spark, d):
+    kinds = F.array(*(F.lit(s) for s in ("live", "draining", "down", "live", "left")))
+    return v.table(spark, d, "events").select(F.concat(F.lit("node-"), (F.col("user_id") % 20).cast("string")).alias("node"), F.col("event_id").alias("seq"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("state"))
+
+
+def _incarnations(spark, d):
+    o = v.table(spark, d, "orders")
+    name = F.concat(F.lit("s-"), F.col("o_custkey").cast("string")).alias("name")
+    return o.select(name, F.col("o_orderkey").alias("incarnation")), o.where("o_orderstatus = 'F'").select(name, F.col("o_orderkey").alias("deleted_through"))
+
+
+def _resolution(spark, d):
+    t = v.tails(spark, d).withColumn("n", F.length("stream") + F.col("shard"))
+    wanted = t.select("stream", "shard", F.when(F.col("n") % 2 == 0, F.lit(3)).alias("wanted"))
+    routes = t.where("n % 5 <> 0").select("stream", "shard", F.concat(F.lit("node-"), (F.col("n") % 4 * 30).cast("string")).alias("leader"), (F.col("n") % 3 + 2).cast("int").alias("generation"))
+    states = v.nodes(spark, d).select("node", F.when(F.col("s_suppkey") % 2 == 0, "live").otherwise("down").alias("state"))
+    return metadata.resolve(wanted, routes, states, "node-30")
+
+
+def _grants(spark, d):
+    c = v.table(spark, d, "customer").where("c_custkey < 200")
+    action = F.element_at(F.array(*(F.lit(a) for a in ("stream.subscribe", "stream.manage", "stream.publish"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    pattern = F.when(F.col("c_custkey") % 11 == 0, "cluster:*").when(F.col("c_custkey") % 7 == 0, "*").otherwise(F.concat(F.lit("stream:t"), (F.col("c_custkey") % 3).cast("string"), F.lit("/*/"), F.substring("c_mktsegment", 1, 1), F.lit("*")))
+    return c.select(F.concat(F.lit("p"), (F.col("c_custkey") % 20).cast("string")).alias("principal"), action.alias("action"), pattern.alias("pattern"))
+
+
+def _requests(spark, d):
+    c = v.table(spark, d, "customer")
+    action = F.element_at(F.array(*(F.lit(a) for a in ("stream.subscribe", "group.consume", "stream.trim", "stream.publish"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    resource = F.when(F.col("c_custkey") % 13 == 0, "cluster:nodes").otherwise(F.concat(F.lit("stream:t"), (F.col("c_custkey") % 3).cast("string"), F.lit("/n.s/"), "c_mktsegment"))
+    return c.select(F.concat(F.lit("p"), (F.col("c_nationkey") % 20).cast("string")).alias("principal"), action.alias("action"), resource.alias("resource")).distinct()
+
+
+def _scoped(spark, d):
+    c = v.table(spark, d, "customer")
+    principal = F.concat(F.lit("p"), (F.col("c_custkey") % 20).cast("string")).alias("principal")
+    tail = F.when(F.col("c_custkey") % 3 == 0, "*").when(F.col("c_custkey") % 3 == 1, "user/*").otherwise(F.concat(F.lit("user/"), F.col("c_custkey").cast("string")))
+    pattern = F.concat(F.lit("t"), (F.col("c_custkey") % 3).cast("string"), F.lit("/d*/"), F.substring("c_mktsegment", 1, 2), F.lit("*/"), tail)
+    grants = c.where("c_custkey < 100").select(principal, pattern.alias("pattern"), F.when(F.col("c_custkey") == 7, "g").alias("grp"))
+    resource = F.concat(F.lit("t"), (F.col("c_nationkey") % 3).cast("string"), F.lit("/default/"), "c_mktsegment", F.lit("/user/"), F.col("c_custkey").cast("string"))
+    return predicates.scoped_granted(c.select(principal, resource.alias("resource")), grants)
+
+
+def _regions(spark, d):
+    pairs = v.table(spark, d, "customer").select((F.col("c_nationkey") % 5).alias("src"), (F.col("c_custkey") % 5).cast("int").alias("dst"), "c_custkey")
+    bridges = v.table(spark, d, "nation").where("n_nationkey % 5 <> n_regionkey").select((F.col("n_nationkey") % 5).alias("src"), F.col("n_regionkey").alias("dst")).distinct()
+    return predicates.bridged(pairs, bridges)
+
+
+def _changes(spark, d):
+    return v.table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("key"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("put").alias("op"))
+
+
+def _assign(spark, d):
+    rows = v.log(spark, d)
+    before = rows.where("event_id % 10 <> 3").groupBy("stream", "shard").agg(F.count(F.lit(1)).alias("tail"))
+    return reads.assign_offsets(rows.where("event_id % 10 = 3").select("stream", "shard", "event_id", "payload"), before, ["event_id"])
+
+
+def _leases(spark, d):
+    rows = v.cache_ops(spark, d)
+    return rows.select(F.concat(F.lit("lease-"), F.substring("key", 6, 1)).alias("lease"), F.col("key").alias("holder"), (F.col("offset") * 4 + F.col("shard")).alias("offset"), "ts_ms", F.lit(6 * 3600000).cast("long").alias("ttl_ms"))
+
+
+def _claims(spark, d):
+    rows = v.log(spark, d).where("stream = 'click'")
+    event = F.element_at(F.array(*(F.lit(e) for e in ("poll", "poll", "ack", "poll", "nack", "extend"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return rows.select("stream", "shard", F.floor(F.col("ts_us") / 1000).cast("long").alias("at_ms"), event.alias("event"), (F.col("offset") % 20).alias("offset"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("consumer"), F.lit(60000).cast("long").alias("delay_ms"))
+
+
+def _windowed(spark, d, window, keys):
+    rows = v.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return live.windows(rows, window, keys)
+
+
+def _shards(spark, d):
+    return v.log(spark, d).select("tenant", "namespace", "stream", "shard").distinct()
+
+
+LOG_COLUMNS = ["tenant", "stream", "shard", "offset", "ts_us", "key", "payload"]
+
+QUERIES = {
+    "q01_log_scan": lambda s, d: v.log(s, d).where("stream = 'view' AND shard = 1").select(LOG_COLUMNS),
+    "q02_range_page": lambda s, d: reads.range_page(v.log(s, d), 5, 300, 50, 400).select("stream", "shard", "offset", "payload", "next_offset"),
+    "q03_start_positions": lambda s, d: reads.start_positions(v.log(s, d), 10),
+    "q04_offset_for_time": lambda s, d: reads.offset_for_time(v.log(s, d), TIMES),
+    "q05_list_offsets": lambda s, d: reads.list_offsets(v.log(s, d)),
+    "q06_data_records": lambda s, d: reads.data_records(v.log(s, d).where("stream = 'error'")).select("shard", "offset", "payload", "skipped_before"),
+    "q07_sharded_merge": lambda s, d: reads.resume_vector(reads.merged([v.log(s, d).where(F.col("shard") == k) for k in range(4)])),
+    "q08_records_around": lambda s, d: reads.records_around(v.log(s, d), 10, 3, 5).select("stream", "shard", "offset", "payload"),
+    "q09_gap_report": lambda s, d: reads.gap_report(v.turns(s, d)),
+    "q10_segment_report": lambda s, d: reads.segment_report(v.log(s, d)),
+    "q11_assign_offsets": _assign,
+    "q12_topic_match": lambda s, d: predicates.topic_match(v.topics(s, d).select("page_id", "topic"), FILTERS),
+    "q13_route_modulo": lambda s, d: v.log(s, d).select("event_id", "key", shard_modulo(F.col("key"), 4).alias("routed")),
+    "q13b_route_jump": lambda s, d: v.log(s, d).select("event_id", "key", shard_jump(F.col("key"), 4).alias("routed")),
+    "q14_header_filter": lambda s, d: predicates.header_view(_headers(s, d), RESERVED).select("event_id", "refused", "view"),
+    "q15_conditional_publish": lambda s, d: queues.conditional_publish(_attempts(s, d)),
+    "q16_committed_visible": lambda s, d: reads.committed_visible(v.log(s, d), _marks(s, d)).groupBy("stream", "shard").agg(F.count(F.lit(1)).alias("visible"), F.max("offset").alias("last")),
+    "q17_mount_longest_prefix": lambda s, d: predicates.longest_mount(v.topics(s, d).select("page_id", "topic"), _mounts(s, d).select("prefix", "stream").distinct()),
+    "q18_conditional_batches": lambda s, d: reads.conditional_batches(_pieces(s, d)),
+    "q19_quorum_offset": lambda s, d: queues.quorum_offsets(v.replicas(s, d)),
+    "q20_cache_latest": lambda s, d: projections.cache_latest(v.cache_ops(s, d), NOW),
+    "q21_prefix_watch": lambda s, d: projections.prefix_watch(v.cache_ops(s, d), "user-1", 200, NOW),
+    "q22_cache_cas": lambda s, d: projections.cache_cas(_cas(s, d)),
+    "q24_commit_state": lambda s, d: projections.commit_state(v.commits(s, d)),
+    "q24b_commit_events": lambda s, d: projections.commit_events(v.commits(s, d)),
+    "q25_counter_sum": lambda s, d: projections.counter_sum(v.counter_ops(s, d)),
+    "q26_counter_running": lambda s, d: projections.counter_running(v.counter_ops(s, d)),
+    "q27_group_fold": lambda s, d: queues.group_fold(_group_ops(s, d)),
+    "q28_cursor_max": lambda s, d: queues.cursor_max(_group_writes(s, d)),
+    "q29_cursor_contiguous": lambda s, d: queues.cursor_contiguous(v.acks(s, d), 3),
+    "q30_idempotent_dedupe": lambda s, d: queues.idempotent_dedupe(v.producer(s, d)),
+    "q30b_per_record": lambda s, d: queues.idempotent_fold(v.producer(s, d), queues.WRAP),
+    "q30c_record_digest": lambda s, d: v.log(s, d).where("event_id % 10 = 0").select("event_id", record_digest(F.col("payload")).alias("digest")),
+    "q31_group_describe": lambda s, d: queues.group_describe(v.acks(s, d)),
+    "q31s_queue_claims": lambda s, d: queues.queue_claims(_claims(s, d), 3600000),
+    "q32_backup_point": lambda s, d: v.tails(s, d).select("stream", "shard", F.col("tail").alias("committed")),
+    "q33_trim_floor": lambda s, d: reads.trim_floor(v.log(s, d), v.log(s, d).where("mark_kind = 'trim'").select("stream", "shard", F.floor(F.col("offset") / 2).cast("long").alias("floor"))).select("stream", "shard", "offset", "key"),
+    "q34_compaction_survivors": lambda s, d: projections.compaction_survivors(v.cache_ops(s, d), 0),
+    "q35_compaction_due": lambda s, d: projections.compaction_due(v.cache_ops(s, d), 10000, 4),
+    "q36_retention_prefix": lambda s, d: reads.retention_prefix(reads.segment_report(v.log(s, d)), 4000, 12 * 86400000000, NOW * 1000).select("stream", "shard", "segment", "last_offset", "bytes"),
+    "q37_ring_tail": lambda s, d: reads.ring_tail(v.log(s, d), 300).select("stream", "shard", "offset", "payload"),
+    "q38_epoch_ranges": lambda s, d: reads.epoch_ranges(v.log(s, d), F.floor(F.col("offset") / 50).cast("long")),
+    "q39_producer_lru": lambda s, d: queues.producer_lru(v.producer(s, d), 10),
+    "q40_promote": lambda s, d: queues.promote(v.replicas(s, d)),
+    "q41_rendezvous": lambda s, d: queues.rendezvous(_shards(s, d), v.nodes(s, d).select("node", "zone")),
+    "q41b_bounded_placement": lambda s, d: queues.bounded_placement(_shards(s, d), v.nodes(s, d).select("node", "zone")),
+    "q42_tenant_delivery": lambda s, d: metadata.tenant_delivery(v.log(s, d).where("mark_kind = 'data'")),
+    "q43_subscriptions_page": lambda s, d: metadata.keyset_page(v.log(s, d).where("event_id % 3 = 0").select("tenant", "stream", "shard", F.col("event_id").alias("id"), "key").join(_streams(s, d).select("tenant", "stream", "consistency"), ["tenant", "stream"]), ["tenant", "stream", "shard", "id"], ["t1", "click", 1, 0], 25),
+    "q44_change_feed": lambda s, d: metadata.change_feed(_changes(s, d), 100, 50, 500),
+    "q45_keyset_page": lambda s, d: metadata.keyset_page(v.table(s, d, "customer").select("c_mktsegment", "c_custkey", "c_name"), ["c_mktsegment", "c_custkey"], ["BUILDING", 20], 40),
+    "q46_grants": lambda s, d: predicates.granted(_requests(s, d), _grants(s, d)),
+    "q47_scoped_grants": _scoped,
+    "q48_region_bridges": _regions,
+    "q49_mount_overlap": lambda s, d: predicates.mount_overlap(_mounts(s, d).select("tenant", "prefix").distinct()),
+    "q50_ledger_verdict": _ledger,
+    "q52_stalls": _stalls,
+    "q53_divergence": _divergence,
+    "q54_history_rules": _set_rules,
+    "q55_realtime_order": _realtime,
+    "q56_stale_get": _stale,
+    "q57_commit_atomicity": lambda s, d: history.commit_atomicity(v.commits(s, d).where("offset % 50 <> 0"), v.commits(s, d).where("offset % 51 <> 0 AND ops IS NOT NULL")),
+    "q58_cycles": lambda s, d: history.cycles(_edges(s, d), 4),
+    "q59_linearizable": lambda s, d: history.linearizable(_registers(s, d)),
+    "q60_bench_agg": lambda s, d: bench.bench_groups(_runs(s, d), ["workload", "size"], "cents"),
+    "q60b_latest_session": lambda s, d: bench.latest_session(_runs(s, d)).groupBy("session", "workload").agg(F.count(F.lit(1)).alias("n")),
+    "q61_percentile_definitions": lambda s, d: bench.percentile_definitions(_runs(s, d), "workload", "cents", 0.95),
+    "q62_paired_interval": lambda s, d: bench.paired_interval(_rounds(s, d)),
+    "q63_regression_verdict": lambda s, d: bench.regression_verdict(_runs(s, d), "workload", "candidate", "cents"),
+    "q64_metadata_lookup": lambda s, d: metadata.lookup(_streams(s, d), _readers(s, d)),
+    "q65_lifecycle_check": lambda s, d: metadata.lifecycle_faults(_states(s, d)),
+    "q66_incarnation_visible": lambda s, d: metadata.visible_incarnations(*_incarnations(s, d)),
+    "q67_shard_resolution": _resolution,
+    "q68_lease_holder": lambda s, d: projections.lease_holder(_leases(s, d), NOW),
+    "st1_stream_tail": lambda s, d: live.tail(s, d, "click"),
+    "st2_replay_then_live": lambda s, d: live.replay_then_live(s, d, v.table(s, d, "events").where("event_id % 3 = 0"), F.col("event_id") % 3 != 1),
+    "st3_stream_dedupe": lambda s, d: live.dedupe(s, d, "1 hour"),
+    "x1_tenant_rate": lambda s, d: queues.tenant_rate(v.log(s, d).select("tenant", F.col("ts_us").alias("at_us"), F.col("cents").alias("cost")), 2, 5000),
+    "e1_tumbling": lambda s, d: _windowed(s, d, F.window("ts", "6 hours"), ["event_type"]),
+    "e2_sliding": lambda s, d: _windowed(s, d, F.window("ts", "12 hours", "6 hours"), ["event_type"]),
+    "e3_session": lambda s, d: _windowed(s, d, F.session_window("ts", "2 hours"), ["user_id"]),
+}
