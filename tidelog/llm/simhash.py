@@ -23,7 +23,19 @@ from tidelog.llm.common import chunks, cut
 BITS = 64
 
 
-def _fingerprint_batches(shingle: int, seed: int):
+def mixed(hashes, table: int):
+    """The shingle hashes of another table of fingerprints: a bijection of 64 bits for each table, the identity for the first."""
+    import numpy as np
+
+    if not table:
+        return hashes
+    h = hashes + np.uint64((0x9E3779B97F4A7C15 * table) & ((1 << 64) - 1))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _fingerprint_batches(shingle: int, seed: int, tables: int, repeats: bool):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -32,7 +44,7 @@ def _fingerprint_batches(shingle: int, seed: int):
         digest = xxhash.xxh64_intdigest
         for part in chunks(batches, "text", 1 << 20):
             hashes, ends = [], []
-            counts = np.zeros((part.num_rows, BITS), np.int64)
+            counts = np.zeros((tables, part.num_rows, BITS), np.int64)
             spans = []
             for i, text in enumerate(part.column("text").to_pylist()):
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -42,27 +54,37 @@ def _fingerprint_batches(shingle: int, seed: int):
                 if len(words) <= shingle:
                     hashes.append(digest(b" ".join(words), seed))
                 else:
-                    hashes += [digest(b" ".join(w), seed) for w in zip(*(words[k:] for k in range(shingle)))]
+                    own = [digest(b" ".join(w), seed) for w in zip(*(words[k:] for k in range(shingle)))]
+                    hashes += own if repeats else set(own)
                 spans.append((i, start, len(hashes)))
             totals = np.ones(part.num_rows, np.int64)
             if hashes:
-                octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-                del hashes
+                hashes = np.array(hashes, dtype=np.uint64)
                 for i, a, b in spans:
                     totals[i] = b - a
-                    for at in range(a, b, 1 << 16):
-                        bits = np.unpackbits(octets[at : min(b, at + (1 << 16))], axis=1, bitorder="little")
-                        counts[i] += bits.sum(axis=0, dtype=np.uint32)
-            fp = np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                for t in range(tables):
+                    octets = mixed(hashes, t).astype("<u8").view(np.uint8).reshape(-1, 8)
+                    for i, a, b in spans:
+                        for at in range(a, b, 1 << 16):
+                            bits = np.unpackbits(octets[at : min(b, at + (1 << 16))], axis=1, bitorder="little")
+                            counts[t, i] += bits.sum(axis=0, dtype=np.uint32)
+            fps = [np.packbits(c * 2 > totals[:, None], axis=1, bitorder="little").view("<i8").reshape(-1) for c in counts]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, fps)], names=["doc_id", *_names(tables)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the SimHash of each row's word shingles as a signed 64-bit number."""
+def _names(tables: int) -> list[str]:
+    return ["fp", *(f"fp{t}" for t in range(2, tables + 1))]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, tables: int = 1, repeats: bool = True) -> DataFrame:
+    """(doc_id, fp, fp2, ...): SimHashes of each row's word shingles as signed 64-bit numbers, one for each table.
+
+    Without repeats a shingle counts once, however often it occurs.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches(shingle, seed), "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprint_batches(shingle, seed, tables, repeats), "doc_id long, " + ", ".join(f"{n} long" for n in _names(tables)))
 
 
 def _segments(m: int) -> list[tuple[int, int]]:
@@ -149,18 +171,36 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 2, segments: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id, n_links): one row per row of docs; component_id is the smallest id reachable over links."""
-    rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = cut(pigeonring_links(groups.select("fp"), max_distance, segments).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _node(table: int):
+    return lambda fp: F.xxhash64(F.lit(table), fp)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 2, segments: int = 3, seed: int = 42, tables: int = 1, repeats: bool = True) -> DataFrame:
+    """(doc_id, fp, component_id, n_links): one row per row of docs; component_id is the smallest id reachable over links.
+
+    With several tables texts are linked if their fingerprints of any table are; n_links counts the first table's.
+    """
+    names = _names(tables)
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, seed, tables, repeats))
+    groups = cut(rows.groupBy(*names).agg(F.min("doc_id").alias("rep")))
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = cut(ordered(pigeonring_links(groups.select("fp").distinct(), max_distance, segments)))
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = components(links).withColumnRenamed("node", "fp")
-    linked = rooted.join(groups, "fp")
+    edges = links
+    for t, name in enumerate(names[1:], 2):  # a node of another table is its fingerprint, hashed with the table's number
+        node = _node(t)
+        own = ordered(pigeonring_links(groups.select(F.col(name).alias("fp")).distinct(), max_distance, segments))
+        again = groups.select("fp", name).distinct().groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # other fingerprints differ
+        used = own.select(F.explode(F.array("a", "b")).alias(name)).union(again.select(name)).distinct()
+        edges = edges.union(own.select(node(F.col("a")), node(F.col("b"))))
+        edges = edges.union(groups.join(used, name, "left_semi").select("fp", node(F.col(name))))
+    rooted = components(edges).withColumnRenamed("node", "fp")
+    firsts = groups.groupBy("fp").agg(F.min("rep").alias("rep"))
+    linked = rooted.join(firsts, "fp")
     linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
-    table = groups.join(linked, "fp", "left").join(degree, "fp", "left")
+    table = firsts.join(linked, "fp", "left").join(degree, "fp", "left")
     table = table.select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(table, "fp").select("doc_id", "fp", "component_id", "n_links")
+    return rows.select("doc_id", "fp").join(table, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
