@@ -73,6 +73,7 @@ class Models:
                         grams[k][marked[at - k + 1 : at + 1]] += n
             alphabet |= set(grams[1])
             tallies.append(grams)
+        self.most, self.mean, self.deviation, self.z = float("inf"), 0.0, 0.0, 0.0  # until calibrate()
         self.uniform = float(np.log(max(len(alphabet), 1)))
         self.floor = -np.log(max(len(alphabet), 1) * 4.0)
         self.tables = []
@@ -180,7 +181,7 @@ class Models:
                 at = np.fromiter(map(get, ws), np.int64, len(ws))
                 sums[i] = table[at].sum(axis=0)
                 chars[i] = sum(map(len, ws)) + len(ws)
-                counts[i] = len(ws)
+                counts[i] = max(len(ws), chars[i] / 8)  # a long run of letters is more than one word
         return sums, chars, counts
 
     def calibrate(self, texts: list[str], z: float = 8.0) -> None:
@@ -189,11 +190,12 @@ class Models:
 
         sums, chars, counts = self.score(texts, {})
         some = chars > 0
+        if not some.any():
+            return
         best = -sums[some].max(axis=1) / chars[some]
-        spread = (best - best.mean()) * np.sqrt(counts[some]) if some.any() else np.zeros(1)
-        self.mean = float(best.mean()) if some.any() else 0.0
-        self.deviation = float(max(spread.std(), 1e-3))
-        worst = float(best.max()) if some.any() else 0.0
+        self.mean = float(best.mean())
+        self.deviation = float(max(((best - self.mean) * np.sqrt(counts[some])).std(), 1e-3))
+        worst = float(best.max())
         self.most = worst + max(0.0, self.uniform - worst) / 2
         self.z = z
 

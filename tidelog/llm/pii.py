@@ -394,10 +394,10 @@ def training_windows(texts: list[str], window: int, seed: int = 11, copies: int
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 300, max_chars: int = 20_000) -> Tagger | None:
     """A tagger from the first `rows` documents by a hash of their id, none longer than max_chars; None without any."""
-    sized = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars) & (F.length(text_col) > 0))
-    order = sized.select(F.xxhash64(F.col(id_col), F.lit(17)).alias("h"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
-    holds = F.when(F.col("_t").rlike("[0-9@]"), 0).otherwise(1)
-    texts = [r["_t"] for r in order.orderBy(holds, "h", "_i", "_t").limit(rows).collect()]
+    sized = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars) & (F.length(text_col) > 0)).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
+    holds = F.when(F.col("_t").rlike("[0-9@]"), 0).otherwise(1).alias("o")
+    pick = sized.select(holds, F.xxhash64("_i", F.lit(17)).alias("h"), "_i").orderBy("o", "h", "_i").limit(rows).select("_i").distinct()  # ids only: each task sends `rows` of them
+    texts = sorted(r["_t"] for r in sized.join(F.broadcast(pick.withColumnRenamed("_i", "_p")), F.col("_i").eqNullSafe(F.col("_p")), "left_semi").select("_t").distinct().orderBy("_t").limit(rows).collect())
     if not texts:
         return None
     tagger = Tagger()
