@@ -128,6 +128,14 @@ def test_counter_saturates(spark):
     assert rows(projections.counter_sum(df), "key", "value", "exact") == [("k", big, False), ("n", -3, True)]
 
 
+def test_running_sums_are_the_same_in_blocks(spark):
+    from tidelog.sources import views
+
+    ops = views.counter_ops(spark, "/root/testdata/sf0.01")
+    whole = rows(projections.counter_running(ops), "key", "offset", "running")
+    assert rows(projections.counter_running(ops, 64), "key", "offset", "running") == whole
+
+
 def test_linearizable_verdicts(spark):
     def verdict(ops):
         df = spark.createDataFrame([("k", *o) for o in ops], "key string, invoke long, complete long, action string, value long, outcome string")

@@ -85,12 +85,23 @@ def counter_sum(ops: DataFrame) -> DataFrame:
     return keys.select("key", clamped.cast("long").alias("value"), exact.alias("exact"))
 
 
-def counter_running(ops: DataFrame) -> DataFrame:
-    """Each delta's sum including it, from the checkpoint before it."""
-    order = Window.partitionBy("key").orderBy("offset")
-    rows = ops.withColumn("epoch", F.sum((F.col("op") == "checkpoint").cast("int")).over(order))
-    inner = Window.partitionBy("key", "epoch").orderBy("offset")
-    return rows.withColumn("running", F.sum("amount").over(inner)).where("op = 'delta'").select("key", "offset", "amount", "running")
+def counter_running(ops: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Each delta's sum including it, from the checkpoint before it.
+
+    A key's operations are summed in blocks of offsets, so that a busy key is spread over tasks; only one row per block is
+    then put in order to carry sums from block to block.
+    """
+    rows = ops.withColumn("block", F.floor(F.col("offset") / block).cast("long"))
+    within = Window.partitionBy("key", "block").orderBy("offset")
+    rows = rows.withColumn("epoch", F.sum((F.col("op") == "checkpoint").cast("int")).over(within))
+    rows = rows.withColumn("local", F.sum("amount").over(Window.partitionBy("key", "block", "epoch").orderBy("offset")))
+    ends = rows.groupBy("key", "block").agg(F.max("epoch").alias("resets"), F.max_by("local", "offset").alias("end"))
+    order = Window.partitionBy("key").orderBy("block")
+    ends = ends.withColumn("era", F.sum((F.col("resets") > 0).cast("int")).over(order))
+    ends = ends.withColumn("upto", F.sum("end").over(Window.partitionBy("key", "era").orderBy("block")))
+    ends = ends.select("key", "block", F.coalesce(F.lag("upto").over(order), F.lit(0)).alias("carried"))
+    out = rows.join(ends, ["key", "block"]).where("op = 'delta'")
+    return out.select("key", "offset", "amount", (F.col("local") + F.when(F.col("epoch") == 0, F.col("carried")).otherwise(0)).alias("running"))
 
 
 def compaction_survivors(ops: DataFrame, now_ms: int) -> DataFrame:
