@@ -163,6 +163,9 @@ class Models:
         import numpy as np
 
         found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        for i, ws in enumerate(found):  # the pattern takes fractions and the like, too
+            if ws and not any(w.isalpha() for w in ws) and not any(c.isalpha() for w in ws for c in w):
+                found[i] = []
         if len(cache) > most:
             cache.clear()
         new = list(dict.fromkeys(w for ws in found for w in ws if w not in cache))
