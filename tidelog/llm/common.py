@@ -65,6 +65,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a few numbers or a digest each that may be broadcast, once they were counted: some 100 MB in an executor.
+BROADCAST_ROWS = 1_500_000
+
+
+def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df (already written, rows of a few numbers), marked for broadcast if it has at most `most` rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def crc_mod(id_column: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(id_column).cast("string") if isinstance(id_column, str) else id_column), F.lit(n))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, shared_path
+from tidelog.llm.common import broadcast_if_small, cut, shared_path
 
 MANIFEST = "file string, temporary string, shard int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -154,7 +154,7 @@ def write_archive(pages: DataFrame, root: str | None = None, id_col: str = "page
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("sha1", "first")
-    rows = rows.join(first, "sha1", "left")
+    rows = rows.join(broadcast_if_small(cut(first)), "sha1", "left")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     rows = rows.withColumn("refers_to", F.when(again, F.col("first"))).withColumn("payload", F.when(~again, F.col("payload"))).drop("first")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
