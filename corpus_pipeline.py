@@ -22,10 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near duplicates the row with the smallest doc_id.
 
-    Links reach further than those of the query op1: four bits in any of three tables of fingerprints, which count a shingle
+    Links reach further than those of the query op1: three bits in any of three tables of fingerprints, which count a shingle
     once, so that lines that repeat within a text don't outweigh the rest of it.
     """
-    return simhash.one_of_each(docs, max_distance=4, segments=5, tables=3, repeats=False)
+    return simhash.one_of_each(docs, max_distance=3, segments=4, tables=3, repeats=False)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

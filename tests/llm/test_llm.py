@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import decontam, html_extract, jpeg, langid, packing, pii, quality, queries, simhash, toxicity, warc
+from tidelog.llm import common, decontam, html_extract, jpeg, langid, packing, pii, quality, queries, simhash, toxicity, warc
 
 D = "/root/testdata/sf0.001"
 CLASH = {"fp": "x", "rep": 1, "k1": "y", "k2": 2, "score": 1.5, "accepted": "no", "_i": 3, "_t": 4, "h": 5, "w": 6, "item": 7, "media": 8, "payload": 9, "base": 10}
@@ -87,7 +87,9 @@ def test_pigeonring_loses_no_link(spark, distance, segments):
             fps.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    got = {frozenset((r["a"], r["b"])) for r in simhash.pigeonring_links(df, distance, segments).collect()}
+    pairs = [frozenset((r["a"], r["b"])) for r in simhash.pigeonring_links(df, distance, segments).collect()]
+    got = set(pairs)
+    assert len(got) == len(pairs)
     assert got == {frozenset((signed(a), signed(b))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= distance}
 
 
@@ -152,6 +154,18 @@ def test_warc_finds_damage():
         list(warc.parse(data[:-9]))
 
 
+def test_joins_beyond_broadcasts(spark, tmp_path, monkeypatch):
+    rows = spark.read.parquet(f"{D}/documents.parquet")
+    pages = rows.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("doc_id") % 3 == 0, "same").otherwise(F.col("text")).alias("html"))
+    results = []
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        kept = sorted(r["doc_id"] for r in simhash.one_of_each(rows).collect())
+        root = warc.write_archive(pages, f"file://{tmp_path}/{most}")
+        results.append((kept, sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, root, False).drop("payload").collect())))
+    assert results[0] == results[1] and len(results[0][0]) < rows.count()
+
+
 # HTML
 
 ARTICLE = "<p>This is the first paragraph of the article and it has a lot of words in it, so that it is long enough to be judged on its own by the rules that are here.</p><p>Short one.</p>"

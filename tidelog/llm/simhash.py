@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, cut
+from tidelog.llm.common import broadcast_if_small, chunks, cut
 
 BITS = 64
 
@@ -100,7 +100,7 @@ def _segment(fp: Column, shift: int, width: int) -> Column:
 def pigeonring_links(fps: DataFrame, max_distance: int = 2, segments: int = 3) -> DataFrame:
     """(a, b) pairs of different fingerprints in fps (column fp, distinct) that differ in at most max_distance bits.
 
-    Needs max_distance < segments. A pair may come more than once, in either order.
+    Needs max_distance < segments. A pair comes once, a < b: at the first segment from which its chain holds.
     """
     if not 0 <= max_distance < segments or 2 * max_distance // segments > 1:
         raise ValueError("pigeonring_links needs max_distance < segments")
@@ -130,17 +130,20 @@ def pigeonring_links(fps: DataFrame, max_distance: int = 2, segments: int = 3) -
     a, b = F.col("a"), F.col("b")
     apart = a.bitwiseXOR(b)
     which = F.shiftright(F.col("k"), 56)
-    chain = F.lit(False)
+    once, before = F.lit(False), F.lit(False)
     for i in range(segments):
-        holds = which == i
+        chain = F.lit(True)
         total = F.lit(0)
         for length in range(1, segments + 1):
             shift, width = cuts[(i + length - 1) % segments]
             total = total + F.bit_count(_segment(apart, shift, width))
-            holds = holds & (total * segments <= F.lit(length * max_distance))
-        chain = chain | holds
+            chain = chain & (total * segments <= F.lit(length * max_distance))
+        # if the second segments are equal, both sides ask for each other
+        one_side = (_segment(apart, *cuts[(i + 1) % segments]) != 0) | (a < b)
+        once = once | ((which == i) & chain & ~before & one_side)
+        before = before | chain
     full = F.bit_count(apart) <= max_distance
-    return probe.join(index, "k").where((a != b) & chain & full).select("a", "b")
+    return probe.join(index, "k").where((a != b) & once & full).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,13 +186,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = _names(tables)
     rows = cut(fingerprints(docs, id_col, text_col, shingle, seed, tables, repeats))
     groups = cut(rows.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(ordered(pigeonring_links(groups.select("fp").distinct(), max_distance, segments)))
+    links = cut(pigeonring_links(groups.select("fp").distinct(), max_distance, segments))
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     edges = links
     for t, name in enumerate(names[1:], 2):  # a node of another table is its fingerprint, hashed with the table's number
         node = _node(t)
-        own = ordered(pigeonring_links(groups.select(F.col(name).alias("fp")).distinct(), max_distance, segments))
+        own = cut(pigeonring_links(groups.select(F.col(name).alias("fp")).distinct(), max_distance, segments))
         again = groups.select("fp", name).distinct().groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # other fingerprints differ
         used = own.select(F.explode(F.array("a", "b")).alias(name)).union(again.select(name)).distinct()
         edges = edges.union(own.select(node(F.col("a")), node(F.col("b"))))
@@ -204,13 +206,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component of near duplicates: that with the smallest id. options: those of near_duplicates()."""
+    """docs with one row of each component of near duplicates: that with the smallest id. options: those of near_duplicates().
+
+    The ids that go are broadcast where their number, once counted, allows it, so that texts aren't shuffled; else they are joined.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
-    keep = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")))
-    rows = docs.join(keep.distinct(), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    if keep.count() != keep.distinct().count():  # ids that repeat
-        rows = rows.dropDuplicates([id_col])
-    return rows
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    per = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.when(stays, 1)).alias("_stay"), F.count(F.lit(1)).alias("_rows")))
+    nulls, repeats = per.agg(F.count(F.when(F.col("_id").isNull(), 1)), F.count(F.when((F.col("_stay") > 0) & (F.col("_rows") > 1), 1))).first()
+    if nulls:
+        rows = docs.join(per.where("_stay > 0").select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    else:
+        goes = per.where("_stay = 0").select("_id")
+        rows = docs.join(broadcast_if_small(goes), F.col(id_col) == F.col("_id"), "left_anti")
+    return rows.dropDuplicates([id_col]) if repeats else rows
 
 
 def hex_fingerprint(fp: str | Column = "fp") -> Column:
