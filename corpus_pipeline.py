@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, langid, packing, pii, simhash
+from tidelog.llm import decontam, jaccard, langid, packing, pii
 from tidelog.llm.common import cut
 
 
@@ -20,12 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near duplicates the row with the smallest doc_id.
-
-    Links reach further than those of the query op1: three bits in any of three tables of fingerprints, which count a shingle
-    once, so that lines that repeat within a text don't outweigh the rest of it.
-    """
-    return simhash.one_of_each(docs, max_distance=3, segments=4, tables=3, repeats=False)
+    """Of every component of near duplicates, texts at a five-word Jaccard similarity of 0.8 or more, the row with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import common, decontam, html_extract, jpeg, langid, packing, pii, quality, queries, simhash, toxicity, warc
+from tidelog.llm import common, decontam, html_extract, jaccard, jpeg, langid, packing, pii, quality, queries, simhash, toxicity, warc
 
 D = "/root/testdata/sf0.001"
 CLASH = {"fp": "x", "rep": 1, "k1": "y", "k2": 2, "score": 1.5, "accepted": "no", "_i": 3, "_t": 4, "h": 5, "w": 6, "item": 7, "media": 8, "payload": 9, "base": 10}
@@ -562,3 +562,44 @@ def test_pipeline_stages_take_odd_rows(spark, odd):
     assert corpus_pipeline.STAGES[-1][1](spark, rows, D).count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), D).count() == 0
+
+
+def brute_jaccard(texts, k=5):
+    """The smallest id of each text's component over pairs at a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, text in texts.items():
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[n : n + k]) for n in range(max(1, len(words) - k + 1))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    names = sorted(sets)
+    for n, a in enumerate(names):
+        for b in names[:n]:
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    rng = random.Random(8)
+    texts = {}
+    for group in range(60):  # chains of copies: each replaces a run of words of the one before it
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 160))]
+        for _ in range(rng.randrange(1, 9)):
+            texts[len(texts)] = " ".join(words)
+            for at in rng.sample(range(len(words)), rng.randrange(1, 1 + len(words) // 40)):
+                words[at] = f"w{rng.randrange(10**6)}"
+    for cut in range(9, 16):  # nested texts, similar to 4/5 exactly and a little less
+        texts[len(texts)] = " ".join(f"n{k}" for k in range(cut))
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    want = brute_jaccard(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()}
+    assert len(set(want.values())) < len(texts) - 100 and got == want
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert {r["doc_id"] for r in stage(spark, df, D).collect()} == set(want.values())

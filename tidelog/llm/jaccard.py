@@ -1,0 +1,145 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by MinHash bands, each pair verified exactly.
+
+A text is the set of its distinct five-word shingles (a shorter text is one shingle). Texts of the same set are one node.
+Nodes that agree on the six minima of one of 32 bands are candidates: of pairs at a similarity of 0.8 a share of
+(1 - 0.8 ** 6) ** 32, 6 in 100,000, agrees on none. SimHash isn't used here: at 0.8 two fingerprints differ in about ten of 64
+bits, beyond any segments that a join could look for.
+
+Within a band's bucket every node is compared with one representative first. Once those links are joined in components, only nodes
+of different components of a bucket are compared, so that a large group of near copies doesn't make all its pairs, and still
+every candidate pair is either verified or connected already.
+
+Defined cases: those of simhash; texts without words are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidelog.llm.common import broadcast_if_small, chunks, cut
+from tidelog.llm.simhash import components, first_of_each
+
+SHINGLE, BANDS, ROWS = 5, 32, 6
+#: Sets of fewer shingles reach 4/5 with equal sets only.
+LEAST = 4
+
+
+def _sets(text: str | None, shingle: int):
+    """The distinct shingles of a text as ascending 64-bit hashes."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    own = {digest(b" ".join(w), 42) for w in zip(*(words[k:] for k in range(shingle)))} or {digest(b" ".join(words), 42)}
+    return np.sort(np.fromiter(own, np.uint64, len(own)))
+
+
+def _node_of(hashes) -> int:
+    import numpy as np
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).astype(np.int64))
+
+
+def _sketch_batches(shingle: int):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        rng = np.random.default_rng(29)
+        factors = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        flips = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+        weights = rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for part in chunks(batches, "text", 1 << 19):
+            sets = [_sets(t, shingle) for t in part.column("text").to_pylist()]
+            large = [i for i, s in enumerate(sets) if len(s) >= LEAST]
+            bands = [[]] * len(sets)
+            if large:
+                every = np.concatenate([sets[i] for i in large])
+                starts = np.cumsum([0, *(len(sets[i]) for i in large[:-1])])
+                low = np.empty((len(large), BANDS * ROWS), np.uint64)
+                for k, (a, x) in enumerate(zip(factors, flips)):
+                    low[:, k] = np.minimum.reduceat((every ^ x) * a, starts)
+                low = low.reshape(len(large), BANDS, ROWS)
+                low ^= low >> np.uint64(29)
+                keys = (low * weights).sum(axis=2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
+                for i, own in zip(large, keys.view(np.int64).tolist()):
+                    bands[i] = own
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([_node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "node", "n", "bands"],
+            )
+
+    return run
+
+
+def _shingle_batches(shingle: int):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for part in chunks(batches, "text", 1 << 19):
+            sets = [_sets(t, shingle) for t in part.column("text").to_pylist()]
+            lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([_node_of(s) for s in sets], pa.int64()), lists], names=["node", "shingles"])
+
+    return run
+
+
+def _alike(na: Column, nb: Column, common: Column) -> Column:
+    """Whether common / (na + nb - common) is at least 4/5, in whole numbers."""
+    return common * 9 >= (na + nb) * 4
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, b, na, nb) whose sets are alike."""
+    some = cut(pairs.where(_alike(F.col("na"), F.col("nb"), F.least("na", "nb"))).select("a", "b", "na", "nb").distinct())
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+    both = some.join(of("b"), "b").join(of("a"), "a")
+    return cut(both.where(_alike(F.col("na"), F.col("nb"), F.size(F.array_intersect("sa", "sb")))).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, component_id): one row per row of docs; component_id is the smallest id reachable over pairs at 0.8 or more."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = cut(texts.mapInArrow(_sketch_batches(shingle), "doc_id long, node long, n long, bands array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    keys = nodes.select("node", "n", F.explode("bands").alias("k"))
+    buckets = cut(keys.groupBy("k").agg(F.min(F.struct("node", "n")).alias("one"), F.count(F.lit(1)).alias("size")).where("size > 1").select("k", F.col("one.node").alias("first"), F.col("one.n").alias("first_n")))
+    shared = cut(keys.join(broadcast_if_small(buckets), "k"))
+
+    asked = cut(shared.select("node").distinct())
+    wanted = cut(nodes.join(broadcast_if_small(asked), "node", "left_semi").select(F.col("rep").alias("_id")).distinct())
+    again = texts.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = again.mapInArrow(_shingle_batches(shingle), "node long, shingles array<long>").join(broadcast_if_small(asked), "node", "left_semi")
+    sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+    others = shared.where("node <> first")
+    links = _verified(others.select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("first_n").alias("na"), F.col("n").alias("nb")), sets)
+    # each pair of components of a bucket, then each pair of their nodes; pairs with the representative are known
+    rooted = others.join(components(links), "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("c"))
+    mixed = cut(rooted)
+    parts = mixed.select("k", "c").distinct()
+    met = parts.select("k", F.col("c").alias("ca")).join(parts.select("k", F.col("c").alias("cb")), "k").where("ca < cb")
+    left = mixed.select("k", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"))
+    right = mixed.select("k", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    across = met.join(left, ["k", "ca"]).join(right, ["k", "cb"])
+    swap = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x)
+    across = across.select(swap("a", "b"), swap("b", "a"), swap("na", "nb"), swap("nb", "na"))
+    linked = components(cut(links.union(_verified(across, sets))))
+
+    found = linked.join(nodes.select("node", "rep"), "node")
+    found = found.join(found.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
+    table = nodes.select("node", "rep").join(found, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    return rows.select("doc_id", "node").join(table, "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of near duplicates: that with the smallest id."""
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col), id_col)

@@ -206,11 +206,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component of near duplicates: that with the smallest id. options: those of near_duplicates().
+    """docs with one row of each component of near duplicates: that with the smallest id. options: those of near_duplicates()."""
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each component of found (doc_id, component_id): that whose id is the component's.
 
     The ids that go are broadcast where their number, once counted, allows it, so that texts aren't shuffled; else they are joined.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     per = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.when(stays, 1)).alias("_stay"), F.count(F.lit(1)).alias("_rows")))
     nulls, repeats = per.agg(F.count(F.when(F.col("_id").isNull(), 1)), F.count(F.when((F.col("_stay") > 0) & (F.col("_rows") > 1), 1))).first()
