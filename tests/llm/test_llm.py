@@ -380,6 +380,15 @@ def test_pii_defined_cases(odd, tagger):
     assert pii.find_spans(rows.limit(0), None).count() == 0 and pii.masked(odd.limit(0), None).count() == 0
 
 
+@pytest.mark.parametrize("address", ["jane at example dot com", "JANE AT EXAMPLE DOT COM", "jane (AT) example.org", "jane[At]example.org", "jane( at )example.org", "jane.doe (at) mail.example (dot) org", "jane(at)informatik.uni-wuerzburg.de", "maximiliane.elisabeth.von-und-zu-hohenstein-langenberg(at)example.org"])
+def test_pii_addresses_in_words_and_long_ones_are_whole(spark, tagger, address):
+    text = f"please write to {address}, or stay at home. Then call."
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [(s["start"], s["end"], s["kind"]) for s in pii.find_spans(rows, tagger).first()["spans"]]
+    assert spans == [(16, 16 + len(address), "email")]
+    assert pii.masked(rows, tagger).first()["text"] == "please write to [EMAIL], or stay at home. Then call."
+
+
 # Language
 
 

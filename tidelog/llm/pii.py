@@ -3,8 +3,8 @@
 Patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers (see `base_spans`). The tagger is trained in numpy
 on windows with labelled spans: what the patterns find in a bounded sample of documents, those windows with spans written in
 other ways (without a plus sign, with "(at)" and "dot", with other separators), and numbers that aren't personal data.
-It is applied to overlapping windows around every place that can be part of such a span (a digit or "@"), decoded by
-Viterbi; a character takes its tag from the window in whose middle it lies best, and spans are read from the reconciled tags
+It is applied to overlapping windows around every place that can be part of such a span (a digit, "@", or "at" in brackets
+or before a domain, in any case) and the whole run of an address around it, decoded by Viterbi; a character takes its tag from the window in whose middle it lies best, and spans are read from the reconciled tags
 of the whole text. An added span must be of a plausible form for its kind and must not touch a span that the patterns found.
 
 Defined cases: null text is empty; an empty text has no span; repeated rows give repeated result rows; an empty table gives an
@@ -28,7 +28,12 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]+|[(\[]at[)\]]")
+_AT = r"[(\[] ?at ?[)\]]"
+_DOT = r"(?:\.|[(\[] ?dot ?[)\]]| dot )"
+#: What every plausible span holds: a digit, "@", or "at" in brackets or as a word before a domain, in any case.
+TRIGGER = re.compile(rf"[0-9@]+|{_AT}| at (?= ?[a-z0-9-]+ ?{_DOT} ?[a-z0-9-])", re.IGNORECASE | re.ASCII)
+_TAIL = re.compile(rf" ?[a-z0-9-]+(?: ?{_DOT} ?[a-z0-9-]+)*", re.IGNORECASE | re.ASCII)
+LONGEST = 320  # characters of an address: 64 before the "@", 255 after it
 
 
 def luhn(digits: str) -> bool:
@@ -73,9 +78,11 @@ def rendered(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-# Character classes: digits, "@", marks that such spans hold, letters by case, white space, others.
+# Character classes: the letters of "at" and "dot", digits, "@", marks that such spans hold, letters by case, white space, others.
 _OWN = "@._%+-()/,:;'\"[]{}<>#=*&"
-CLASSES = len(_OWN) + 6
+_LETTERS = "adot"  # in any case: the tagger has to tell "at" and "dot" from other words
+CLASSES = len(_OWN) + 6 + len(_LETTERS)
+EMAIL_TAGS = (1 + 2 * KINDS.index("email"), 2 + 2 * KINDS.index("email"))
 TAGS = 1 + 2 * len(KINDS)  # 0: outside; 1 + 2 k: first character of a span of kind k; 2 + 2 k: a later one
 
 
@@ -87,6 +94,8 @@ def classes_of(text: str):
     for c in range(0x250):
         s = chr(c)
         table[c] = _OWN.index(s) if s in _OWN else len(_OWN) + (0 if s.isdigit() else 1 if s.islower() else 2 if s.isupper() else 3 if s == " " else 4 if s.isspace() else 5)
+    for n, c in enumerate(_LETTERS):
+        table[[ord(c), ord(c.upper())]] = len(_OWN) + 6 + n
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return table[np.minimum(codes, 0x24F)]
 
@@ -260,9 +269,12 @@ class Tagger:
         for i, text in enumerate(texts):
             own: list[tuple[int, int]] = []
             for m in TRIGGER.finditer(text):
-                a, b = max(0, m.start() - margin), min(len(text), m.end() + margin)
+                a, b = address_run(text, m)
+                a, b = max(0, a - margin), min(len(text), b + margin)
+                while own and a <= own[-1][0]:  # a long run may reach back over earlier regions
+                    b = max(b, own.pop()[1])
                 if own and a <= own[-1][1]:
-                    own[-1] = (own[-1][0], b)
+                    own[-1] = (own[-1][0], max(b, own[-1][1]))
                 else:
                     own.append((a, b))
             regions.append(own)
@@ -298,6 +310,13 @@ class Tagger:
             if run:
                 spans.append(run)
             kept = []
+            # a run of the form of an address that is tagged for the most part is taken whole, as tags may miss its ends; so is one
+            # whose "at" is in brackets, or whose "at" and "dot" are words, which prose doesn't hold
+            whole_runs = [r for r in addresses(text) if _CERTAIN.search(text, *r) or 2 * sum(chosen[at][1] in EMAIL_TAGS for at in range(*r) if at in chosen) > r[1] - r[0]]
+            for a, b in whole_runs:
+                if b - a <= LONGEST and not any(a < y and x < b for x, y, _ in given):
+                    kept.append((a, b, "email"))
+            spans = [(a, b, kind) for a, b, kind in spans if KINDS[kind] != "email" or not any(a < y and x < b for x, y in whole_runs)]
             for a, b, kind in spans:
                 while a < b and text[a].isspace():
                     a += 1
@@ -307,12 +326,43 @@ class Tagger:
                     whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
                     if whole:
                         kept.append((a, b, KINDS[kind]))
-            out.append(kept)
+            out.append(sorted(kept))
         return out
 
 
 _PHONE_FORM = re.compile(r"\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{2,4}(?:[ ./-][0-9]{2,5}){1,3}")
-_EMAIL_FORM = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")
+_EMAIL_FORM = re.compile(rf"[a-z0-9._%+-]+ ?(?:@|{_AT}| at ) ?[a-z0-9-]+(?: ?{_DOT} ?[a-z0-9-]+)+", re.IGNORECASE | re.ASCII)
+
+
+_WRITTEN = re.compile(rf"[a-z0-9._%+-]+(?: ?@ ?| ?{_AT} ?| at )[a-z0-9-]+(?:(?:\.| \. | ?[(\[] ?dot ?[)\]] ?| dot )[a-z0-9-]+)+", re.IGNORECASE | re.ASCII)
+
+_CERTAIN = re.compile(rf" ?{_AT}| at .*(?: dot |[(\[] ?dot ?[)\]])", re.IGNORECASE | re.ASCII)
+
+
+def address_run(text: str, m: re.Match) -> tuple[int, int]:
+    """The ends of the run around a trigger that may be an address; of digits, the trigger's own."""
+    a, b = m.span()
+    if m[0][0].isdigit() and "@" not in m[0]:
+        return a, b
+    low = max(0, a - LONGEST)
+    if a > low and text[a - 1] == " ":
+        a -= 1
+    while a > low and text[a - 1] in LOCAL:
+        a -= 1
+    tail = _TAIL.match(text, b, b + LONGEST)
+    return a, tail.end() if tail else b
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Runs of the form of an address, separators written in any way, around the triggers that aren't digits."""
+    found: list[tuple[int, int]] = []
+    for m in TRIGGER.finditer(text):
+        if "@" in m[0] or not m[0][0].isdigit():
+            a, b = address_run(text, m)
+            run = _WRITTEN.match(text, a + (text[a] == " "), b)
+            if run and run.end() > m.end() and (not found or run.start() >= found[-1][1]):
+                found.append(run.span())
+    return found
 
 
 def plausible(span: str, kind: str) -> bool:
@@ -321,7 +371,7 @@ def plausible(span: str, kind: str) -> bool:
     if kind == "phone":
         return 9 <= digits <= 15 and bool(_PHONE_FORM.fullmatch(span))
     if kind == "email":
-        return len(span) <= 120 and bool(_EMAIL_FORM.fullmatch(span))
+        return len(span) <= LONGEST and bool(_EMAIL_FORM.fullmatch(span))
     if kind == "ip":
         parts = re.split(r" ?\. ?|\[\.\]|\(\.\)", span)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -350,8 +400,14 @@ def training_windows(texts: list[str], window: int, seed: int = 11, copies: int
         kind = rng.randrange(6)
         if kind == 0:
             name = word(rng.randrange(2, 8)) + rng.choice(["", "." + word(4), digits(2)])
-            at, dot = rng.choice([("@", ".")] * 3 + [(" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), ("[at]", "[dot]"), (" @ ", " . ")])
-            return name + at + word(rng.randrange(3, 8)) + rng.choice(["", digits(1)]) + dot + rng.choice(["com", "org", "net", "example.com"]), 0
+            if not rng.randrange(4):
+                name += "." + word(rng.randrange(6, 24))
+            at, dot = rng.choice([("@", ".")] * 3 + [(" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), (" at ", " dot "), ("[at]", "[dot]"), (" @ ", " . "), ("( at )", "( dot )"), (" [ at ] ", "."), (" at ", ".")])
+            host = word(rng.randrange(3, 8)) + rng.choice(["", digits(1)])
+            if not rng.randrange(3):
+                host = word(rng.randrange(4, 14)) + rng.choice([".", dot]) + word(3) + "-" + word(rng.randrange(4, 14))
+            value = name + at + host + dot + rng.choice(["com", "org", "net", "de", "example.com"])
+            return rng.choice([value] * 4 + [value.upper(), name + at.upper() + value[len(name + at) :], name + at.title() + value[len(name + at) :]]), 0
         if kind == 1:
             sep = rng.choice([".", ".", ".", " . ", "[.]", "(.)"])
             return sep.join(str(rng.randrange(256)) for _ in range(4)), 1
