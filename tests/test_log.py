@@ -57,6 +57,15 @@ def test_routing_of_known_keys(spark):
     assert rows(got, "i", "m", "j") == [(0, 3, 0), (1, 3, 3), (2, 3, 1), (3, 2, 3), (4, 0, 1)]
 
 
+def test_record_digest_of_every_record(spark):
+    payloads = {r["event_id"]: r["props"].encode() for r in spark.read.parquet(f"{D}/events.parquet").collect()}
+    want = {i: hashing.crc64(len(p).to_bytes(8, "big") + p) for i, p in payloads.items()}
+    got = {r["event_id"]: r["digest"] % (1 << 64) for r in catalog.QUERIES["q30c_record_digest"](spark, D).collect()}
+    assert got == want
+    odd = [b"", b"123456789", b"\x00" * 300, b"a"]
+    assert hashing.crc64_all(odd).tolist() == [hashing.crc64(p) for p in odd] and len(hashing.crc64_all([])) == 0
+
+
 def test_crc64_check_value():
     assert hashing.crc64(b"123456789") == 0x995DC9BBDF1939FA
 

@@ -121,17 +121,32 @@ def crc64(data: bytes, table: list[int] | None = None) -> int:
     return crc ^ ((1 << 64) - 1)
 
 
+def crc64_all(payloads: list[bytes]):
+    """CRC-64/XZ of every payload, a byte of all of them at a time; the longest come first, so that those still running are a prefix."""
+    import numpy as np
+
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    every = np.frombuffer(b"".join(payloads), np.uint8)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    table = np.array(crc64_table(), np.uint64)
+    crc = np.full(len(payloads), (1 << 64) - 1, np.uint64)
+    ends = np.sort(sizes)
+    for at in range(int(sizes.max(initial=0))):
+        n = len(sizes) - int(np.searchsorted(ends, at, "right"))
+        own = crc[:n]
+        crc[:n] = table[((own ^ every[starts[:n] + at]) & np.uint64(0xFF)).astype(np.int64)] ^ (own >> np.uint64(8))
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    return out
+
+
 def record_digest(payload: Column) -> Column:
     """CRC-64/XZ of a payload's length (8 bytes, big-endian) and bytes, as a signed number."""
 
     @F.pandas_udf("long")
     def run(payload: pd.Series) -> pd.Series:
-        table = crc64_table()
-        out = []
-        for p in payload:
-            raw = b"" if p is None else p.encode() if isinstance(p, str) else bytes(p)
-            crc = crc64(len(raw).to_bytes(8, "big") + raw, table)
-            out.append(crc - (1 << 64) if crc >> 63 else crc)
-        return pd.Series(out, dtype="int64")
+        raw = [b"" if p is None else p.encode() if isinstance(p, str) else bytes(p) for p in payload]
+        return pd.Series(crc64_all([len(r).to_bytes(8, "big") + r for r in raw]).view("int64"))
 
     return run(payload)
