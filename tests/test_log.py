@@ -187,3 +187,10 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     run()
     assert rows(spark.read.parquet(out), "id") == [(i,) for i in range(5)]
     assert live.shared_path(spark, "x") != live.shared_path(spark, "x")
+
+
+def test_phantom_gets_are_reported_and_no_evidence(spark):
+    puts = spark.createDataFrame([("k", 1, 0, 10, True), ("k", 2, 100, 110, False)], "key string, put long, invoke long, complete long, acked boolean")
+    gets = [("k", 11, 20, 30, 1), ("k", 12, 20, 30, 7), ("k", 13, 40, 50, 2), ("k", 14, 60, 70, 1), ("k", 15, 60, 70, None), ("j", 16, 20, 30, 1)]
+    got = history.stale_gets(puts, spark.createDataFrame(gets, "key string, get long, invoke long, complete long, seen long"))
+    assert rows(got, "get", "seen", "newest") == sorted([(12, 7, None), (13, 2, None), (15, None, 1), (16, 1, None)])

@@ -50,8 +50,14 @@ def stale_gets(puts: DataFrame, gets: DataFrame) -> DataFrame:
 
     puts: key, put, invoke, complete, acked; gets: key, get, invoke, complete, seen (a put, or null). Evidence of a put is its own
     end if it was acknowledged, and the end of every get that saw it; a get weighs the evidence strictly before it.
+
+    A phantom, a get of a value that no put of the key wrote or whose put began after the get had ended, is a row of its own,
+    with newest null (a stale get has a newest put); it is no evidence.
     """
     seen = gets.join(puts.select("key", F.col("put").alias("seen"), F.col("invoke").alias("seen_invoke"), F.col("complete").alias("seen_complete"), "acked"), ["key", "seen"], "left")
+    phantom = F.col("seen").isNotNull() & (F.col("seen_invoke").isNull() | (F.col("seen_invoke") > F.col("complete")))
+    phantoms = seen.where(phantom)
+    seen = seen.where(~phantom)
     none = F.lit(None).cast("long")
     empty = (none.alias("get"), none.alias("seen"), none.alias("seen_complete"), F.lit(False).alias("acked"))
     evidence = puts.where("acked").select("key", F.col("complete").alias("at"), F.lit(1).alias("kind"), F.struct("invoke", "put").alias("known"), *empty)
@@ -60,7 +66,8 @@ def stale_gets(puts: DataFrame, gets: DataFrame) -> DataFrame:
     sweep = Window.partitionBy("key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     rows = evidence.unionByName(asked).withColumn("newest", F.max("known").over(sweep)).where("kind = 0 AND newest IS NOT NULL")
     stale = F.col("seen").isNull() | (F.col("acked") & (F.col("newest.invoke") > F.col("seen_complete")))
-    return rows.where(stale).select("key", "get", "seen", F.col("newest.put").alias("newest"))
+    found = rows.where(stale).select("key", "get", "seen", F.col("newest.put").alias("newest"))
+    return found.unionByName(phantoms.select("key", "get", "seen", F.lit(None).cast(found.schema["newest"].dataType).alias("newest")))
 
 
 def commit_atomicity(events: DataFrame, states: DataFrame) -> DataFrame:
