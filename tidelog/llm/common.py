@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,7 +71,12 @@ BROADCAST_ROWS = 1_500_000
 
 def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
     """df (already written, rows of a few numbers), marked for broadcast if it has at most `most` rows; else joins shuffle."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df (already written, rows of a few numbers) has at most `most` rows."""
+    return df.count() <= (BROADCAST_ROWS if most is None else most)
 
 
 def crc_mod(id_column: str | Column, n: int) -> Column:
@@ -84,19 +89,51 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table (unique by key, with n, the number of rows of that key) on key.
+
+    Keys with more than a share-th of all rows, fewer than `share` of them, are joined by broadcast, so that none lands in one task.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * share > total
+    often, others = F.broadcast(table.where(hot).drop("n")), table.where(~hot).drop("n")
+    rest = rows.join(often.select(key), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(others, key, how))
+
+
+def least_hashed(rows: DataFrame, group: str, per_group: int, counts: dict, spare: int = 4) -> DataFrame:
+    """Of each group the per_group rows (column _i) of the least hash of _i, in order of it; counts: the number of rows of each group.
+
+    Only rows under a threshold that lets some spare * per_group of a group through are ranked, so that no group's rows meet in one task;
+    hashes are uniform, and where too few should pass, the others are ranked, too.
+    """
+    span = 1 << 64
+
+    def ranked(most: float) -> DataFrame:
+        limit = F.lit(None).cast("long")
+        bounds = [(g, (1 << 63) - 1 if n <= most else int(span * most / n) - (1 << 63)) for g, n in sorted(counts.items())]
+        if bounds:
+            limit = F.element_at(F.create_map(*(F.lit(x) for b in bounds for x in b)), F.col(group)).cast("long")
+        order = Window.partitionBy(group).orderBy("_h", "_i")
+        return rows.withColumn("_h", F.xxhash64("_i")).where(F.col("_h") <= limit).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_group).drop("_r", "_h")
+
+    found = cut(ranked(spare * per_group))
+    got = {r[0]: r[1] for r in found.groupBy(group).count().collect()}
+    if any(got.get(g, 0) < min(per_group, n) for g, n in counts.items()):
+        return cut(ranked(float("inf")))
+    return found
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int, max_chars: int) -> list[tuple[int, str, int]]:
-    """(id, text, label) of at most per_class rows of each value of label, in the order of a hash of their id.
+    """(id, text, label) of at most per_class rows of each value of label, those of the least hashes of their id.
 
     docs: id and text; labels: id and label, unique by id after de-duplication. Rows of more than max_chars
     characters are left out of the sample, so that the driver never holds more than 2 * per_class * max_chars characters.
     """
-    from pyspark.sql import Window
-
-    pick = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_i")).agg(F.max(label).alias("_y"))
+    pick = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_i")).agg(F.max(label).cast("int").alias("_y"))
     sized = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("_i"))
-    pick = pick.join(sized, "_i", "left_semi")
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("_i"), "_i")
-    pick = pick.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).drop("_r")
+    pick = cut(pick.join(sized, "_i", "left_semi"))
+    pick = least_hashed(pick, "_y", per_class, {r[0]: r[1] for r in pick.groupBy("_y").count().collect()})
     text = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
     got = text.join(F.broadcast(pick), "_i").groupBy("_i", "_y").agg(F.max("_t").alias("_t"))
     return [(r["_i"], r["_t"], int(r["_y"])) for r in sorted(got.collect(), key=lambda r: r["_i"])]

@@ -13,7 +13,7 @@ the entropy of uniform characters, or mean + z * deviation / sqrt(words) if that
 
 Defined cases: an empty text is `und` with score 0; ties go to the language that sorts first; repeated rows give repeated
 result rows; an empty table gives an empty result; without any labelled row every text is `und`; other columns are not
-read. The sample is bounded: per_lang rows of each language, of at most max_chars characters each.
+read. The sample is bounded: per_lang rows of each language (of the MOST_LANGUAGES most frequent labels), of at most max_chars characters each.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, crc_mod, worker_cache
+from tidelog.llm.common import chunks, crc_mod, least_hashed, worker_cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = "\x01"
 ORDER = 5
+MOST_LANGUAGES = 500  # the most frequent labels, should a table hold more
 
 
 def _hash(codes, ends, order: int):
@@ -220,12 +221,15 @@ class Models:
         return langs, score, lowest, some & (lowest <= limit)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, max_chars: int = 20_000, held: int = 2, folds: int = 4, order: int = ORDER) -> Models:
-    """Models from at most per_lang rows of each language whose crc32(id) mod folds isn't held; no text is longer than max_chars."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, max_chars: int = 20_000, held: int = 2, folds: int = 4, order: int = ORDER, most_rows: int = 30_000) -> Models:
+    """Models from at most per_lang rows of each language whose crc32(id) mod folds isn't held; no text is longer than max_chars.
+
+    With so many languages that this would be more than some most_rows rows, each has an equal share of those.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars) & F.coalesce(crc_mod(id_col, folds) != held, F.lit(False)))
-    order_by = Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i")
-    pick = rows.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l")).withColumn("_r", F.row_number().over(order_by))
-    pick = pick.where(F.col("_r") <= per_lang).select("_i", "_l").distinct()
+    ids = rows.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l")).distinct()
+    counts = {r[0]: r[1] for r in ids.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_l").limit(MOST_LANGUAGES).collect()}
+    pick = least_hashed(ids, "_l", min(per_lang, -(-most_rows // max(1, len(counts)))), counts)
     got = rows.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).join(F.broadcast(pick), ["_i", "_l"]).distinct().collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["_l"], r["_i"], r["_t"])):

@@ -1,10 +1,13 @@
 """SimHash near-duplicates, linked by pigeonring filtering.
 
-A fingerprint has 64 bits, cut into a ring of m segments. If two fingerprints differ in at most t bits, some segment
-starts a chain of consecutive segments (around the ring) of which every prefix of l segments differs in at most
-l * t / m bits. With t < m the first segment is therefore equal and the first two differ in at most 2 t / m bits
-together. The join looks for exactly that (both segments are in its key), the longer chains are then tested in
-the join's condition, and last of all the whole Hamming distance.
+A fingerprint is cut into a ring of m segments. If two fingerprints differ in at most t bits, some segment starts a chain of
+consecutive segments (around the ring) of which every prefix of l segments differs in at most l * t / m bits. As long as l * t < m
+that is none: those first segments are equal, and are the key under which every fingerprint is indexed, once for each start.
+Within a key's bucket the rest of the chain is tested prefix by prefix, and only then the whole Hamming distance.
+
+`bucket_links` compares every member of a bucket with one representative first. Once those links are joined in components,
+only members of different components are compared, so that a large group of near copies doesn't make all its pairs, and
+still every pair of a bucket is either tested or connected already.
 
 Defined cases: null text counts as empty; empty texts have fingerprint 0 and are linked like any other; repeated rows
 give repeated result rows; an empty table gives an empty result; other columns are not read. Null ids are kept, in the
@@ -13,29 +16,17 @@ component of their fingerprint, whose id is the smallest id that isn't null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import broadcast_if_small, chunks, cut
+from tidelog.llm.common import broadcast_if_small, chunks, cut, join_skewed
 
 BITS = 64
 
 
-def mixed(hashes, table: int):
-    """The shingle hashes of another table of fingerprints: a bijection of 64 bits for each table, the identity for the first."""
-    import numpy as np
-
-    if not table:
-        return hashes
-    h = hashes + np.uint64((0x9E3779B97F4A7C15 * table) & ((1 << 64) - 1))
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _fingerprint_batches(shingle: int, seed: int, tables: int, repeats: bool):
+def _fingerprint_batches(shingle: int, seed: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -43,107 +34,92 @@ def _fingerprint_batches(shingle: int, seed: int, tables: int, repeats: bool):
 
         digest = xxhash.xxh64_intdigest
         for part in chunks(batches, "text", 1 << 20):
-            hashes, ends = [], []
-            counts = np.zeros((tables, part.num_rows, BITS), np.int64)
-            spans = []
+            counts = np.zeros((part.num_rows, BITS), np.int64)
+            totals = np.ones(part.num_rows, np.int64)
             for i, text in enumerate(part.column("text").to_pylist()):
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 if not words:
                     continue
-                start = len(hashes)
                 if len(words) <= shingle:
-                    hashes.append(digest(b" ".join(words), seed))
+                    hashes = [digest(b" ".join(words), seed)]
                 else:
-                    own = [digest(b" ".join(w), seed) for w in zip(*(words[k:] for k in range(shingle)))]
-                    hashes += own if repeats else set(own)
-                spans.append((i, start, len(hashes)))
-            totals = np.ones(part.num_rows, np.int64)
-            if hashes:
-                hashes = np.array(hashes, dtype=np.uint64)
-                for i, a, b in spans:
-                    totals[i] = b - a
-                for t in range(tables):
-                    octets = mixed(hashes, t).astype("<u8").view(np.uint8).reshape(-1, 8)
-                    for i, a, b in spans:
-                        for at in range(a, b, 1 << 16):
-                            bits = np.unpackbits(octets[at : min(b, at + (1 << 16))], axis=1, bitorder="little")
-                            counts[t, i] += bits.sum(axis=0, dtype=np.uint32)
-            fps = [np.packbits(c * 2 > totals[:, None], axis=1, bitorder="little").view("<i8").reshape(-1) for c in counts]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, fps)], names=["doc_id", *_names(tables)])
+                    hashes = [digest(b" ".join(w), seed) for w in zip(*(words[k:] for k in range(shingle)))]
+                totals[i] = len(hashes)
+                octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+                for at in range(0, len(hashes), 1 << 16):
+                    bits = np.unpackbits(octets[at : at + (1 << 16)], axis=1, bitorder="little")
+                    counts[i] += bits.sum(axis=0, dtype=np.uint32)
+            fps = np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
     return run
 
 
-def _names(tables: int) -> list[str]:
-    return ["fp", *(f"fp{t}" for t in range(2, tables + 1))]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp): the SimHash of each row's word shingles, repeats included, as a signed 64-bit number."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprint_batches(shingle, seed), "doc_id long, fp long")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, tables: int = 1, repeats: bool = True) -> DataFrame:
-    """(doc_id, fp, fp2, ...): SimHashes of each row's word shingles as signed 64-bit numbers, one for each table.
-
-    Without repeats a shingle counts once, however often it occurs.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches(shingle, seed, tables, repeats), "doc_id long, " + ", ".join(f"{n} long" for n in _names(tables)))
+def equal_segments(max_distance: int, segments: int) -> int:
+    """How many first segments of a chain the budgets demand to be equal."""
+    return segments if max_distance == 0 else (segments - 1) // max_distance
 
 
-def _segments(m: int) -> list[tuple[int, int]]:
-    """(shift, width) of m segments of nearly equal width."""
-    cuts = [BITS * i // m for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def chain_holds(apart: Column, width: int, max_distance: int, segments: int, after: int = 0) -> Column:
+    """Whether the prefixes of a chain stay within their budgets; apart: the differing bits of 64 / width segments, of which the first
+    follows `after` equal ones."""
+    holds = F.lit(True)
+    for length in range(1, BITS // width + 1):
+        mask = (1 << (length * width)) - 1
+        own = apart.bitwiseAND(F.lit(mask)) if length * width < BITS else apart
+        holds = holds & (F.bit_count(own) <= (after + length) * max_distance // segments)
+    return holds
 
 
-def _segment(fp: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+def ring_keys(fps: DataFrame, max_distance: int = 2, segments: int = 8) -> DataFrame:
+    """(k, node, bits) of every fingerprint (column fp, distinct) and every start: the first segments of the chain, and the ring from there on."""
+    if BITS % segments or not 0 <= max_distance < segments:
+        raise ValueError("the ring needs segments of equal width, and max_distance < segments")
+    width = BITS // segments
+    held = min(equal_segments(max_distance, segments) * width, 48)
+    fp = F.col("fp")
+    starts = []
+    for i in range(segments if max_distance else 1):
+        ring = F.shiftrightunsigned(fp, i * width).bitwiseOR(F.shiftleft(fp, BITS - i * width)) if i else fp
+        key = ring.bitwiseAND(F.lit((1 << held) - 1)).bitwiseOR(F.lit(i << 48).cast("long"))
+        starts.append(F.struct(key.alias("k"), ring.alias("bits")))
+    return fps.select(fp.alias("node"), F.explode(F.array(*starts)).alias("s")).select("s.k", "node", "s.bits")
 
 
-def pigeonring_links(fps: DataFrame, max_distance: int = 2, segments: int = 3) -> DataFrame:
-    """(a, b) pairs of different fingerprints in fps (column fp, distinct) that differ in at most max_distance bits.
+def bucket_links(keys: DataFrame, near: Callable[[Column], Column], verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b): links that connect all nodes which links within buckets connect. keys: k, node, bits, a node once in a bucket.
 
-    Needs max_distance < segments. A pair comes once, a < b: at the first segment from which its chain holds.
+    near(differing bits) tells which pairs of a bucket may be linked, verified(pairs) which of those are.
     """
-    if not 0 <= max_distance < segments or 2 * max_distance // segments > 1:
-        raise ValueError("pigeonring_links needs max_distance < segments")
-    cuts = _segments(segments)
-    if max(w for _, w in cuts) > 28:
-        raise ValueError("pigeonring_links needs at least 3 segments")
-    second = 2 * max_distance // segments
-    fp = F.col("fp")
-
-    def key(i: int, first: Column, then: Column) -> Column:
-        return F.lit(i << 56).cast("long").bitwiseOR(F.shiftleft(first, 28)).bitwiseOR(then)
-
-    def cleared(i: int, first: Column, then: Column, masks: Column) -> Column:
-        return F.transform(F.filter(masks, lambda bit: then.bitwiseAND(bit) != 0), lambda bit: key(i, first, then.bitwiseXOR(bit)))
-
-    held, asked = [], []
-    for i, (shift, width) in enumerate(cuts):
-        then_shift, then_width = cuts[(i + 1) % segments]
-        first, then = _segment(fp, shift, width), _segment(fp, then_shift, then_width)
-        held.append(key(i, first, then))
-        asked.append(F.array(key(i, first, then)))
-        if second:  # of two segments a bit apart, the one with the set bit asks for the other
-            masks = F.array(*(F.lit(1 << b).cast("long") for b in range(then_width)))
-            asked.append(cleared(i, first, then, masks))
-    index = fps.select(fp.alias("b"), F.explode(F.array(*held)).alias("k"))
-    probe = fps.select(fp.alias("a"), F.explode(F.flatten(F.array(*asked))).alias("k"))
-    a, b = F.col("a"), F.col("b")
-    apart = a.bitwiseXOR(b)
-    which = F.shiftright(F.col("k"), 56)
-    once, before = F.lit(False), F.lit(False)
-    for i in range(segments):
-        chain = F.lit(True)
-        total = F.lit(0)
-        for length in range(1, segments + 1):
-            shift, width = cuts[(i + length - 1) % segments]
-            total = total + F.bit_count(_segment(apart, shift, width))
-            chain = chain & (total * segments <= F.lit(length * max_distance))
-        # if the second segments are equal, both sides ask for each other
-        one_side = (_segment(apart, *cuts[(i + 1) % segments]) != 0) | (a < b)
-        once = once | ((which == i) & chain & ~before & one_side)
-        before = before | chain
-    full = F.bit_count(apart) <= max_distance
-    return probe.join(index, "k").where((a != b) & once & full).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    order = Window.partitionBy("k").orderBy("node")
+    first = F.first(F.struct("node", "bits")).over(order)
+    rows = keys.withColumn("one", first).withColumn("next", F.lead("node").over(order))
+    rows = rows.where("one.node <> node OR next IS NOT NULL")
+    shared = cut(rows.select("k", "node", "bits", F.col("one.node").alias("first"), F.col("one.bits").alias("first_bits")))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct()
+        return cut(verified(pairs) if verified else pairs)
+
+    star = shared.where(F.col("node") != F.col("first")).where(near(F.col("bits").bitwiseXOR(F.col("first_bits"))))
+    links = tested(star.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    rooted = shared.join(components(links), "node", "left").select("k", "node", "bits", F.coalesce("root", "node").alias("c"))
+    # buckets of one component are done; of the others each pair of components, and then of their members
+    parts = rooted.select("k", "c").distinct()
+    several = parts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    mixed = cut(rooted.join(several, "k"))
+    parts = mixed.select("k", "c").distinct()
+    met = parts.select("k", F.col("c").alias("ca")).join(parts.select("k", F.col("c").alias("cb")), "k").where("ca < cb")
+    left = mixed.select("k", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("bits").alias("x"))
+    right = mixed.select("k", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("bits").alias("y"))
+    across = met.join(left, ["k", "ca"]).join(right, ["k", "cb"]).where(near(F.col("x").bitwiseXOR(F.col("y"))))
+    return cut(links.unionByName(tested(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,35 +150,21 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _node(table: int):
-    return lambda fp: F.xxhash64(F.lit(table), fp)
-
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 2, segments: int = 8, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id): one row per row of docs; component_id is the smallest id reachable over links."""
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
+    groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    width = BITS // segments
+    links = bucket_links(ring_keys(groups.select("fp"), max_distance, segments), lambda apart: chain_holds(apart, width, max_distance, segments))
+    table = with_components(groups, links, "fp")
+    return join_skewed(rows, table, "fp").select("doc_id", "fp", "component_id")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 2, segments: int = 3, seed: int = 42, tables: int = 1, repeats: bool = True) -> DataFrame:
-    """(doc_id, fp, component_id, n_links): one row per row of docs; component_id is the smallest id reachable over links.
 
-    With several tables texts are linked if their fingerprints of any table are; n_links counts the first table's.
-    """
-    names = _names(tables)
-    rows = cut(fingerprints(docs, id_col, text_col, shingle, seed, tables, repeats))
-    groups = cut(rows.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    links = cut(pigeonring_links(groups.select("fp").distinct(), max_distance, segments))
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    edges = links
-    for t, name in enumerate(names[1:], 2):  # a node of another table is its fingerprint, hashed with the table's number
-        node = _node(t)
-        own = cut(pigeonring_links(groups.select(F.col(name).alias("fp")).distinct(), max_distance, segments))
-        again = groups.select("fp", name).distinct().groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # other fingerprints differ
-        used = own.select(F.explode(F.array("a", "b")).alias(name)).union(again.select(name)).distinct()
-        edges = edges.union(own.select(node(F.col("a")), node(F.col("b"))))
-        edges = edges.union(groups.join(used, name, "left_semi").select("fp", node(F.col(name))))
-    rooted = components(edges).withColumnRenamed("node", "fp")
-    firsts = groups.groupBy("fp").agg(F.min("rep").alias("rep"))
-    linked = rooted.join(firsts, "fp")
-    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
-    table = firsts.join(linked, "fp", "left").join(degree, "fp", "left")
-    table = table.select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "fp").join(table, "fp").select("doc_id", "fp", "component_id", "n_links")
+def with_components(groups: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """groups (node, rep: the smallest id in it) with component_id, the smallest rep reachable over links."""
+    found = components(links).withColumnRenamed("node", node).join(groups.select(node, "rep"), node)
+    found = found.join(found.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(node, "component_id")
+    return cut(groups.join(found, node, "left").withColumn("component_id", F.coalesce("component_id", "rep")).drop("rep"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -231,6 +193,6 @@ def hex_fingerprint(fp: str | Column = "fp") -> Column:
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    """doc_id, fingerprint, component_id and n_links of every document."""
+    """doc_id, fingerprint and component_id of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id", "n_links")
+    return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
