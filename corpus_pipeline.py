@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, jaccard, langid, packing, pii
+from tidelog.llm import decontam, neardup, langid, packing, pii
 from tidelog.llm.common import cut
 
 
@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near duplicates, texts at a five-word Jaccard similarity of 0.8 or more, the row with the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    return neardup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
