@@ -4,10 +4,11 @@ Words are lower-cased (A-Z). A document keeps, of every `window` consecutive wor
 it (ties: the rightmost), so every shared span of `window` words leaves at least one common fingerprint: the benchmark
 side holds all its k-grams. A fingerprint is the upper 39 bits of a hash and the lower 24 bits of the position. Hits are
 joined, then extended word by word along their diagonal; only whole windows count. Items shorter than a window
-are one window each: for each such length that occurs the documents' grams of that length are joined in the same way.
+are one window each: for each such length that occurs the documents' grams of that length are made in the same pass and joined alike.
 
-The benchmark's fingerprints, and the documents' hits, are broadcast only after their size was counted (BROADCAST_ROWS,
-BROADCAST_BYTES); beyond that the joins shuffle. Documents with equal id and equal text are looked up as one.
+The benchmark's fingerprints, and the names of documents with hits, are broadcast only after they were counted (BROADCAST_ROWS);
+beyond that the joins shuffle. Only texts with a hit are read again and extended: a row for each document and item, with the
+diagonals of its hits, at most as many as both have words. Documents with equal id and equal text are looked up as one.
 
 Defined cases: null texts have no words; empty tables give no hits; repeated rows give repeated result rows; a null id is
 kept; texts of over 2**24 words are handled, as positions are then tried at every multiple; other columns are not read.
@@ -15,15 +16,16 @@ kept; texts of over 2**24 words are handled, as positions are then tried at ever
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, let
+from tidelog.llm.common import broadcast_if_small, cut, let
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 48 << 20
 _POSITIONS = (1 << 24) - 1
 
 
@@ -32,12 +34,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), SEPARATORS), "")
 
 
-def _grams(words: Column, k: int) -> Column:
-    """The fingerprint of each k-gram by position; [] for fewer than k words."""
+def _grams(words: Column, k: int, length: int) -> Column:
+    """The fingerprint of each k-gram, for windows of that length, by position; [] for fewer than k words."""
     last = F.size(words) - k
 
     def one(i: Column) -> Column:
-        h = F.xxhash64(*(F.get(words, i + j) for j in range(k)))
+        h = F.xxhash64(F.lit(length), *(F.get(words, i + j) for j in range(k)))
         return h.bitwiseAND(F.lit(0x7FFFFFFFFF000000)).bitwiseOR(F.lit(_POSITIONS) - i.cast("long").bitwiseAND(F.lit(_POSITIONS)))
 
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(F.array().cast("array<bigint>"))
@@ -72,32 +74,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("iw")).where(F.size("iw") > 0).distinct()
     items = cut(items.withColumn("span", F.least(F.size("iw"), F.lit(window))))
     lengths = sorted(r["span"] for r in items.select("span").distinct().collect())  # at most `window` values
-    every = None
-    for length in lengths:
-        gram = min(k, length) if length == window else length
-        own = items.where(F.col("span") == length)
-        index = own.select("item", F.explode(_grams(F.col("iw"), gram)).alias("f")).select("item", _position(F.col("f")).alias("q"), _hash_of(F.col("f")).alias("h"))
-        index = cut(index)
-        if index.count() <= BROADCAST_ROWS:
-            index = F.broadcast(index)
-        marks = let(words_of(text), _marks(gram, length - gram + 1))
-        found = docs.select(*name, F.explode(marks).alias("f")).select("k1", "k2", _position(F.col("f")).alias("p"), _hash_of(F.col("f")).alias("h"))
-        found = found.join(index, "h").select("k1", "k2", "item", (F.col("p") - F.col("q")).alias("diagonal"))
-        every = found if every is None else every.unionByName(found)
-    rows = docs.select(*name, text.alias("text"))
-    if every is None:
+    if not lengths:
         return docs.sparkSession.createDataFrame([], "k1 long, k2 long, n_hit long, n_items long, items_sha256 string")
-    every = every.distinct().join(items, "item")
-    every = cut(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "diagonal", "iw", "span")).alias("hits")))
-    weight = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + F.size(x["iw"]) * 16 + 64)
-    if (every.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_BYTES:
-        every = F.broadcast(every)
-    checked = rows.join(every, ["k1", "k2"]).select("k1", "k2", let(words_of(F.col("text")), _extended).alias("runs"))
-    verdict = checked.groupBy("k1", "k2").agg(F.first("runs").alias("runs")).where(F.size("runs") > 0)
-    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.flatten(F.transform(r["starts"], lambda s: F.sequence(s, s + r["span"] - 1))))))
-    names = F.sort_array(F.array_distinct(F.transform("runs", lambda r: r["item"])))
-    verdict = cut(verdict.select("k1", "k2", F.size(covered).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256")))
-    return F.broadcast(verdict) if verdict.count() <= BROADCAST_ROWS // 4 else verdict
+    gram = {n: min(k, n) if n == window else n for n in lengths}
+    own = reduce(lambda rest, n: F.when(F.col("span") == n, _grams(F.col("iw"), gram[n], n)).otherwise(rest), lengths, F.array().cast("array<bigint>"))
+    index = items.select("item", F.explode(own).alias("f")).select("item", _position(F.col("f")).alias("q"), _hash_of(F.col("f")).alias("h"))
+    marks = let(words_of(text), lambda words: F.flatten(F.array(*(let(_grams(words, gram[n], n), _winnowed(n - gram[n] + 1)) for n in lengths))))
+    found = docs.select(*name, F.explode(marks).alias("f")).select("k1", "k2", _position(F.col("f")).alias("p"), _hash_of(F.col("f")).alias("h"))
+    found = found.join(broadcast_if_small(cut(index), BROADCAST_ROWS), "h").select("k1", "k2", "item", (F.col("p") - F.col("q")).alias("diagonal"))
+    found = cut(found.groupBy("k1", "k2", "item").agg(F.collect_set("diagonal").alias("diagonals")))
+    names = broadcast_if_small(cut(found.select("k1", "k2").distinct()), BROADCAST_ROWS)
+    texts = docs.select(*name, text.alias("text")).join(names, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    runs = texts.join(found, ["k1", "k2"]).join(items, "item").select("k1", "k2", "item", let(words_of(F.col("text")), _runs).alias("runs")).where(F.size("runs") > 0)
+    per = runs.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"), F.sort_array(F.collect_set("item")).alias("items"))
+    verdict = per.select("k1", "k2", _covered(F.col("runs")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return broadcast_if_small(cut(verdict), BROADCAST_ROWS // 4)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -116,25 +107,34 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     return docs.withColumn("_name", F.struct(*_names(F.col(id_col), F.col(text_col)))).join(found, "_name", "left_anti").select(*docs.columns)
 
 
-def _marks(gram: int, span: int):
-    return lambda words: let(_grams(words, gram), lambda grams: _winnow(grams, span))
+def _winnowed(span: int):
+    return lambda grams: _winnow(grams, span)
+
+
+def _runs(words: Column) -> Column:
+    """Where an item's windows occur in the words along the hits' diagonals: (first, last) word of each run, ascending."""
+    size, span = F.size("iw"), F.col("span")
+    steps = F.transform("diagonals", lambda d: F.sequence(d, F.greatest(d, F.size(words)), F.lit(_POSITIONS + 1)))
 
+    def along(d: Column) -> Column:
+        same = lambda s: F.forall(F.sequence(F.lit(0), span - 1), lambda j: F.coalesce(F.get(words, s + d + j) == F.get(F.col("iw"), s + j), F.lit(False)))
+        return F.transform(F.filter(F.sequence(F.lit(0), size - span), same), lambda s: s + d)
 
-def _extended(words: Column) -> Column:
-    """Of every hit the starts, in the document, of its item's windows that occur along the hit's diagonal."""
+    starts = F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(steps), along))))
 
-    def runs(hit: Column) -> Column:
-        size, span = F.size(hit["iw"]), hit["span"]
-        first = hit["diagonal"]
-        diagonals = F.sequence(first, F.greatest(first, F.size(words)), F.lit(_POSITIONS + 1))
+    def joined(at: Column) -> Column:
+        firsts = F.filter(at, lambda s, i: (i == 0) | (s - F.get(at, i - 1) > span))
+        lasts = F.filter(at, lambda s, i: F.coalesce(F.get(at, i + 1) - s > span, F.lit(True)))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("a"), (b + span - 1).alias("b")))
 
-        def along(d: Column) -> Column:
-            whole = lambda s: F.forall(F.sequence(F.lit(0), span - 1), lambda j: F.coalesce(F.get(words, s + d + j) == F.get(hit["iw"], s + j), F.lit(False)))
-            return F.transform(F.filter(F.sequence(F.lit(0), size - span), whole), lambda s: s + d)
+    return let(starts, joined)
 
-        return F.struct(hit["item"].alias("item"), span.alias("span"), F.flatten(F.transform(diagonals, along)).alias("starts"))
 
-    return F.filter(F.transform(F.col("hits"), runs), lambda r: F.size(r["starts"]) > 0)
+def _covered(runs: Column) -> Column:
+    """How many words lie in runs, which ascend and may overlap."""
+    start = F.struct(F.lit(-1).alias("upto"), F.lit(0).cast("long").alias("n"))
+    add = lambda s, r: F.struct(F.greatest(s["upto"], r["b"]).alias("upto"), (s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(s["upto"], r["a"] - 1)).cast("long")).alias("n"))
+    return F.aggregate(runs, start, add, lambda s: s["n"])
 
 
 def op9_decontam(spark, sf_dir: str) -> DataFrame:
