@@ -39,11 +39,16 @@ def _byte_letters() -> dict[str, int]:
 
 
 def ranks_of(path: str) -> dict[bytes, int] | None:
-    """A byte-level BPE file's tokens as bytes with their ids, if the ids are the order of the merges; else None."""
+    """A byte-level BPE file's tokens as bytes with their ids, if the ids are the order of the merges and nothing but the usual
+    splitting at words is done before them; else None."""
     import json
 
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        spec = json.load(file)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False:
+        return None
     vocabulary, letters = model["vocab"], _byte_letters()
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     ids = [vocabulary.get(a + b) for a, b in pairs]
@@ -53,13 +58,22 @@ def ranks_of(path: str) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in token): vocabulary[token] for token in [*letters, *(a + b for a, b in pairs)]}
 
 
+def added_tokens(path: str) -> list[str]:
+    """The strings that a tokenizer file gives ids of their own, before it looks at anything else."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        return sorted(t["content"] for t in json.load(file).get("added_tokens") or [] if t["content"])
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, for byte-level BPE whose words begin at a space.
 
     Such a tokenizer never joins characters across a space that follows a character which isn't white space and precedes
     one which isn't: a text without white space after a space, and without a space at its end, is the concatenation of
     its space-led words. Their ids are kept by word (a cache of at most `most` words, emptied when full). New words are encoded
-    together by the same merges in one string, and cut where words end; any other text goes through the tokenizer whole.
+    together by the same merges in one string, and cut where words end. Any other text goes through the tokenizer whole: one that
+    holds an added token's string ("<|endoftext|>"), which is that token's id, and every text of a file that ranks_of() doesn't read.
     """
 
     # The fixed pattern of this kind of byte-level BPE.
@@ -75,7 +89,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = added_tokens(path)
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.most = most
         self.known: dict[str, bytes] = {}
         self.spaced = re.compile(r" \s").search
@@ -100,8 +115,6 @@ class Encoder:
 
         if not words:
             return []
-        if self.merges is None:
-            return self.whole([" " + w for w in words])
         ids = np.array(self.merges.encode_ordinary(" " + " ".join(words)), dtype="<u4")
         ends = np.cumsum(self.sizes[ids])
         wanted = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
@@ -116,7 +129,8 @@ class Encoder:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        words = [t.split(" ") if t and t[0] != " " and t[-1] != " " and not self.spaced(t) else None for t in texts]
+        apart = lambda t: t and t[0] != " " and t[-1] != " " and not self.spaced(t) and not self.added(t)
+        words = [t.split(" ") if self.merges is not None and apart(t) else None for t in texts]
         new = list({w for ws in words if ws for w in ws[1:] if w not in known})
         known.update(zip(new, self.together(new)))
         firsts = iter(self.whole([ws[0] if ws else t for ws, t in zip(words, texts)]))
