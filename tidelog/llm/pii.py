@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
 Patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers (see `base_spans`). The tagger is trained in numpy
-on windows with labelled spans: what the patterns find in a bounded sample of documents, those windows with spans written in
+on windows with labelled spans: what the patterns find in a bounded sample of documents (the first 20 spans of each), those windows with spans written in
 other ways (without a plus sign, with "(at)" and "dot", with other separators), and numbers that aren't personal data.
 It is applied to overlapping windows around every place that can be part of such a span (a digit, "@", or "at" in brackets
 or before a domain, in any case) and the whole run of an address around it, decoded by Viterbi; a character takes its tag from the window in whose middle it lies best, and spans are read from the reconciled tags
@@ -24,7 +24,7 @@ from tidelog.llm.common import chunks
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a match never begins within a run of digits: an earlier start would match as well
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -211,7 +211,7 @@ class Tagger:
             grads["c" + side] += da.sum(axis=0)
             dh, dc = da @ wh.T, dc * f
 
-    def fit(self, windows: list[tuple[str, list[int]]], steps: int = 160, batch: int = 48, rate: float = 0.02, seed: int = 5) -> None:
+    def fit(self, windows: list[tuple[str, list[int]]], steps: int = 320, batch: int = 48, rate: float = 0.02, seed: int = 5) -> None:
         """windows: texts of the window's length and a tag for each character."""
         import numpy as np
 
