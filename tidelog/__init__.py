@@ -1 +1,8 @@
-"""tidelog: log analytics on PySpark (streams, keyed state, queues, counters and their checks)."""
+"""Log analytics on PySpark: one append-only log, read as streams, state, queues and counters."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: functions sent to them carry their code along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -16,23 +16,33 @@ JUMP = 2862933555777941757
 CRC64_XZ = 0xC96C5795D7870F42
 
 
-def fnv1a(values: list[bytes], separators: bool = False):
-    """FNV-1a of each value; bytes at the same place of all values are taken together. With separators, 0xFF ends a field: fields are split at NUL."""
+def _bytewise(values: list[bytes], start: int, step):
+    """step(states, byte) over the bytes of all values, a place of all of them at a time; the longest come first, so that those still
+    running are a prefix, and no more is held than the values themselves."""
     import numpy as np
 
     sizes = np.fromiter((len(v) for v in values), np.int64, len(values))
-    width = int(sizes.max()) if len(values) else 0
-    grid = np.zeros((len(values), width), np.uint64)
-    for i, v in enumerate(values):
-        grid[i, : len(v)] = np.frombuffer(v, np.uint8)
-    h = np.full(len(values), FNV_BASIS, np.uint64)
-    for j in range(width):
-        inside = sizes > j
-        byte = grid[:, j]
-        if separators:
-            byte = np.where(byte == 0, np.uint64(0xFF), byte)
-        h = np.where(inside, (h ^ byte) * np.uint64(FNV_PRIME), h)
-    return h
+    order = np.argsort(-sizes, kind="stable")
+    every = np.frombuffer(b"".join(values), np.uint8)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    state = np.full(len(values), start, np.uint64)
+    ends = np.sort(sizes)
+    for at in range(int(sizes.max(initial=0))):
+        n = len(sizes) - int(np.searchsorted(ends, at, "right"))
+        state[:n] = step(state[:n], every[starts[:n] + at].astype(np.uint64))
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def fnv1a(values: list[bytes], separators: bool = False):
+    """FNV-1a of each value. With separators, 0xFF ends a field: fields are split at NUL."""
+    import numpy as np
+
+    def step(h, byte):
+        return (h ^ (np.where(byte == 0, np.uint64(0xFF), byte) if separators else byte)) * np.uint64(FNV_PRIME)
+
+    return _bytewise(values, FNV_BASIS, step)
 
 
 def finalize(h):
@@ -122,31 +132,53 @@ def crc64(data: bytes, table: list[int] | None = None) -> int:
 
 
 def crc64_all(payloads: list[bytes]):
-    """CRC-64/XZ of every payload, a byte of all of them at a time; the longest come first, so that those still running are a prefix."""
+    """CRC-64/XZ of every payload."""
     import numpy as np
 
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    every = np.frombuffer(b"".join(payloads), np.uint8)
-    starts = (np.cumsum(sizes) - sizes)[order]
     table = np.array(crc64_table(), np.uint64)
-    crc = np.full(len(payloads), (1 << 64) - 1, np.uint64)
-    ends = np.sort(sizes)
-    for at in range(int(sizes.max(initial=0))):
-        n = len(sizes) - int(np.searchsorted(ends, at, "right"))
-        own = crc[:n]
-        crc[:n] = table[((own ^ every[starts[:n] + at]) & np.uint64(0xFF)).astype(np.int64)] ^ (own >> np.uint64(8))
-    out = np.empty_like(crc)
-    out[order] = ~crc
-    return out
+    step = lambda crc, byte: table[((crc ^ byte) & np.uint64(0xFF)).astype(np.int64)] ^ (crc >> np.uint64(8))
+    return ~_bytewise(payloads, (1 << 64) - 1, step)
+
+
+def _raw(payloads) -> list[bytes]:
+    return [b"" if p is None else p.encode() if isinstance(p, str) else bytes(p) for p in payloads]
+
+
+def record_digests(payloads: list[bytes]):
+    """CRC-64/XZ of each payload's length (8 bytes, big-endian) and bytes."""
+    return crc64_all([len(r).to_bytes(8, "big") + r for r in payloads])
 
 
 def record_digest(payload: Column) -> Column:
-    """CRC-64/XZ of a payload's length (8 bytes, big-endian) and bytes, as a signed number."""
+    """The digest of a record, as a signed number."""
 
     @F.pandas_udf("long")
     def run(payload: pd.Series) -> pd.Series:
-        raw = [b"" if p is None else p.encode() if isinstance(p, str) else bytes(p) for p in payload]
-        return pd.Series(crc64_all([len(r).to_bytes(8, "big") + r for r in raw]).view("int64"))
+        return pd.Series(record_digests(_raw(payload)).view("int64"))
 
     return run(payload)
+
+
+def batch_digests(batches: list[list[bytes]]):
+    """The digest of each batch: from 0 on, the CRC-64/XZ of the digest so far and the next record's, both 8 bytes, big-endian."""
+    import numpy as np
+
+    sizes = np.fromiter((len(b) for b in batches), np.int64, len(batches))
+    records = record_digests([r for b in batches for r in b])
+    starts = np.cumsum(sizes) - sizes
+    state = np.zeros(len(batches), np.uint64)
+    for at in range(int(sizes.max(initial=0))):
+        on = np.flatnonzero(sizes > at)
+        pairs = np.stack([state[on], records[starts[on] + at]], axis=1).astype(">u8")
+        state[on] = crc64_all([p.tobytes() for p in pairs])
+    return state
+
+
+def batch_digest(payloads: Column) -> Column:
+    """The digest of a batch, an array of payloads in their order, as a signed number; 0 for an empty one."""
+
+    @F.pandas_udf("long")
+    def run(payloads: pd.Series) -> pd.Series:
+        return pd.Series(batch_digests([[] if p is None else _raw(p) for p in payloads]).view("int64"))
+
+    return run(payloads)

@@ -14,22 +14,12 @@ def escape(text: str) -> str:
     return _SPECIAL.sub(r"\\\1", text)
 
 
-def glob_regex(pattern: str) -> str:
-    """A permission glob: * is any run of characters; nothing else is special."""
-    return "(?s)^" + ".*".join(escape(p) for p in pattern.split("*")) + "$"
-
-
 def glob_regex_column(pattern: Column) -> Column:
-    """glob_regex over a column."""
+    """Permission globs as regular expressions: * is any run of characters; nothing else is special."""
     escaped = F.regexp_replace(pattern, r"([\\.^$|?+()\[\]{}])", r"\\$1")
     return F.concat(F.lit("(?s)^"), F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("$"))
 
 
-def segment_regex(pattern: str) -> str:
-    """A glob whose * stays within one segment between slashes."""
-    return "^" + "[^/]*".join(escape(p) for p in pattern.split("*")) + "$"
-
-
 def topic_regex(filter_: str) -> str:
     """A topic filter: + is one level, a last # the rest and its parent; a leading wildcard doesn't match topics that begin with $."""
     levels = filter_.split("/")

@@ -23,15 +23,22 @@ def micros(ts: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", zero, c)
 
 
+def scoped(rows: DataFrame, scope: dict[str, Column], by: list[str]) -> DataFrame:
+    """rows with their scope and their offset in it. The window is partitioned by the scope's own names, so that a filter on a scope passes
+    below it, and from there to the scan."""
+    order = Window.partitionBy(*scope).orderBy(*by)
+    return rows.withColumns(scope).withColumn("offset", (F.row_number().over(order) - 1).cast("long"))
+
+
 def log(spark: SparkSession, d: str) -> DataFrame:
     """One record per event, at its offset in (stream, shard)."""
-    order = Window.partitionBy("event_type", F.col("user_id") % 4).orderBy("ts", "event_id")
-    return table(spark, d, "events").select(
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "value", "props", F.col("event_type").alias("stream"))
+    return scoped(events, {"shard": (F.col("user_id") % 4).cast("int")} | {"stream": F.col("stream")}, ["ts", "event_id"]).select(
         F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant"),
         F.lit("default").alias("namespace"),
-        F.col("event_type").alias("stream"),
-        (F.col("user_id") % 4).cast("int").alias("shard"),
-        (F.row_number().over(order) - 1).cast("long").alias("offset"),
+        "stream",
+        "shard",
+        "offset",
         micros("ts").alias("ts_us"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key"),
         F.col("props").alias("payload"),
@@ -44,12 +51,11 @@ def log(spark: SparkSession, d: str) -> DataFrame:
 
 def cache_ops(spark: SparkSession, d: str) -> DataFrame:
     """Puts and deletes of a keyed cache, one shard per user_id modulo 4."""
-    order = Window.partitionBy(F.col("user_id") % 4).orderBy("ts", "event_id")
     ms = F.floor(micros("ts") / 1000).cast("long")
     deleted = F.col("event_type") == "error"
-    return table(spark, d, "events").select(
-        (F.col("user_id") % 4).cast("int").alias("shard"),
-        (F.row_number().over(order) - 1).cast("long").alias("offset"),
+    return scoped(table(spark, d, "events"), {"shard": (F.col("user_id") % 4).cast("int")}, ["ts", "event_id"]).select(
+        "shard",
+        "offset",
         ms.alias("ts_ms"),
         F.when(deleted, "delete").otherwise("put").alias("op"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key"),
@@ -61,36 +67,36 @@ def cache_ops(spark: SparkSession, d: str) -> DataFrame:
 
 def counter_ops(spark: SparkSession, d: str) -> DataFrame:
     """Signed deltas per event type; every 500th operation of a key is a checkpoint."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
     cents = F.round(F.col("value") * 100).cast("long")
-    rows = table(spark, d, "events").select(
-        F.col("event_type").alias("key"),
-        (F.row_number().over(order) - 1).cast("long").alias("offset"),
-        F.when(F.col("event_id") % 2 == 1, -cents).otherwise(cents).alias("amount"),
-    )
+    rows = scoped(table(spark, d, "events"), {"key": F.col("event_type")}, ["ts", "event_id"])
+    rows = rows.select("key", "offset", F.when(F.col("event_id") % 2 == 1, -cents).otherwise(cents).alias("amount"))
     return rows.withColumn("op", F.when(F.col("offset") % 500 == 250, "checkpoint").otherwise("delta"))
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
-    """One atomic commit per order: an event and the put and delete operations of its lines, in order."""
-    lines = table(spark, d, "lineitem")
-    op = F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+    """One atomic commit per order: shard, offset, event."""
+    heads = scoped(table(spark, d, "orders"), {"shard": (F.col("o_custkey") % 4).cast("int")}, ["o_orderdate", "o_orderkey"])
+    return heads.select("o_orderkey", "shard", "offset", F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("event"))
+
+
+def commit_ops(spark: SparkSession, d: str) -> DataFrame:
+    """The put and delete operations of the commits, a row each; place orders those of a commit."""
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("place"),
         F.when(F.col("l_linestatus") == "F", "delete").otherwise("put").alias("op"),
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("key"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("value"),
     )
-    ops = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(op)).alias("ops"))
-    order = Window.partitionBy(F.col("o_custkey") % 4).orderBy("o_orderdate", "o_orderkey")
-    heads = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4).cast("int").alias("shard"), (F.row_number().over(order) - 1).cast("long").alias("offset"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("event"))
-    return heads.join(ops, "o_orderkey", "left").drop("o_orderkey")
+    return lines.join(commits(spark, d).drop("event"), "o_orderkey")
 
 
 def producer(spark: SparkSession, d: str) -> DataFrame:
-    """Sends of idempotent producers, the re-sends (every tenth event) included; arrival is their order of arrival."""
+    """Sends of idempotent producers, the re-sends (every tenth event, every seventieth with another payload) included; arrival is their order of arrival."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     sends = table(spark, d, "events").select((F.col("user_id") % 4).cast("int").alias("shard"), F.col("user_id").alias("producer_id"), (F.row_number().over(order) - 1).cast("long").alias("sequence"), F.col("props").alias("payload"), "event_id", (F.col("event_id") * 2).alias("arrival"))
     again = sends.where("event_id % 10 = 0").withColumn("arrival", F.col("arrival") + 1 + 40 * (F.col("event_id") % 3))
+    again = again.withColumn("payload", F.when(F.col("event_id") % 70 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
     return sends.unionByName(again)
 
 
@@ -116,7 +122,8 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
     """Topic names from page addresses: host and path."""
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
     path = F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1)
-    return table(spark, d, "pages").select("page_id", F.concat(host, F.lit("/"), path).alias("topic"), host.alias("host"), F.split(path, "/")[0].alias("section"))
+    tenant = F.concat(F.lit("t"), (F.length(host) % 3).cast("string"))
+    return table(spark, d, "pages").select("page_id", tenant.alias("tenant"), F.concat(host, F.lit("/"), path).alias("topic"), host.alias("host"), F.split(path, "/")[0].alias("section"))
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:

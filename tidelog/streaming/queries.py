@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/streams"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tidelog.functions.tables import shared_path
+from tidelog.operators import projections, queues
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -53,3 +48,54 @@ def windows(rows: DataFrame, window: Column, keys: list[str]) -> DataFrame:
     """Counts and sums of cents per window and key; rows: ts (an instant), cents."""
     t = rows.withWatermark("ts", "1 hour").groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
     return t.select(F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), *keys, "n", "cents")
+
+
+def cache_watch(ops: DataFrame, filter_: Column, since: int, now_ms: int) -> DataFrame:
+    """A live watch over a cache's stored log, from an offset on: the state below it as a batch, then the changes as a stream, until the stream has
+    caught up with what there is. A row is in one of them only, by its offset."""
+    spark, path = ops.sparkSession, shared_path(ops.sparkSession, "cache-log")
+    ops.write.partitionBy("shard").parquet(path)
+    table = spark.read.schema(ops.schema).parquet(path)
+    kept = projections.cache_latest(table.where(filter_ & (F.col("offset") < since)), now_ms)
+    retained = kept.select(F.lit("retained").alias("phase"), "shard", "key", F.col("version").alias("offset"), "value")
+    live = spark.readStream.schema(ops.schema).parquet(path).where(filter_ & (F.col("offset") >= since))
+    return retained.unionByName(drained(live.select(F.lit("change").alias("phase"), "shard", "key", "offset", "value"), "watch"))
+
+
+CLAIM_ROWS = "stream string, shard int, at_ms long, seq long, event string, offset long, result string, attempts int"
+
+
+def claims(events: DataFrame, visibility_ms: int, bound: int = 5) -> DataFrame:
+    """What becomes of polls and answers, as queues.queue_claims tells it, for a stream of events with a watermark on `at`: the group's queue on
+    a shard is the state of its key. A timer at the first deadline tells of claims that lapsed (event timer, result lapsed) without waiting for a poll.
+    Events of a micro-batch are put in order; a micro-batch must not hold events before those of an earlier one."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = [c.split()[0] for c in CLAIM_ROWS.split(", ")]
+
+    def run(key, batches, state):
+        import pickle
+
+        queue = queues.Deliveries(visibility_ms, bound)
+        if state.exists:
+            queue.__dict__.update(pickle.loads(state.get[0]))
+        out = []
+        if state.hasTimedOut:
+            now = state.getCurrentWatermarkMs()
+            for offset, c in sorted(queue.claims.items()):
+                if now >= c["until"] and not c.get("told"):
+                    c["told"] = True
+                    out.append((*key, now, -1, "timer", offset, "lapsed", c["attempts"]))
+        else:
+            rows = pd.concat(list(batches)).sort_values(["at_ms", "seq"]).to_dict("records")
+            for r in rows:
+                out += queues.happen(queue, r)
+        state.update((pickle.dumps(queue.__dict__),))
+        deadlines = [c["until"] for c in queue.claims.values() if not c.get("told")]
+        if deadlines:
+            state.setTimeoutTimestamp(max(min(deadlines), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names).astype({"attempts": "Int32"})
+
+    rows = events.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", "0 seconds")
+    return rows.groupBy("stream", "shard").applyInPandasWithState(run, CLAIM_ROWS, "queue binary", "append", GroupStateTimeout.EventTimeTimeout)
