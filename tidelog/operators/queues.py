@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.folds import ordered_fold
-from tidelog.functions.hashing import rendezvous_score
+from tidelog.functions.hashing import batch_digest, rendezvous_score
 
 SHARD = ("stream", "shard")
 WINDOW = 64
@@ -103,31 +105,41 @@ def group_describe(acks: DataFrame, bound: int = 5) -> DataFrame:
 
 
 def idempotent_dedupe(sends: DataFrame) -> DataFrame:
-    """A verdict for each send, where producers leave no gap: the first of a sequence appends; a repeat is a duplicate, or expired if the window has moved past it."""
+    """A verdict for each send, where producers leave no gap: the first of a sequence appends; a repeat is expired if the window has moved
+    past it, reused if its payload isn't the first one's, else a duplicate."""
     of_seq = Window.partitionBy("shard", "producer_id", "sequence").orderBy("arrival")
     so_far = Window.partitionBy("shard", "producer_id").orderBy("arrival")
-    rows = sends.withColumn("n", F.row_number().over(of_seq)).withColumn("following", F.max("sequence").over(so_far) + 1)
-    verdict = F.when(F.col("n") == 1, "append").when(F.col("sequence") < F.col("following") - WINDOW, "expired").otherwise("duplicate")
+    rows = sends.withColumn("n", F.row_number().over(of_seq)).withColumn("same", F.first("payload").over(of_seq).eqNullSafe(F.col("payload")))
+    rows = rows.withColumn("following", F.max("sequence").over(so_far) + 1)
+    verdict = F.when(F.col("n") == 1, "append").when(F.col("sequence") < F.col("following") - WINDOW, "expired").when(~F.col("same"), "reused").otherwise("duplicate")
     return rows.select("shard", "producer_id", "sequence", "arrival", verdict.alias("verdict"))
 
 
 def idempotent_fold(sends: DataFrame, wrap: int | None = None) -> DataFrame:
-    """The exact verdict for each send, gaps included; sequences wrap at `wrap`. An ordered fold per producer of a shard."""
+    """The exact verdict for each send, gaps included; sequences wrap at `wrap`. An ordered fold per producer of a shard.
+
+    The digests of the last WINDOW batches are remembered; a send is a batch of one payload.
+    """
 
     def step(state: dict, r: dict):
         following, seq = state.get("next"), r["sequence"]
+        recent = state.setdefault("recent", {})
         if following is None:
             verdict = "append" if seq == 0 else "unknown"
         else:
             ahead = (seq - following) % wrap if wrap else seq - following
             if wrap and ahead >= wrap // 2:
                 ahead -= wrap
-            verdict = "append" if ahead == 0 else "gap" if ahead > 0 else "expired" if ahead < -WINDOW else "duplicate"
+            verdict = "append" if ahead == 0 else "gap" if ahead > 0 else "expired" if seq not in recent else "duplicate" if recent[seq] == r["digest"] else "reused"
         if verdict == "append":
             state["next"] = (seq + 1) % wrap if wrap else seq + 1
+            recent[seq] = r["digest"]
+            if len(recent) > WINDOW:
+                del recent[next(iter(recent))]
         yield r["shard"], r["producer_id"], seq, r["arrival"], verdict
 
-    return ordered_fold(sends, ["shard", "producer_id"], ["arrival"], dict, step, "shard int, producer_id long, sequence long, arrival long, verdict string")
+    rows = sends.select("shard", "producer_id", "sequence", "arrival", batch_digest(F.array("payload")).alias("digest"))
+    return ordered_fold(rows, ["shard", "producer_id"], ["arrival"], dict, step, "shard int, producer_id long, sequence long, arrival long, verdict string")
 
 
 def producer_lru(sends: DataFrame, keep: int) -> DataFrame:
@@ -214,64 +226,132 @@ def conditional_publish(attempts: DataFrame) -> DataFrame:
     return ordered_fold(attempts, list(SHARD), ["arrival"], dict, step, "stream string, shard int, arrival long, applied boolean, first_offset long, tail long")
 
 
+#: The most records and bytes of one poll, and records of a group that may be in flight on a shard.
+POLL_RECORDS, POLL_BYTES, IN_FLIGHT = 1000, 4 << 20, 10_000
+
+
+class Deliveries:
+    """The queue of one group on one shard: what is claimed, until when, and what is settled.
+
+    A claim lapses at its deadline and its record is owed again. A poll hands out what is owed before what is new, in order of offsets, within
+    the bounds of a poll and of what may be in flight; a record over the bound of attempts becomes a dead letter instead. Only what was
+    handed out is acknowledged or given back (with a delay); a claim is extended by who holds it, unless it lapsed or was given back.
+    """
+
+    def __init__(self, visibility_ms: int, bound: int):
+        self.visibility_ms, self.bound = visibility_ms, bound
+        self.claims: dict[int, dict] = {}
+        self.settled: set[int] = set()  # at or above cursor
+        self.cursor = 0
+        self.sizes: dict[int, int] = {}  # of records that aren't settled
+        self.new: deque[int] = deque()  # offsets that were never handed out
+
+    def publish(self, offset: int, size: int) -> None:
+        self.sizes[offset] = size
+        self.new.append(offset)
+
+    def settle(self, offset: int) -> None:
+        self.claims.pop(offset, None)
+        self.sizes.pop(offset, None)
+        self.settled.add(offset)
+        while self.cursor in self.settled:
+            self.settled.discard(self.cursor)
+            self.cursor += 1
+
+    def poll(self, now: int, consumer: str, most: int, visibility_ms: int | None = None):
+        """(offset, result, attempts) of what the poll gives."""
+        most, room, given = min(most, POLL_RECORDS), POLL_BYTES, 0
+        flying = sum(now < c["until"] for c in self.claims.values())
+        owed = deque(sorted(o for o, c in self.claims.items() if now >= c["until"]))
+        while source := owed or self.new:
+            offset = source[0]
+            c = self.claims.get(offset)
+            if c and c["attempts"] >= self.bound:
+                source.popleft()
+                self.settle(offset)
+                yield offset, "dead_letter", c["attempts"]
+                continue
+            size = self.sizes.get(offset, 0)
+            if given >= most or flying >= IN_FLIGHT or (given and size > room):
+                break
+            source.popleft()
+            attempts = c["attempts"] + 1 if c else 1
+            self.claims[offset] = {"until": now + (visibility_ms or self.visibility_ms), "attempts": attempts, "holder": consumer, "delayed": False}
+            given, flying, room = given + 1, flying + 1, room - size
+            yield offset, "redelivered" if c else "delivered", attempts
+
+    def answer(self, event: str, now: int, offset: int, consumer: str, delay_ms: int) -> str:
+        c = self.claims.get(offset)
+        if c is None:
+            return "ignored"
+        if event in ("ack", "dead_letter"):
+            self.settle(offset)
+            return "acked" if event == "ack" else "dead_letter"
+        if event == "nack":
+            c.update(until=now + delay_ms, delayed=True)
+            return "owed"
+        if now >= c["until"] or c["holder"] != consumer or c["delayed"]:
+            return "ignored"
+        c["until"] = now + self.visibility_ms
+        return "extended"
+
+
+def happen(queue: Deliveries, r: dict) -> list[tuple]:
+    """The rows that one event gives."""
+    at = (r["stream"], r["shard"], r["at_ms"], r["seq"], r["event"])
+    if r["event"] == "publish":
+        queue.publish(r["offset"], r["size"])
+        return []
+    if r["event"] == "poll":
+        return [(*at, offset, result, attempts) for offset, result, attempts in queue.poll(r["at_ms"], r["consumer"], r["most"])]
+    result = queue.answer(r["event"], r["at_ms"], r["offset"], r["consumer"], r["delay_ms"])
+    held = queue.claims.get(r["offset"])
+    return [(*at, r["offset"], result, held["attempts"] if held else None)]
+
+
 def queue_claims(events: DataFrame, visibility_ms: int, bound: int = 5) -> DataFrame:
-    """Claims of one group per shard under poll, ack, nack (with delay), extend and time: an ordered fold.
+    """What becomes of a group's polls and answers on every shard: an ordered fold.
 
-    events: stream, shard, at_ms, event, offset, consumer, delay_ms. A claim lapses at its deadline and the record is owed again; the next
-    poll hands it out with one more attempt, or it becomes a dead letter over the bound. A lapsed or delayed claim isn't extended.
+    events: stream, shard, at_ms, seq (order among events of a time), event (publish, poll, ack, nack, extend, dead_letter), offset, size, consumer, most
+    (records of a poll), delay_ms. A row for each record that a poll gives, and for each answer.
     """
+    schema = "stream string, shard int, at_ms long, seq long, event string, offset long, result string, attempts int"
+    return ordered_fold(events, list(SHARD), ["at_ms", "seq"], lambda: Deliveries(visibility_ms, bound), happen, schema)
 
-    def step(state: dict, r: dict):
-        claims, off, now = state["claims"], r["offset"], r["at_ms"]
-        c = claims.get(off)
-        lapsed = c is not None and now >= c["until"]
-        result = "ignored"
-        if r["event"] == "poll":
-            if off in state["done"]:
-                result = "settled"
-            elif c is None:
-                claims[off] = {"until": now + visibility_ms, "attempts": 1, "holder": r["consumer"], "delayed": False}
-                result = "delivered"
-            elif not lapsed:
-                result = "redelivered" if c["holder"] == r["consumer"] and not c["delayed"] else "held"
-            elif c["attempts"] >= bound:
-                state["done"].add(off)
-                del claims[off]
-                result = "dead_letter"
-            else:
-                claims[off] = {"until": now + visibility_ms, "attempts": c["attempts"] + 1, "holder": r["consumer"], "delayed": False}
-                result = "delivered"
-        elif c is not None and r["event"] == "ack":
-            del claims[off]
-            state["done"].add(off)
-            result = "acked"
-        elif c is not None and r["event"] == "nack":
-            c.update(until=now + r["delay_ms"], delayed=True)
-            result = "owed"
-        elif c is not None and r["event"] == "extend" and not lapsed and not c["delayed"]:
-            c["until"] = now + visibility_ms
-            result = "extended"
-        yield r["stream"], r["shard"], now, off, r["event"], result, claims[off]["attempts"] if off in claims else None
-
-    return ordered_fold(events, list(SHARD), ["at_ms", "offset", "event"], lambda: {"claims": {}, "done": set()}, step, "stream string, shard int, at_ms long, offset long, event string, result string, attempts int")
-
-
-def tenant_rate(sends: DataFrame, rate: int, burst: int, most_debt_ms: int = 5000) -> DataFrame:
-    """Token buckets per tenant, debt allowed: a publish is admitted while the balance isn't negative, and then takes its whole cost.
-
-    sends: tenant, at_us, cost. wait_ms: how long the tenant must wait for its balance, most_debt_ms at most.
+
+#: How far a tenant's balance may fall below zero, in seconds of its rate.
+MOST_DEBT_S = 5.0
+
+
+def tenant_rate(sends: DataFrame, msgs_per_sec: float, bytes_per_sec: float, burst_s: float) -> DataFrame:
+    """Token buckets of messages and of bytes per tenant, debt allowed: a publish is admitted unless a balance is below zero, and then takes
+    its whole cost. An ordered fold per tenant; a rate of 0 is no bound.
+
+    sends: tenant, at_us, msgs, bytes. wait_ms: how long a refused tenant has to wait until no balance is below zero, rounded up.
     """
+    import math
+
+    rates = [r for r in (msgs_per_sec, bytes_per_sec)]
 
     def step(state: dict, r: dict):
-        balance = state.get("balance", burst * 1_000_000)
-        balance = min(burst * 1_000_000, balance + rate * (r["at_us"] - state.get("at", r["at_us"])))
-        wait = 0 if balance >= 0 else min(most_debt_ms, -(balance // rate) // 1000)
-        admitted = wait == 0
-        state.update(balance=balance - r["cost"] * 1_000_000 * admitted, at=r["at_us"])
-        yield r["tenant"], r["at_us"], r["cost"], admitted, wait
+        elapsed = max(0, r["at_us"] - state.get("at", r["at_us"])) / 1e6
+        caps = [max(rate * burst_s, 1.0) for rate in rates]
+        tokens = [min(t + elapsed * rate, cap) for t, rate, cap in zip(state.get("tokens", caps), rates, caps)]
+        wait = max((math.ceil(-t / rate * 1000) for t, rate in zip(tokens, rates) if rate and t < 0), default=0)
+        if not wait:
+            tokens = [max(t - cost, -rate * MOST_DEBT_S) for t, cost, rate in zip(tokens, (r["msgs"], r["bytes"]), rates)]
+        state.update(tokens=tokens, at=max(r["at_us"], state.get("at", r["at_us"])))
+        yield r["tenant"], r["at_us"], r["msgs"], r["bytes"], not wait, wait
+
+    return ordered_fold(sends, ["tenant"], ["at_us", "bytes"], dict, step, "tenant string, at_us long, msgs long, bytes long, admitted boolean, wait_ms long")
+
 
-    return ordered_fold(sends, ["tenant"], ["at_us", "cost"], dict, step, "tenant string, at_us long, cost long, admitted boolean, wait_ms long")
+def dead_letter_list(groups: DataFrame) -> DataFrame:
+    """The dead letters of every group, a row each, in order of offsets; groups: shard, grp, dead (group_fold's rows)."""
+    return groups.select("shard", "grp", F.explode(F.array_sort("dead")).alias("offset"))
 
 
-def lag(committed: Column, tail: Column) -> Column:
-    return tail - F.coalesce(committed, F.lit(0))
+def attempts_of(claims: DataFrame) -> DataFrame:
+    """Claims (shard, grp, offset, idx) with the number of the attempt, and whether it is a redelivery."""
+    order = Window.partitionBy("shard", "grp", "offset").orderBy("idx")
+    return claims.withColumn("attempt", F.row_number().over(order)).withColumn("redelivered", F.col("attempt") > 1)
