@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rounds of a paired comparison, and the rank of the ends of the median's interval.
@@ -83,19 +83,62 @@ def welch_p(t: Column, df: Column) -> Column:
 
 
 def welch(runs: DataFrame, key: str, side: str, metric: str) -> DataFrame:
-    """Mean, sample variance and coefficient of variation of both sides, Welch's t and its degrees of freedom."""
+    """Of each side the number, mean, median, sample variance (0 of one value) and coefficient of variation in percent; Welch's t, its degrees
+    of freedom and p-value, null where a side has fewer than two values. Sides without any spread: t 0, and a p-value near 0 unless they are equal."""
     base, cand = F.when(~F.col(side), F.col(metric)), F.when(F.col(side), F.col(metric))
-    t = runs.groupBy(key).agg(F.count(base).alias("n0"), F.avg(base).alias("m0"), F.var_samp(base).alias("v0"), F.count(cand).alias("n1"), F.avg(cand).alias("m1"), F.var_samp(cand).alias("v1"))
+    stats = []
+    for n, values in enumerate((base, cand)):
+        stats += [F.count(values).alias(f"n{n}"), F.avg(values).alias(f"m{n}"), F.median(values).alias(f"median{n}"), F.coalesce(F.var_samp(values), F.lit(0.0)).alias(f"v{n}")]
+    t = runs.groupBy(key).agg(*stats)
     s0, s1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    t = t.withColumn("t", (F.col("m1") - F.col("m0")) / F.sqrt(s0 + s1))
-    return t.withColumn("df", (s0 + s1) ** 2 / (s0**2 / (F.col("n0") - 1) + s1**2 / (F.col("n1") - 1))).withColumn("cv0", F.sqrt("v0") / F.col("m0"))
+    enough, flat = (F.col("n0") >= 2) & (F.col("n1") >= 2), (s0 + s1) <= 0
+    t = t.withColumn("t", F.when(enough & flat, 0.0).when(enough, (F.col("m0") - F.col("m1")) / F.sqrt(s0 + s1)))
+    free = (s0 + s1) ** 2 / (s0**2 / F.greatest(F.col("n0") - 1, F.lit(1)) + s1**2 / F.greatest(F.col("n1") - 1, F.lit(1)))
+    t = t.withColumn("df", F.when(enough & flat, (F.col("n0") + F.col("n1") - 2).cast("double")).when(enough, free))
+    p = F.when(enough & flat, F.when(F.col("m0") == F.col("m1"), 0.0).otherwise(1e-12)).when(enough, welch_p(F.coalesce("t", F.lit(0.0)), F.coalesce("df", F.lit(1.0))))
+    cv = lambda n: F.when((F.col(f"n{n}") >= 2) & (F.col(f"m{n}") != 0), F.sqrt(f"v{n}") / F.col(f"m{n}") * 100)
+    return t.withColumn("p", p).withColumn("cv0", cv(0)).withColumn("cv1", cv(1))
 
 
-def regression_verdict(runs: DataFrame, key: str, side: str, metric: str, p: float = 0.05, effect: float = 0.03) -> DataFrame:
-    """regression or improvement where the change is significant and at least `effect`; higher is better."""
-    t = welch(runs, key, side, metric).withColumn("p", welch_p(F.col("t"), F.col("df"))).withColumn("change", F.col("m1") / F.col("m0") - 1)
-    verdict = F.when((F.col("p") < p) & (F.col("change") <= -effect), "regression").when((F.col("p") < p) & (F.col("change") >= effect), "improvement").otherwise("same")
-    return t.select(key, "n0", "n1", "m0", "m1", "change", "t", "df", "p", verdict.alias("verdict"))
+def regression_verdict(runs: DataFrame, key: str, side: str, metric: str, higher_is_worse: bool, alpha: float = 0.05, least_pct: float = 3.0, inconclusive_pct: float = 10.0) -> DataFrame:
+    """The change of the median in percent, and a status: regression where it is for the worse, significant and at least least_pct; inconclusive
+    where it is for the worse and at least inconclusive_pct, but no regression; insufficient_data without values on both sides; else ok."""
+    t = welch(runs, key, side, metric)
+    change = F.when(F.col("median0") == 0, 0.0).otherwise((F.col("median1") - F.col("median0")) / F.nullif("median0", F.lit(0.0)) * 100)
+    t = t.withColumn("pct_change", change)
+    worse = F.col("pct_change") > 0 if higher_is_worse else F.col("pct_change") < 0
+    size = F.abs("pct_change")
+    status = F.when((F.col("n0") == 0) | (F.col("n1") == 0), "insufficient_data").when(worse & F.coalesce(F.col("p") < alpha, F.lit(False)) & (size >= least_pct), "regression")
+    status = status.when(worse & (size >= inconclusive_pct), "inconclusive").otherwise("ok")
+    return t.select(key, "n0", "n1", "median0", "median1", "pct_change", "t", "df", "p", "cv0", "cv1", status.alias("status"))
+
+
+#: A run as its log line gives it.
+RUN = "run_id string, session_id string, timestamp string, git_sha string, success boolean, workload struct<name:string,size:int>, host_info struct<host:string>, metrics struct<cents:double>"
+
+
+def load_runs(spark: SparkSession, path: str) -> DataFrame:
+    """A JSONL log of runs, flat: one row for each line that is a run, in any order; other lines are left out."""
+    lines = spark.read.schema(f"{RUN}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return lines.where("_bad IS NULL AND run_id IS NOT NULL").select("run_id", F.col("session_id").alias("session"), F.to_timestamp("timestamp").alias("at"), "git_sha", (~F.coalesce("success", F.lit(False))).alias("failed"), "workload.name", "workload.size", "host_info.host", "metrics.cents")
+
+
+def write_report(rows: DataFrame, path: str, form: str) -> None:
+    """A report as CSV (with names) or Parquet; csv's only bounded input are aggregated rows."""
+    writer = rows.write.mode("overwrite")
+    writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)
+
+
+def reservoir(rows: DataFrame, by: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
+    """A uniform sample of n rows of each group (all, if it has fewer), the same for the same seed: those of the least hashes of their key.
+
+    A group's rows are first reduced within slices of the hash, then once more, so that no group has to be in one task.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    for part in ([F.pmod(F.col("_h"), F.lit(64))], []):
+        order = Window.partitionBy(*by, *part).orderBy("_h", key)
+        hashed = hashed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+    return hashed.drop("_h")
 
 
 def latest_session(runs: DataFrame) -> DataFrame:

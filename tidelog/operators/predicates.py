@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.hashing import shard_modulo
 from tidelog.functions.patterns import best_match, glob_regex_column, topic_fault
 
 # A grant of the first action also allows the others.
@@ -21,11 +22,11 @@ def topic_match(topics: DataFrame, filters: list[tuple[str, int]]) -> DataFrame:
 
 
 def longest_mount(topics: DataFrame, mounts: DataFrame) -> DataFrame:
-    """Topics with the mount of the longest prefix. The lengths that prefixes have are few, so prefixes are joined by equality; those lengths, one row,
-    are broadcast."""
+    """Topics (with their tenant) and their tenant's mount of the longest prefix. The lengths that prefixes have are few, so prefixes are
+    joined by equality; those lengths, one row, are broadcast."""
     lengths = mounts.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths")).withColumn("_k", F.lit(1))
     rows = topics.withColumn("_k", F.lit(1)).join(F.broadcast(lengths), "_k").withColumn("_p", F.explode(F.filter("lengths", lambda n: n <= F.length("topic"))))
-    rows = rows.withColumn("prefix", F.col("topic").substr(F.lit(1), F.col("_p"))).join(mounts, "prefix")
+    rows = rows.withColumn("prefix", F.col("topic").substr(F.lit(1), F.col("_p"))).join(mounts, ["tenant", "prefix"])
     best = rows.groupBy(*topics.columns).agg(F.max_by(F.struct("prefix", "stream"), "_p").alias("m"))
     return best.select(*topics.columns, F.col("m.prefix").alias("prefix"), F.col("m.stream").alias("stream"))
 
@@ -37,6 +38,20 @@ def mount_overlap(mounts: DataFrame) -> DataFrame:
     return pairs.select("tenant", F.col("prefix").alias("shorter"), "longer").distinct()
 
 
+def subscribed(topics: DataFrame, records: DataFrame, filters: list[tuple[str, int]], offset: int) -> DataFrame:
+    """What a topic subscription reads from an offset on: the records (stream, shard, offset, topic), from all shards, of topics that a filter matches."""
+    fits = topic_match(topics, filters).where("fault IS NULL AND qos IS NOT NULL").select("topic", "qos").distinct()
+    return records.where(F.col("offset") >= offset).join(fits, "topic")
+
+
+def publish_headers(messages: DataFrame, shards: int) -> DataFrame:
+    """Topic publishes (topic, payload, qos, retain, content_type) as records: the topic is the key, so that a topic stays in one shard; the
+    message's own fields become headers, those that are set."""
+    header = lambda name: F.struct(F.lit(name).alias("name"), F.col(name).cast("string").alias("value"))
+    fields = F.filter(F.array(header("qos"), header("retain"), header("content_type")), lambda h: h["value"].isNotNull())
+    return messages.select(F.col("topic").alias("key"), shard_modulo(F.col("topic"), shards).alias("shard"), "payload", fields.alias("headers"))
+
+
 def header_view(records: DataFrame, reserved: str) -> DataFrame:
     """Headers (ordered, names may repeat) as one value per name, the last; and whether a name is reserved."""
     names = F.array_distinct(F.transform("headers", lambda h: h["name"]))
@@ -61,24 +76,28 @@ def granted(requests: DataFrame, grants: DataFrame) -> DataFrame:
 
 def scoped_granted(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """Cache-key requests (principal, resource of tenant/namespace/cache/key), matched segment by segment: a * in the first three
-    stays within its segment, the last is an exact key, or a prefix before a final *. Principals with a grant narrowed to a group are left out."""
-    own = grants.where("pattern IS NOT NULL").withColumn("_s", F.split("pattern", "/", 4)).withColumn("_r", F.transform(F.slice("_s", 1, 3), glob_regex_column))
-    parts = requests.withColumn("_q", F.split("resource", "/", 4))
-    key, want = F.col("_q")[3], F.col("_s")[3]
-    fits = F.size("_q").eqNullSafe(4) & F.size("_s").eqNullSafe(4)
+    stays within its segment, the last is an exact key, or a prefix before a final *. Principals with a grant narrowed to a group are left out.
+
+    A request's key is looked up as it is, and by its beginnings of the lengths that prefixes have (few, one row, broadcast): grants are joined by
+    equality, so that a principal's grants aren't tried on all its requests.
+    """
+    own = grants.where("pattern IS NOT NULL").select("principal", F.split("pattern", "/", 4).alias("_s")).where("size(_s) = 4")
+    want = F.col("_s")[3]
+    own = own.select("principal", want.endswith("*").alias("open"), F.when(want.endswith("*"), F.expr("substring(_s[3], 1, length(_s[3]) - 1)")).otherwise(want).alias("want"), F.transform(F.slice("_s", 1, 3), glob_regex_column).alias("_r")).distinct()
+    lengths = own.where("open").agg(F.array_sort(F.collect_set(F.length("want"))).alias("lengths")).withColumn("_k", F.lit(1))
+    parts = requests.select("principal", "resource", F.split("resource", "/", 4).alias("_q"), F.lit(1).alias("_k")).where("size(_q) = 4").distinct().join(F.broadcast(lengths), "_k")
+    key = F.col("_q")[3]
+    begins = F.transform(F.filter("lengths", lambda n: n <= F.length(key)), lambda n: F.struct(F.lit(True).alias("open"), key.substr(F.lit(1), n).alias("want")))
+    asked = F.array_append(begins, F.struct(F.lit(False).alias("open"), key.alias("want")))
+    parts = parts.select("principal", "resource", "_q", F.explode(asked).alias("a")).select("principal", "resource", "_q", "a.*")
+    fits = F.lit(True)
     for i in range(3):
         fits = fits & F.regexp_like(F.get("_q", F.lit(i)), F.get("_r", F.lit(i)))
-    prefix = F.expr("substring(_s[3], 1, length(_s[3]) - 1)")
-    fits = fits & F.when(want.endswith("*"), key.startswith(prefix)).otherwise(key == want)
     narrowed = grants.where("grp IS NOT NULL").select("principal").distinct()
-    hit = parts.join(own.select("principal", "_s", "_r"), "principal").where(fits).select("principal", "resource").distinct()
+    hit = parts.join(own, ["principal", "open", "want"]).where(fits).select("principal", "resource").distinct()
     return hit.join(narrowed, "principal", "left_anti")
 
 
 def bridged(pairs: DataFrame, bridges: DataFrame) -> DataFrame:
     """Pairs (src, dst) of regions that traffic may take: the same one, or along a bridge in its direction."""
     return pairs.where("src = dst").unionByName(pairs.where("src <> dst").join(bridges, ["src", "dst"], "left_semi"))
-
-
-def topic_of(url: Column) -> Column:
-    return F.concat(F.regexp_extract(url, "^https?://([^/]+)", 1), F.lit("/"), F.regexp_extract(url, "^https?://[^/]+/([^?#]*)", 1))

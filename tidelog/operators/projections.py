@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.folds import ordered_fold
@@ -26,15 +26,55 @@ def cache_latest(ops: DataFrame, now_ms: int) -> DataFrame:
     return live(latest(ops), now_ms).select("shard", "key", "value", F.col("offset").alias("version"), "expires_at_millis")
 
 
-def prefix_watch(ops: DataFrame, prefix: str, since: int, now_ms: int) -> DataFrame:
-    """What a watch with a prefix gets: the retained entries below since, then the changes from it on."""
-    own = ops.where(F.col("key").startswith(prefix))
+def index_read(index: DataFrame, log: DataFrame) -> DataFrame:
+    """The records that a key's index entry (shard, key, version) points at: a join on shard and offset, not a search of the log."""
+    own = log.select("shard", F.col("offset").alias("version"), "ts_ms", "bytes")
+    return index.select("shard", "key", "version").join(own, ["shard", "version"])
+
+
+def watched(prefix: str | None = None, key: str | None = None) -> Column:
+    """A watch's filter: one key, or a prefix ("" is all)."""
+    return F.col("key") == key if key is not None else F.col("key").startswith(prefix or "")
+
+
+def cache_watch(ops: DataFrame, filter_: Column, since: int, now_ms: int) -> DataFrame:
+    """What a watch gets that begins with the current state: the entries retained below since, then the changes from it on."""
+    own = ops.where(filter_)
     kept = cache_latest(own.where(F.col("offset") < since), now_ms)
     retained = kept.select(F.lit("retained").alias("phase"), "shard", "key", F.col("version").alias("offset"), "value")
     changes = own.where(F.col("offset") >= since).select(F.lit("change").alias("phase"), "shard", "key", "offset", "value")
     return retained.unionByName(changes)
 
 
+def watch_resume(ops: DataFrame, filter_: Column, resume: DataFrame, floors: DataFrame, now_ms: int) -> DataFrame:
+    """What a watch gets that resumes at an offset of each shard (resume: shard, since).
+
+    Where compaction has passed that offset (floors: shard, floor, the offset below which changes may be gone), changes alone would miss deletes, so it is
+    told to drop what it has (phase resnapshot, the floor as offset) and gets the retained entries first; else the changes from the
+    offset on. Both come in order of offsets, and a marker (phase caught_up) tells the offset up to which the shard is covered.
+    """
+    marks = resume.join(floors, "shard", "left").withColumn("again", F.col("since") < F.coalesce("floor", F.lit(0)))
+    rows = ops.where(filter_).join(F.broadcast(marks), "shard")
+    state = cache_latest(rows.where("again"), now_ms)
+    retained = state.select(F.lit("retained").alias("phase"), "shard", F.col("version").alias("offset"), "key", "value")
+    changes = rows.where("NOT again AND offset >= since").select(F.lit("change").alias("phase"), "shard", "offset", "key", "value")
+    none = (F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("value"))
+    told = marks.where("again").select(F.lit("resnapshot").alias("phase"), "shard", F.col("floor").cast("long").alias("offset"), *none)
+    upto = ops.groupBy("shard").agg((F.max("offset") + 1).alias("offset")).join(F.broadcast(marks.select("shard")), "shard", "left_semi")
+    caught = upto.select(F.lit("caught_up").alias("phase"), "shard", "offset", *none)
+    return told.unionByName(retained).unionByName(changes).unionByName(caught)
+
+
+def ttl_sweep(ops: DataFrame, now_ms: int, limit: int) -> DataFrame:
+    """The deletes that a sweep writes, so that watches see entries go whose time has passed: of every shard the first `limit` by expiry, at the
+    offsets after its tail. A put that replaced such an entry, or renewed it, keeps it out."""
+    tails = ops.groupBy("shard").agg((F.max("offset") + 1).alias("tail"))
+    due = latest(ops).where((F.col("op") == "put") & (F.col("expires_at_millis") > 0) & (F.col("expires_at_millis") <= now_ms))
+    order = Window.partitionBy("shard").orderBy("expires_at_millis", "key")
+    due = due.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+    return due.join(tails, "shard").select("shard", "key", F.lit("delete").alias("op"), F.col("offset").alias("version"), (F.col("tail") + F.col("n") - 1).alias("offset"))
+
+
 def cache_cas(attempts: DataFrame) -> DataFrame:
     """Outcomes of conditional writes: expected is a version, or null for absent. An ordered fold per key.
 
@@ -55,43 +95,62 @@ def cache_cas(attempts: DataFrame) -> DataFrame:
     return ordered_fold(rows, ["shard", "key"], ["offset"], dict, step, "shard int, key string, offset long, applied boolean, version long")
 
 
-def commit_state(commits: DataFrame) -> DataFrame:
-    """Keyed state of a stream of atomic commits: the last operation of each key, by offset and then place in the commit."""
-    ops = commits.where("ops IS NOT NULL").select("shard", "offset", F.posexplode("ops").alias("pos", "o"))
-    last = ops.groupBy("shard", F.col("o.key").alias("key")).agg(F.max_by(F.struct("o.op", "o.value", "offset"), F.struct("offset", "pos")).alias("l"))
+def commit_state(ops: DataFrame) -> DataFrame:
+    """Keyed state of a stream of atomic commits: the last operation of each key, by offset and then place in the commit. One aggregation,
+    combined before it is shuffled; a commit's operations are never gathered."""
+    last = ops.groupBy("shard", "key").agg(F.max_by(F.struct("op", "value", "offset"), F.struct("offset", "place")).alias("l"))
     return last.where("l.op = 'put'").select("shard", "key", F.col("l.value").alias("value"), F.col("l.offset").alias("version"))
 
 
-def commit_events(commits: DataFrame) -> DataFrame:
+def commit_events(commits: DataFrame, ops: DataFrame) -> DataFrame:
     """What readers of the stream see of a commit."""
-    return commits.select("shard", "offset", "event", F.coalesce(F.size("ops"), F.lit(0)).cast("long").alias("n_ops"))
+    counts = ops.groupBy("shard", "offset").agg(F.count(F.lit(1)).alias("n"))
+    return commits.join(counts, ["shard", "offset"], "left").select("shard", "offset", "event", F.coalesce("n", F.lit(0)).alias("n_ops"))
+
+
+def _wide(column: str) -> Column:
+    return F.col(column).cast("decimal(38,0)")
+
+
+def counter_fold(ops: DataFrame) -> DataFrame:
+    """Each delta's sum including it, saturating at 64 bits at every step: an ordered fold per key."""
+
+    def step(state: dict, r: dict):
+        if r["op"] == "checkpoint":
+            state["sum"] = r["amount"]
+        else:
+            state["sum"] = min(max(state.get("sum", 0) + r["amount"], LONG_MIN), LONG_MAX)
+        yield r["key"], r["offset"], r["op"], r["amount"], state["sum"]
+
+    return ordered_fold(ops.select("key", "offset", "op", "amount"), ["key"], ["offset"], dict, step, "key string, offset long, op string, amount long, running long")
 
 
 def counter_sum(ops: DataFrame) -> DataFrame:
     """Counters: deltas added after the last checkpoint, which replaces; sums saturate at 64 bits.
 
-    Equal to the ordered fold as long as no intermediate sum leaves 64 bits; `exact` tells whether that is certain.
+    One aggregation gives every key whose sums surely stay within 64 bits; the others, if there are any, are folded in order.
     """
     marks = ops.where("op = 'checkpoint'").groupBy("key").agg(F.max(F.struct("offset", "amount")).alias("m"))
     rows = ops.join(marks, "key", "left")
-    after = rows.where("op = 'delta' AND (m IS NULL OR offset > m.offset)")
-    wide = F.col("amount").cast("decimal(38,0)")
-    sums = after.groupBy("key").agg(F.sum(wide).alias("s"), F.sum(F.abs(wide)).alias("a"))
-    keys = ops.select("key").distinct().join(marks, "key", "left").join(sums, "key", "left")
-    start = F.coalesce("m.amount", F.lit(0)).cast("decimal(38,0)")
-    total = start + F.coalesce("s", F.lit(0).cast("decimal(38,0)"))
-    clamped = F.least(F.greatest(total, F.lit(LONG_MIN).cast("decimal(38,0)")), F.lit(LONG_MAX).cast("decimal(38,0)"))
-    exact = F.abs(start) + F.coalesce("a", F.lit(0).cast("decimal(38,0)")) <= F.lit(LONG_MAX).cast("decimal(38,0)")
-    return keys.select("key", clamped.cast("long").alias("value"), exact.alias("exact"))
+    after = F.when((F.col("op") == "delta") & F.coalesce(F.col("offset") > F.col("m.offset"), F.lit(True)), _wide("amount"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    sums = rows.groupBy("key").agg(F.coalesce(F.first(_wide("m.amount"), True), zero).alias("start"), F.coalesce(F.sum(after), zero).alias("s"), F.coalesce(F.sum(F.abs(after)), zero).alias("a"))
+    sums = sums.withColumn("sure", F.abs("start") + F.col("a") <= F.lit(LONG_MAX).cast("decimal(38,0)"))
+    folded = counter_fold(ops.join(sums.where("NOT sure").select("key"), "key", "left_semi"))
+    folded = folded.groupBy("key").agg(F.max_by("running", "offset").alias("value"))
+    return sums.where("sure").select("key", (F.col("start") + F.col("s")).cast("long").alias("value")).unionByName(folded)
 
 
 def counter_running(ops: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """Each delta's sum including it, from the checkpoint before it.
+    """Each delta's sum including it, from the checkpoint before it; sums saturate at 64 bits.
 
     A key's operations are summed in blocks of offsets, so that a busy key is spread over tasks; only one row per block is
-    then put in order to carry sums from block to block.
+    then put in order to carry sums from block to block. Keys whose amounts could leave 64 bits are folded in order instead.
     """
-    rows = ops.withColumn("block", F.floor(F.col("offset") / block).cast("long"))
+    sizes = ops.groupBy("key").agg((F.sum(F.abs(_wide("amount"))) > F.lit(LONG_MAX).cast("decimal(38,0)")).alias("unsure"))
+    unsure = sizes.where("unsure").select("key")
+    folded = counter_fold(ops.join(unsure, "key", "left_semi")).where("op = 'delta'").drop("op")
+    rows = ops.join(unsure, "key", "left_anti").withColumn("block", F.floor(F.col("offset") / block).cast("long"))
     within = Window.partitionBy("key", "block").orderBy("offset")
     rows = rows.withColumn("epoch", F.sum((F.col("op") == "checkpoint").cast("int")).over(within))
     rows = rows.withColumn("local", F.sum("amount").over(Window.partitionBy("key", "block", "epoch").orderBy("offset")))
@@ -101,7 +160,8 @@ def counter_running(ops: DataFrame, block: int = 1 << 16) -> DataFrame:
     ends = ends.withColumn("upto", F.sum("end").over(Window.partitionBy("key", "era").orderBy("block")))
     ends = ends.select("key", "block", F.coalesce(F.lag("upto").over(order), F.lit(0)).alias("carried"))
     out = rows.join(ends, ["key", "block"]).where("op = 'delta'")
-    return out.select("key", "offset", "amount", (F.col("local") + F.when(F.col("epoch") == 0, F.col("carried")).otherwise(0)).alias("running"))
+    running = out.select("key", "offset", "amount", (F.col("local") + F.when(F.col("epoch") == 0, F.col("carried")).otherwise(0)).alias("running"))
+    return running.unionByName(folded)
 
 
 def compaction_survivors(ops: DataFrame, now_ms: int) -> DataFrame:

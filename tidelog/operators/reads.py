@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.folds import ordered_fold
+
 SCOPE = ("stream", "shard")
 PAGE_BYTES = 4 << 20
 
@@ -17,8 +21,14 @@ class CursorInFuture(ValueError):
     """A read from past the log's tail."""
 
 
-def check_range(log: DataFrame, start: int) -> None:
+class NotDurable(ValueError):
+    """A read from an offset of a stream that keeps no log."""
+
+
+def check_range(log: DataFrame, start: int, durable: bool = True) -> None:
     """Raises where a read of one shard from start can't be answered."""
+    if not durable:
+        raise NotDurable("the stream isn't durable")
     base, tail = log.agg(F.min("offset"), F.max("offset") + 1).first()
     if base is None:
         if start > 0:
@@ -70,22 +80,33 @@ def data_records(log: DataFrame) -> DataFrame:
     return rows.withColumn("skipped_before", F.col("offset") - F.coalesce(F.lag("offset").over(order), F.lit(-1)) - 1)
 
 
+def trailing_gap(log: DataFrame) -> DataFrame:
+    """The run of control records at the end of each shard (first, last): a reader of data records is moved past them."""
+    last = log.groupBy(*SCOPE).agg(F.max("offset").alias("last"), F.max(F.when(F.col("mark_kind") == "data", F.col("offset"))).alias("data"), F.min("offset").alias("base"))
+    return last.withColumn("first", F.coalesce(F.col("data") + 1, "base")).where(F.col("first") <= F.col("last")).select(*SCOPE, "first", "last")
+
+
 def merged(shards: list[DataFrame]) -> DataFrame:
-    """The shards of a stream as one, each record once."""
-    out = shards[0]
-    for s in shards[1:]:
-        out = out.unionByName(s)
-    return out.dropDuplicates([*SCOPE, "offset"])
+    """The shards of a stream as one. Shards share no record, so nothing has to be dropped."""
+    return reduce(DataFrame.unionByName, shards)
 
 
 def resume_vector(log: DataFrame) -> DataFrame:
     return log.groupBy(*SCOPE).agg((F.max("offset") + 1).alias("resume"), F.count(F.lit(1)).alias("records"))
 
 
+#: The most records on either side of an offset, and the most where payloads come along.
+AROUND, AROUND_WITH_PAYLOAD = 1000, 100
+
+
 def records_around(log: DataFrame, offset: int, n: int, payload_bytes: int = 65536) -> DataFrame:
-    """Up to n records on either side of an offset, payloads cut."""
-    near = log.where(F.col("offset").between(offset - n, offset + n))
-    return near.withColumn("payload", F.substring("payload", 1, payload_bytes))
+    """The record at an offset (or the first one after it) and up to n records on either side, payloads cut; 0 payload bytes leave them out."""
+    n = min(n, AROUND_WITH_PAYLOAD if payload_bytes else AROUND)
+    behind = F.col("offset") < offset
+    ahead, back = Window.partitionBy(*SCOPE, "_behind").orderBy("offset"), Window.partitionBy(*SCOPE, "_behind").orderBy(F.desc("offset"))
+    rows = log.withColumn("_behind", behind).withColumn("_n", F.when(F.col("_behind"), F.row_number().over(back)).otherwise(F.row_number().over(ahead) - 1))
+    near = rows.where(F.col("_n") <= n).drop("_n", "_behind")
+    return near.withColumn("payload", F.substring("payload", 1, payload_bytes)) if payload_bytes else near.drop("payload")
 
 
 def gap_report(turns: DataFrame) -> DataFrame:
@@ -104,6 +125,22 @@ def segment_report(log: DataFrame, size: int = 64) -> DataFrame:
     return log.groupBy(*SCOPE, segment.alias("segment")).agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"), F.max("ts_us").alias("newest_us"))
 
 
+def offload(log: DataFrame, path: str, size: int = 64) -> DataFrame:
+    """A log's sealed segments (all but each shard's last one) written to a folder by stream, shard and segment, and read from there."""
+    rows = log.withColumn("segment", F.floor(F.col("offset") / size).cast("long"))
+    active = rows.groupBy(*SCOPE).agg(F.max("segment").alias("_active"))
+    sealed = rows.join(active, list(SCOPE)).where(F.col("segment") < F.col("_active")).drop("_active")
+    sealed.repartition(*SCOPE, "segment").sortWithinPartitions("offset").write.mode("overwrite").partitionBy(*SCOPE, "segment").parquet(path)
+    return log.sparkSession.read.schema(sealed.schema).parquet(path)
+
+
+def publish_report(records: DataFrame, refused: Column) -> DataFrame:
+    """What becomes of batches whose records (batch, position, key, shard, bytes) belong to several shards: a piece for each shard, in the batch's own
+    order, that is taken or refused as a whole. refused: by batch and shard. failed: the positions to send again."""
+    pieces = records.groupBy("batch", "shard").agg(F.count(F.lit(1)).alias("records"), F.sum("bytes").cast("long").alias("bytes"), F.array_sort(F.collect_list("position")).alias("positions"))
+    return pieces.withColumn("ok", ~refused).withColumn("failed", F.when(refused, F.array_join("positions", ","))).drop("positions")
+
+
 def assign_offsets(arrivals: DataFrame, tails: DataFrame, by: list[str]) -> DataFrame:
     """Arrivals with the offsets an append gives them: contiguous from each shard's tail, in order of arrival."""
     order = Window.partitionBy(*SCOPE).orderBy(*by)
@@ -157,3 +194,28 @@ def trim_floor(log: DataFrame, trims: DataFrame) -> DataFrame:
     return log.join(floors, list(SCOPE), "left").where("offset >= coalesce(_floor, 0)").drop("_floor")
 
 
+def trim_fold(trims: DataFrame) -> DataFrame:
+    """Outcomes of trims (stream, shard, seq, before, expected): one that names the floor it expects applies only if that is the floor, and the floor
+    never falls. An ordered fold per shard; the answer carries the floor."""
+
+    def step(state: dict, r: dict):
+        floor = state.get("floor", 0)
+        applied = r["expected"] is None or r["expected"] == floor
+        if applied:
+            state["floor"] = max(floor, r["before"])
+        yield r["stream"], r["shard"], r["seq"], applied, state.get("floor", 0)
+
+    return ordered_fold(trims, list(SCOPE), ["seq"], dict, step, "stream string, shard int, seq long, applied boolean, floor long")
+
+
+def apply_in_order(arrivals: DataFrame) -> DataFrame:
+    """When each of the commits that finish in any order (stream, shard, offset, finished) is applied: with or after all before it."""
+    order = Window.partitionBy(*SCOPE).orderBy("offset")
+    return arrivals.withColumn("applied", F.max("finished").over(order))
+
+
+def lag_notices(consumed: DataFrame, tails: DataFrame, room: int) -> DataFrame:
+    """Subscriptions (sub, stream, shard, position) that fell behind their queue of `room` records: how many records were dropped, and where to resume
+    so that none is missed."""
+    rows = consumed.join(tails.select(*SCOPE, "tail"), list(SCOPE)).withColumn("dropped", F.col("tail") - F.col("position") - room)
+    return rows.where("dropped > 0").select("sub", *SCOPE, "dropped", F.col("position").alias("resume"))
