@@ -17,11 +17,11 @@ VIEWS = {
     "heads": """heads AS (SELECT o_orderkey, CAST(o_custkey % 4 AS INT) AS shard, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderdate, o_orderkey) - 1 AS "offset", 'order-' || o_orderkey AS event FROM orders)""",
     "ops": """ops AS (SELECT shard, "offset", row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, CASE WHEN l_linestatus = 'F' THEN 'delete' ELSE 'put' END AS op,
   'part-' || l_partkey AS key, CAST(round(l_extendedprice * 100) AS BIGINT) AS value FROM heads JOIN lineitem ON l_orderkey = o_orderkey)""",
-    "producer": """sends AS (SELECT CAST(user_id % 4 AS INT) AS shard, user_id AS producer_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence, event_id, event_id * 2 AS arrival FROM events),
-producer AS (SELECT shard, producer_id, sequence, arrival FROM sends UNION ALL SELECT shard, producer_id, sequence, arrival + 1 + 40 * (event_id % 3) FROM sends WHERE event_id % 10 = 0)""",
+    "producer": """sends AS (SELECT CAST(user_id % 4 AS INT) AS shard, user_id AS producer_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence, event_id, event_id * 2 AS arrival, props FROM events),
+producer AS (SELECT shard, producer_id, sequence, arrival, props FROM sends UNION ALL SELECT shard, producer_id, sequence, arrival + 1 + 40 * (event_id % 3), props || CASE WHEN event_id % 70 = 0 THEN '!' ELSE '' END FROM sends WHERE event_id % 10 = 0)""",
     "hist": """hist AS (SELECT stream, shard, "offset", event_id AS value, ts_us AS invoke, ts_us + cents * 1000 AS complete, CASE event_id % 20 WHEN 0 THEN 'fail' WHEN 1 THEN 'info' ELSE 'ok' END AS outcome FROM log)""",
-    "topics": """topics AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) || '/' || regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS topic, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
-  split_part(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/', 1) AS section FROM pages)""",
+    "topics": """topics AS (SELECT *, 't' || (length(host) % 3) AS tenant FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) || '/' || regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS topic, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
+  split_part(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/', 1) AS section FROM pages))""",
     "mounts": """mounts AS (SELECT 't' || (length(host) % 3) AS tenant, host || '/' AS prefix, 'host-' || host AS stream FROM topics UNION SELECT 't' || (length(host) % 3), host || '/' || section, 'lang-' || section FROM topics WHERE section <> '')""",
     "tails": """tails AS (SELECT stream, shard, min("offset") AS base, max("offset") + 1 AS tail FROM log GROUP BY ALL)""",
     "replicas": """r0 AS (SELECT *, shard + length(stream) AS s FROM tails),
@@ -30,11 +30,11 @@ replicas AS (SELECT stream, shard, tail, 'f1' AS member, tail - s % 3 AS reporte
     "runs": """runs AS (SELECT stream AS workload, CAST(user_id % 5 AS INT) AS size, cents, event_id % 19 = 0 AS failed, ts_us // 86400000000 AS session, ts_us, user_id % 2 = 1 AS candidate FROM log)""",
     "streams": """st0 AS (SELECT tenant, stream, max(shard) + 1 AS shards, count(*) AS n FROM log GROUP BY ALL),
 streams AS (SELECT *, n % 2 = 0 AS durable, CASE WHEN n % 3 = 0 THEN 'quorum' ELSE 'leader' END AS consistency, CASE WHEN n % 5 <> 0 THEN n - n % 4 * 1000 END AS retention_bytes FROM st0)""",
-    "gops": """gops AS (SELECT shard, event_id AS idx, stream AS grp, CASE WHEN event_id % 20 < 8 THEN 'advance' WHEN event_id % 20 = 18 THEN 'seek' ELSE '-' END AS op, CAST(floor("offset" * 3 / 4) AS BIGINT) AS "to" FROM log WHERE stream IN ('click', 'view')),
+    "gops": """gops AS (SELECT shard, event_id AS idx, stream AS grp, CASE WHEN event_id % 20 < 8 THEN 'advance' WHEN event_id % 20 = 18 THEN 'seek' ELSE '-' END AS op, CAST(floor("offset" * 3 / 4) AS BIGINT) AS "to" FROM log),
 gw AS (SELECT * FROM gops WHERE op = 'advance' OR (op = 'seek' AND idx % 40 = 18))""",
-    "final": """h2 AS (SELECT * FROM hist WHERE stream IN ('click', 'view')),
-final AS (SELECT stream, shard, "offset", value FROM h2 WHERE value % 97 <> 0 AND (outcome <> 'fail' OR value % 40 = 0) UNION ALL SELECT stream, shard, "offset" + 1000000, value FROM h2 WHERE value % 101 = 0
-  UNION ALL SELECT stream, shard, "offset" + 2000000, -value FROM h2 WHERE value % 211 = 0)""",
+    "final": """h3 AS (SELECT stream, shard, "offset" * 3 AS "offset", value, outcome FROM hist),
+final AS (SELECT stream, shard, "offset", value FROM h3 WHERE value % 97 <> 0 AND (outcome <> 'fail' OR value % 40 = 0) UNION ALL SELECT stream, shard, "offset" + 1, value FROM h3 WHERE value % 101 = 0
+  UNION ALL SELECT stream, shard, "offset" + 2, -value FROM h3 WHERE value % 211 = 0)""",
 }
 LATEST = """last AS (SELECT *, row_number() OVER (PARTITION BY shard, key ORDER BY "offset" DESC) AS rn FROM cache)"""
 
@@ -47,13 +47,20 @@ def q(views: str, body: str) -> str:
     return f"WITH {', '.join([*parts, body])}"
 
 
+def steps(views: str, rows: str, start: str, then: str, body: str) -> str:
+    """SQL that folds rows in order, one by one: rows are numbered (n) by their key, then gives the state after row n from that before."""
+    parts = [VIEWS[v] for v in views.split()]
+    return f"WITH RECURSIVE {', '.join([*parts, f'r AS ({rows})', f'f AS ({start} UNION ALL {then})'])} {body}"
+
+
 def _live(now: int) -> str:
     return f"""{LATEST} SELECT shard, key, value, "offset" AS version, expires_at_millis FROM last WHERE rn = 1 AND op = 'put' AND (expires_at_millis = 0 OR {now} < expires_at_millis)"""
 
 
 TIMES = [1704067200000000 + i * 3 * DAY * 1000 for i in range(12)]
 TOPIC_CASES = [(r"^.*$", 0, True), (r"^[^/]*/en(/.*)?$", 1, True), (r"^[^/]*/fr/[^/]*$", 2, True), (r"^m\.\+(/.*)?$", 1, False), (r"^[^/]*/de(/.*)?$", 1, True), (r"^\$sys(/.*)?$", 2, False), (r"^www\.example\.com/[^/]*$", 2, False), (r"^[^/]*/[^/]*/1$", 2, True)]
-_TOPIC = ", ".join(f"CASE WHEN {'topic NOT LIKE $$$%$$ AND ' if guard else ''}regexp_matches(topic, '{r}') THEN {n} END" for r, n, guard in TOPIC_CASES)
+_CASES = [f"CASE WHEN {'topic NOT LIKE $$$%$$ AND ' if guard else ''}regexp_matches(topic, '{r}') THEN {n} END" for r, n, guard in TOPIC_CASES]
+_TOPIC, _SUBSCRIBED = ", ".join(_CASES), ", ".join(_CASES[1:])
 
 #: splitmix64 over FNV-1a, in unsigned 128-bit arithmetic.
 _ROUTE = """h AS (SELECT key, list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS UHUGEINT))), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616) AS x FROM (SELECT DISTINCT key FROM log)),
@@ -71,7 +78,7 @@ k AS (SELECT * FROM p WHERE n <= 50 AND (n = 1 OR b <= 400)) SELECT stream, shar
     "q05_list_offsets": q("log", """SELECT stream, shard, min("offset") AS earliest, max("offset") + 1 AS latest, max("offset") FILTER (mark_kind = 'data') AS max_timestamp_offset, arg_max(ts_us // 1000, "offset") FILTER (mark_kind = 'data') AS max_timestamp_ms FROM log GROUP BY ALL"""),
     "q06_data_records": q("log", """SELECT shard, "offset", payload, "offset" - coalesce(lag("offset") OVER (PARTITION BY shard ORDER BY "offset"), -1) - 1 AS skipped_before FROM log WHERE stream = 'error' AND mark_kind = 'data'"""),
     "q07_sharded_merge": q("log", """SELECT stream, shard, max("offset") + 1 AS resume, count(*) AS records FROM log GROUP BY ALL"""),
-    "q08_records_around": q("log", """SELECT stream, shard, "offset", substring(payload, 1, 5) AS payload FROM log WHERE "offset" BETWEEN 7 AND 13"""),
+    "q08_records_around": q("log", """n AS (SELECT *, row_number() OVER (PARTITION BY stream, shard, "offset" < 10 ORDER BY abs("offset" - 10 + 0.25)) AS k FROM log) SELECT stream, shard, "offset", substring(payload, 1, 5) AS payload FROM n WHERE k <= CASE WHEN "offset" < 10 THEN 3 ELSE 4 END"""),
     "q09_gap_report": """WITH t AS (SELECT conv_id AS sub, CAST(turn AS BIGINT) AS "offset", (conv_id * 7 + turn) % 5 = 0 AS gone, (conv_id * 7 + turn) % 5 = 0 AND (conv_id + turn) % 3 = 0 AS control FROM conversations),
 k AS (SELECT * FROM t WHERE NOT gone), g AS (SELECT sub, "offset", coalesce(lag("offset") OVER (PARTITION BY sub ORDER BY "offset"), -1) AS prev FROM k)
 SELECT sub, "offset", "offset" - prev - 1 AS gap, s AS skipped, "offset" - prev - 1 - s AS lost FROM (SELECT g.*, (SELECT count(*) FROM t WHERE t.sub = g.sub AND t.control AND t."offset" > g.prev AND t."offset" < g."offset") AS s FROM g) WHERE "offset" - prev - 1 > 0""",
@@ -82,7 +89,7 @@ SELECT sub, "offset", "offset" - prev - 1 AS gap, s AS skipped, "offset" - prev
     "q14_header_filter": """SELECT event_id, event_id % 9 = 0 AS refused, CASE WHEN event_id % 9 = 0 THEN 'sys.trace=' || event_id || ';' ELSE '' END || 'type=again-' || event_type || ';user=' || user_id AS view FROM events""",
     "q16_committed_visible": q("log tails", """m AS (SELECT stream, shard, CASE WHEN shard = 0 THEN 'unbounded' WHEN shard = 3 THEN 'refused' WHEN stream = 'error' THEN 'settling' ELSE 'committed' END AS kind, tail * 9 // 10 AS mark FROM tails)
 SELECT stream, shard, count(*) AS visible, max("offset") AS last FROM log JOIN m USING (stream, shard) WHERE kind = 'unbounded' OR (kind = 'committed' AND "offset" < mark) GROUP BY ALL"""),
-    "q17_mount_longest_prefix": q("topics mounts", """j AS (SELECT page_id, topic, prefix, mounts.stream AS stream, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC) AS rn FROM topics JOIN (SELECT DISTINCT prefix, stream FROM mounts) mounts ON starts_with(topic, prefix)) SELECT page_id, topic, prefix, stream FROM j WHERE rn = 1"""),
+    "q17_mount_longest_prefix": q("topics mounts", """j AS (SELECT page_id, topics.tenant AS tenant, topic, prefix, mounts.stream AS stream, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC) AS rn FROM topics JOIN mounts ON topics.tenant = mounts.tenant AND starts_with(topic, prefix)) SELECT page_id, tenant, topic, prefix, stream FROM j WHERE rn = 1"""),
     "q18_conditional_batches": q("log", """p AS (SELECT stream, shard, "offset", "offset" - "offset" % 3 AS batch, CAST("offset" % 3 AS INT) AS position, 3 AS len FROM log WHERE event_id % 17 <> 0),
 b AS (SELECT stream, shard, batch, count(*) AS n, min("offset") AS first, max("offset") AS last FROM p GROUP BY ALL), t AS (SELECT stream, shard, arg_max(CASE WHEN n < 3 THEN first END, last) AS x, arg_max(n, last) AS n FROM b GROUP BY ALL),
 k AS (SELECT b.* FROM b JOIN t USING (stream, shard) WHERE b.n = 3 AND (t.n >= 3 OR b.last < (SELECT min(first) FROM b b2 WHERE b2.stream = b.stream AND b2.shard = b.shard AND b2.last = (SELECT max(last) FROM b b3 WHERE b3.stream = b.stream AND b3.shard = b.shard))))
@@ -96,16 +103,16 @@ SELECT 'retained' AS phase, shard, key, "offset", value FROM l WHERE rn = 1 AND
     "q24_commit_state": q("heads ops", """l AS (SELECT *, row_number() OVER (PARTITION BY shard, key ORDER BY "offset" DESC, pos DESC) AS rn FROM ops) SELECT shard, key, value, "offset" AS version FROM l WHERE rn = 1 AND op = 'put'"""),
     "q24b_commit_events": q("heads", """SELECT shard, "offset", event, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_ops FROM heads"""),
     "q25_counter_sum": q("counter", """m AS (SELECT key, max("offset") AS o, arg_max(amount, "offset") AS a FROM counter WHERE op = 'checkpoint' GROUP BY key)
-SELECT c.key, CAST(coalesce(max(m.a), 0) + coalesce(sum(amount) FILTER (op = 'delta' AND (m.o IS NULL OR "offset" > m.o)), 0) AS BIGINT) AS value, true AS exact FROM counter c LEFT JOIN m ON c.key = m.key GROUP BY c.key"""),
+SELECT c.key, CAST(coalesce(max(m.a), 0) + coalesce(sum(amount) FILTER (op = 'delta' AND (m.o IS NULL OR "offset" > m.o)), 0) AS BIGINT) AS value FROM counter c LEFT JOIN m ON c.key = m.key GROUP BY c.key"""),
     "q26_counter_running": q("counter", """e AS (SELECT *, sum(CASE WHEN op = 'checkpoint' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY "offset") AS ep FROM counter), r AS (SELECT *, CAST(sum(amount) OVER (PARTITION BY key, ep ORDER BY "offset") AS BIGINT) AS running FROM e)
 SELECT key, "offset", amount, running FROM r WHERE op = 'delta'"""),
     "q28_cursor_max": q("log gops", """s AS (SELECT shard, grp, max(idx) AS i, arg_max("to", idx) AS t FROM gw WHERE op = 'seek' GROUP BY ALL), a AS (SELECT shard, grp, max("to") AS f FROM gw LEFT JOIN s USING (shard, grp) WHERE op = 'advance' AND (i IS NULL OR idx > i) GROUP BY ALL)
 SELECT shard, grp, CASE WHEN f IS NULL THEN t WHEN t IS NULL THEN f ELSE greatest(f, t) END AS cursor FROM a FULL JOIN s USING (shard, grp)"""),
     "q29_cursor_contiguous": q("log", """SELECT stream, shard, coalesce(min("offset") FILTER (event_id % 7 = 0), max("offset") + 1) AS cursor, count(*) FILTER (event_id % 7 <> 0) AS acked FROM log WHERE "offset" >= 3 GROUP BY ALL"""),
-    "q30_idempotent_dedupe": q("producer", """w AS (SELECT *, row_number() OVER (PARTITION BY shard, producer_id, sequence ORDER BY arrival) AS n, max(sequence) OVER (PARTITION BY shard, producer_id ORDER BY arrival) + 1 AS nx FROM producer)
-SELECT shard, producer_id, sequence, arrival, CASE WHEN n = 1 THEN 'append' WHEN sequence < nx - 64 THEN 'expired' ELSE 'duplicate' END AS verdict FROM w"""),
-    "q30b_per_record": q("producer", """w AS (SELECT *, row_number() OVER (PARTITION BY shard, producer_id, sequence ORDER BY arrival) AS n, max(sequence) OVER (PARTITION BY shard, producer_id ORDER BY arrival) + 1 AS nx FROM producer)
-SELECT shard, producer_id, sequence, arrival, CASE WHEN n = 1 THEN 'append' WHEN sequence < nx - 64 THEN 'expired' ELSE 'duplicate' END AS verdict FROM w"""),
+    "q30_idempotent_dedupe": q("producer", """w AS (SELECT *, row_number() OVER k AS n, first_value(props) OVER k AS fp, max(sequence) OVER (PARTITION BY shard, producer_id ORDER BY arrival) + 1 AS nx FROM producer WINDOW k AS (PARTITION BY shard, producer_id, sequence ORDER BY arrival))
+SELECT shard, producer_id, sequence, arrival, CASE WHEN n = 1 THEN 'append' WHEN sequence < nx - 64 THEN 'expired' WHEN props <> fp THEN 'reused' ELSE 'duplicate' END AS verdict FROM w"""),
+    "q30b_per_record": q("producer", """w AS (SELECT *, row_number() OVER k AS n, first_value(props) OVER k AS fp, max(sequence) OVER (PARTITION BY shard, producer_id ORDER BY arrival) + 1 AS nx FROM producer WINDOW k AS (PARTITION BY shard, producer_id, sequence ORDER BY arrival))
+SELECT shard, producer_id, sequence, arrival, CASE WHEN n = 1 THEN 'append' WHEN sequence < nx - 64 THEN 'expired' WHEN props <> fp THEN 'reused' ELSE 'duplicate' END AS verdict FROM w"""),
     "q31_group_describe": q("log", """a AS (SELECT *, event_id % 7 <> 0 AS acked, 1 + event_id % 6 AS attempts FROM log), b AS (SELECT *, NOT acked AND attempts > 5 AS dead FROM a)
 SELECT stream, shard, max("offset") + 1 AS tail, coalesce(min("offset") FILTER (NOT acked AND NOT dead), max("offset") + 1) AS committed, count(*) FILTER (NOT acked AND NOT dead AND attempts > 1) AS owed, count(*) FILTER (NOT acked AND NOT dead AND attempts <= 1) AS in_flight,
 count(*) FILTER (dead) AS dead_letters, max("offset") + 1 - coalesce(min("offset") FILTER (NOT acked AND NOT dead), max("offset") + 1) AS lag FROM b GROUP BY stream, shard"""),
@@ -121,15 +128,15 @@ SELECT stream, shard, segment, last_offset, bytes FROM k WHERE goes AND NOT EXIS
     "q39_producer_lru": q("producer", """u AS (SELECT shard, producer_id, max(arrival) AS last_used FROM producer GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY shard ORDER BY last_used DESC, producer_id) AS INT) AS rank FROM u) SELECT * FROM r WHERE rank <= 10"""),
     "q40_promote": q("log tails replicas", """r AS (SELECT *, row_number() OVER (PARTITION BY stream, shard ORDER BY reported DESC, member DESC) AS rn FROM replicas WHERE NOT halted) SELECT stream, shard, member, reported FROM r WHERE rn = 1"""),
     "q42_tenant_delivery": q("log", """SELECT tenant, count(*) AS messages, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM log WHERE mark_kind = 'data' GROUP BY tenant"""),
-    "q43_subscriptions_page": q("log streams", """p AS (SELECT l.tenant, l.stream, l.shard, l.event_id AS id, l.key, s.consistency FROM log l JOIN streams s USING (tenant, stream) WHERE event_id % 3 = 0 AND (l.tenant, l.stream, l.shard, l.event_id) > ('t1', 'click', 1, 0)),
+    "q43_subscriptions_page": q("log streams", """p AS (SELECT l.tenant, l.stream, l.shard, l.event_id AS id, l.key, s.consistency FROM log l JOIN streams s USING (tenant, stream) WHERE event_id % 7 > 0 AND (l.tenant, l.stream, l.shard, l.event_id) > ('t1', 'click', 1, 0)),
 n AS (SELECT *, row_number() OVER (ORDER BY tenant, stream, shard, id) AS rn, count(*) OVER () > 25 AS more FROM p) SELECT tenant, stream, shard, id, key, consistency, more FROM n WHERE rn <= 25"""),
     "q44_change_feed": """SELECT o_orderkey AS seq, 'c-' || o_custkey AS key, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'put' END AS op, 100 < (SELECT max(o_orderkey) FROM orders) - 499 AS resnapshot FROM orders WHERE o_orderkey >= 100 ORDER BY o_orderkey LIMIT 50""",
     "q45_keyset_page": """WITH p AS (SELECT c_mktsegment, c_custkey, c_name FROM customer WHERE (c_mktsegment, c_custkey) > ('BUILDING', 20)), n AS (SELECT *, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS rn, count(*) OVER () > 40 AS more FROM p) SELECT c_mktsegment, c_custkey, c_name, more FROM n WHERE rn <= 40""",
-    "q46_grants": """WITH g AS (SELECT 'p' || (c_custkey % 20) AS principal, ['stream.subscribe', 'stream.manage', 'stream.publish'][c_custkey % 3 + 1] AS action, CASE WHEN c_custkey % 11 = 0 THEN 'cluster:*' WHEN c_custkey % 7 = 0 THEN '*' ELSE 'stream:t' || (c_custkey % 3) || '/*/' || substring(c_mktsegment, 1, 1) || '*' END AS pattern FROM customer WHERE c_custkey < 200),
+    "q46_grants": """WITH g AS (SELECT 'p' || (c_custkey % 20) AS principal, ['stream.subscribe', 'stream.manage', 'stream.publish'][c_custkey % 3 + 1] AS action, CASE WHEN c_custkey % 11 = 0 THEN 'cluster:*' WHEN c_custkey % 7 = 0 THEN '*' ELSE 'stream:t' || (c_custkey % 3) || '/*/' || substring(c_mktsegment, 1, 1) || '*' END AS pattern FROM customer),
 a AS (SELECT * FROM g UNION ALL SELECT principal, i.b, pattern FROM g JOIN (VALUES ('stream.subscribe', 'group.consume'), ('stream.manage', 'group.manage'), ('stream.manage', 'stream.trim')) i(a, b) ON g.action = i.a),
 r AS (SELECT DISTINCT 'p' || (c_nationkey % 20) AS principal, ['stream.subscribe', 'group.consume', 'stream.trim', 'stream.publish'][c_custkey % 4 + 1] AS action, CASE WHEN c_custkey % 13 = 0 THEN 'cluster:nodes' ELSE 'stream:t' || (c_custkey % 3) || '/n.s/' || c_mktsegment END AS resource FROM customer)
 SELECT *, EXISTS (SELECT 1 FROM a WHERE a.principal = r.principal AND a.action = r.action AND CASE WHEN starts_with(resource, 'cluster:') THEN pattern = 'cluster:*' ELSE resource LIKE replace(pattern, '*', '%') END) AS allowed FROM r""",
-    "q47_scoped_grants": """WITH g AS (SELECT 'p' || (c_custkey % 20) AS principal, 't' || (c_custkey % 3) AS a, substring(c_mktsegment, 1, 2) AS b, CASE c_custkey % 3 WHEN 0 THEN '*' WHEN 1 THEN 'user/*' ELSE 'user/' || c_custkey END AS k, c_custkey = 7 AS narrow FROM customer WHERE c_custkey < 100),
+    "q47_scoped_grants": """WITH g AS (SELECT 'p' || (c_custkey % 20) AS principal, 't' || (c_custkey % 3) AS a, substring(c_mktsegment, 1, 2) AS b, CASE c_custkey % 3 WHEN 0 THEN '*' WHEN 1 THEN 'user/*' ELSE 'user/' || c_custkey END AS k, c_custkey = 7 AS narrow FROM customer),
 r AS (SELECT 'p' || (c_custkey % 20) AS principal, 't' || (c_nationkey % 3) AS a, c_mktsegment AS b, 'user/' || c_custkey AS k FROM customer)
 SELECT DISTINCT r.principal, r.a || '/default/' || r.b || '/' || r.k AS resource FROM r JOIN g ON r.principal = g.principal AND r.a = g.a AND starts_with(r.b, g.b) AND CASE WHEN g.k LIKE '%*' THEN starts_with(r.k, rtrim(g.k, '*')) ELSE r.k = g.k END WHERE r.principal NOT IN (SELECT principal FROM g WHERE narrow)""",
     "q48_region_bridges": """WITH p AS (SELECT c_nationkey % 5 AS src, CAST(c_custkey % 5 AS INT) AS dst, c_custkey FROM customer), b AS (SELECT DISTINCT n_nationkey % 5 AS src, n_regionkey AS dst FROM nation WHERE n_nationkey % 5 <> n_regionkey) SELECT * FROM p WHERE src = dst OR EXISTS (SELECT 1 FROM b WHERE b.src = p.src AND b.dst = p.dst)""",
@@ -142,17 +149,19 @@ count(*) FILTER (outcome = 'in_doubt' AND n IS NOT NULL) AS in_doubt_landed, cou
 g AS (SELECT *, sum(CASE WHEN coalesce(pm, -1) < b + 500000 THEN 1 ELSE 0 END) OVER (PARTITION BY stream, shard ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS grp FROM m) SELECT stream, shard, min(b) + 500000 AS from_us, max(e) AS until_us, count(*) AS waiting FROM g GROUP BY stream, shard, grp"""),
     "q53_divergence": q("cache", """a AS (SELECT key, arg_max(row(value), "offset") AS v FROM cache GROUP BY shard, key), r AS (SELECT key, arg_max(row(value), "offset") AS v FROM cache WHERE "offset" % 9 <> 0 GROUP BY shard, key)
 SELECT a.key, a.v[1] AS value, r.v[1] AS local FROM a LEFT JOIN r ON a.key = r.key WHERE a.v[1] IS NOT NULL AND a.v[1] IS DISTINCT FROM r.v[1]"""),
-    "q54_history_rules": q("log hist final", """rd AS (SELECT stream, shard, "offset", value + CASE WHEN value % 151 = 0 THEN 1 ELSE 0 END AS value FROM h2),
-dl AS (SELECT stream, shard, value AS arrival, "offset" - CASE WHEN value % 131 = 0 THEN 5 ELSE 0 END AS "offset", value, value % 2 AS skipped FROM h2 WHERE value % 61 <> 0), mv AS (SELECT *, lag("offset") OVER (PARTITION BY stream, shard ORDER BY arrival) AS prev FROM dl),
-ld AS (SELECT stream, shard, "offset" // 50 AS g FROM log GROUP BY stream, shard, "offset" // 50 HAVING count(DISTINCT CASE WHEN event_id % 499 = 0 THEN 'n9' ELSE 'n' END) > 1)
-SELECT 'acked append is missing' AS rule, count(*) AS violations FROM h2 WHERE outcome = 'ok' AND value NOT IN (SELECT value FROM final)
+    "q54_history_rules": q("log hist final", """rd AS (SELECT stream, shard, "offset", value + CASE WHEN value % 151 = 0 THEN 1 ELSE 0 END AS value FROM h3),
+dl AS (SELECT stream || '/' || shard AS sub, stream, shard, value AS arrival, "offset" - CASE WHEN value % 131 = 0 THEN 15 ELSE 0 END AS "offset", value, value % 2 AS skipped FROM h3 WHERE value % 61 <> 0), mv AS (SELECT *, lag("offset") OVER (PARTITION BY sub ORDER BY arrival) AS prev FROM dl),
+ld AS (SELECT stream, shard, "offset" // 150 AS g FROM h3 GROUP BY stream, shard, "offset" // 150 HAVING count(DISTINCT CASE WHEN value % 499 = 0 THEN 'n9' ELSE 'n' END) > 1),
+sb AS (SELECT DISTINCT stream || '/' || shard AS sub, stream, shard, 0 AS start FROM h3 UNION ALL SELECT DISTINCT 'idle/' || stream, stream, 0, 30 FROM h3 WHERE shard = 0)
+SELECT 'acked append is missing' AS rule, count(*) AS violations FROM h3 WHERE outcome = 'ok' AND value NOT IN (SELECT value FROM final)
 UNION ALL SELECT 'value at two offsets', count(*) FROM (SELECT value FROM final GROUP BY value HAVING count(*) > 1)
 UNION ALL SELECT 'read disagrees with the log', count(*) FROM rd JOIN final f ON rd.stream = f.stream AND rd.shard = f.shard AND rd."offset" = f."offset" AND rd.value <> f.value
-UNION ALL SELECT 'value that nobody appended', count(*) FROM final WHERE value NOT IN (SELECT value FROM h2)
-UNION ALL SELECT 'failed append is present', count(*) FROM h2 WHERE outcome = 'fail' AND value IN (SELECT value FROM final)
+UNION ALL SELECT 'value that nobody appended', count(*) FROM final WHERE value NOT IN (SELECT value FROM h3)
+UNION ALL SELECT 'failed append is present', count(*) FROM h3 WHERE outcome = 'fail' AND value IN (SELECT value FROM final)
 UNION ALL SELECT 'delivery goes back', count(*) FROM mv WHERE "offset" <= prev
 UNION ALL SELECT 'delivery isn''t in the log', count(*) FROM dl WHERE NOT EXISTS (SELECT 1 FROM final f WHERE f.stream = dl.stream AND f.shard = dl.shard AND f."offset" = dl."offset" AND f.value = dl.value)
-UNION ALL SELECT 'record neither delivered nor skipped', count(*) FROM mv WHERE "offset" - prev - 1 > skipped
+UNION ALL SELECT 'record hidden or never delivered', (SELECT count(*) FROM (SELECT DISTINCT dl.sub, dl."offset" - 1 AS o FROM dl JOIN final f ON dl.skipped = 1 AND f.stream = dl.stream AND f.shard = dl.shard AND f."offset" = dl."offset" - 1 WHERE dl."offset" - 1 >= 0))
+  + (SELECT count(*) FROM sb WHERE EXISTS (SELECT 1 FROM final f WHERE f.stream = sb.stream AND f.shard = sb.shard AND f."offset" >= sb.start AND f."offset" > coalesce((SELECT max("offset") FROM dl WHERE dl.sub = sb.sub), -1)))
 UNION ALL SELECT 'two writers in a generation', count(*) FROM ld"""),
     "q55_realtime_order": q("log hist", """o AS (SELECT stream, shard, value, invoke, complete, "offset" + CASE WHEN value % 37 = 0 THEN 30 ELSE 0 END AS "offset" FROM hist WHERE outcome = 'ok')
 SELECT b.stream, b.shard, b.value, b."offset", max(a."offset") AS furthest FROM o a JOIN o b ON a.stream = b.stream AND a.shard = b.shard AND a.complete < b.invoke GROUP BY ALL HAVING max(a."offset") > b."offset" """),
@@ -164,9 +173,21 @@ nw AS (SELECT g.key, g.get, g.seen, arg_max(ev.put, ev.invoke) AS newest, max(ev
 SELECT nw.key, nw.get, nw.seen, nw.newest FROM nw LEFT JOIN p ON p.key = nw.key AND p.put = nw.seen WHERE nw.seen IS NULL OR (p.acked AND nw.ni > p.complete)"""),
     "q57_commit_atomicity": q("heads", """e AS (SELECT shard, "offset" FROM heads WHERE "offset" % 50 <> 0), s AS (SELECT shard, "offset" FROM heads WHERE "offset" % 51 <> 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey))
 SELECT shard, "offset", 'event without state' AS fault FROM (SELECT * FROM e EXCEPT SELECT * FROM s) UNION ALL SELECT shard, "offset", 'state without event' FROM (SELECT * FROM s EXCEPT SELECT * FROM e)"""),
-    "q58_cycles": """WITH RECURSIVE r AS (SELECT event_id, lead(event_id) OVER w AS nx, lag(event_id, 2) OVER w AS bk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-e AS (SELECT event_id AS a, nx AS b FROM r WHERE nx IS NOT NULL UNION SELECT event_id, bk FROM r WHERE event_id % 50 = 0 AND bk IS NOT NULL),
-walk(start, nd, n) AS (SELECT a, b, 1 FROM e UNION SELECT start, e.b, n + 1 FROM walk JOIN e ON walk.nd = e.a WHERE n < 4 AND start <> nd) SELECT start AS node, min(n) AS length FROM walk WHERE start = nd GROUP BY start""",
+    "q58_cycles": q("log hist", """ap AS (SELECT stream, shard, "offset" * 2 AS o, value, invoke, complete, outcome FROM hist WHERE value % 13 <> 5 AND outcome <> 'fail'),
+fin AS (SELECT stream, shard, o, value FROM ap UNION ALL SELECT stream, shard, o + 5, value FROM ap WHERE value % 101 = 0),
+ow AS (SELECT *, sum(nw) OVER (PARTITION BY stream, shard ORDER BY o) - 1 AS place FROM (SELECT *, CASE WHEN lag(value) OVER (PARTITION BY stream, shard ORDER BY o) IS DISTINCT FROM value THEN 1 ELSE 0 END AS nw FROM fin)),
+an AS (SELECT ap.stream, ap.shard, ap.value AS op, min(place) AS leads, max(place) AS entered, min(invoke) AS invoke, min(complete) AS complete, min(outcome) = 'ok' AS sure, false AS rd FROM ow JOIN ap ON ow.stream = ap.stream AND ow.shard = ap.shard AND ow.value = ap.value GROUP BY ap.stream, ap.shard, ap.value),
+r0 AS (SELECT stream, shard, value AS op, invoke, invoke + 1000 AS complete, "offset" * 2 - 2 - CASE WHEN value % 7 = 0 THEN 14 ELSE 0 END + CASE WHEN value % 17 = 0 THEN 6 ELSE 0 END AS top FROM hist WHERE value % 13 = 5),
+sn AS (SELECT r0.op, fin.o, an.entered FROM r0 JOIN fin ON fin.stream = r0.stream AND fin.shard = r0.shard AND fin.o IN (top - 4, top - 2, top) JOIN an ON an.stream = fin.stream AND an.shard = fin.shard AND an.op = fin.value),
+r1 AS (SELECT r0.stream, r0.shard, r0.op, r0.invoke, r0.complete, coalesce(max(sn.o), -1) AS upto, coalesce(arg_max(sn.entered, sn.o), -1) AS entered FROM r0 LEFT JOIN sn ON sn.op = r0.op GROUP BY r0.stream, r0.shard, r0.op, r0.invoke, r0.complete),
+rn AS (SELECT r1.stream, r1.shard, r1.op, (SELECT min(place) FROM ow WHERE ow.stream = r1.stream AND ow.shard = r1.shard AND ow.o > r1.upto) AS leads, entered, invoke, complete, true AS sure, true AS rd FROM r1),
+nd AS (SELECT * FROM an UNION ALL SELECT * FROM rn),
+tm AS (SELECT y.stream, y.shard, y.op, y.leads, y.rd, max(x.entered * 2 + CASE WHEN x.rd THEN 0 ELSE 1 END) AS fr FROM nd y JOIN nd x ON x.stream = y.stream AND x.shard = y.shard AND x.sure AND x.complete < y.invoke WHERE y.leads IS NOT NULL GROUP BY ALL),
+bk AS (SELECT stream, shard, leads AS a, CAST(floor(fr / 2.0) AS BIGINT) AS b, CASE WHEN rd THEN 'G-single' WHEN fr % 2 = 0 THEN 'G1c' ELSE 'G0' END || '-realtime' AS rule, CAST(floor(fr / 2.0) AS BIGINT) - leads + 1 + CASE WHEN rd THEN 1 ELSE 0 END + CASE WHEN fr % 2 = 0 THEN 1 ELSE 0 END AS ops FROM tm WHERE floor(fr / 2.0) >= leads
+  UNION ALL SELECT stream, shard, leads, entered, CASE WHEN rd THEN 'G-single' ELSE 'G0' END, entered - leads + CASE WHEN rd THEN 2 ELSE 0 END FROM nd WHERE entered > leads OR (rd AND entered >= leads)),
+mg AS (SELECT *, sum(ap) OVER (PARTITION BY stream, shard ORDER BY a, b DESC, rule, ops ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY stream, shard ORDER BY a, b DESC, rule, ops ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS ap FROM bk)),
+cp AS (SELECT stream, shard, min(a) AS first, max(b) AS last, min(row(ops, rule)) AS c FROM mg GROUP BY stream, shard, part)
+SELECT stream, shard, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, c[2] AS rule, CAST(c[1] AS BIGINT) AS ops, c[2] = 'G0-realtime' OR (c[2] = 'G0' AND EXISTS (SELECT 1 FROM an WHERE an.stream = cp.stream AND an.shard = cp.shard AND entered > leads)) AS explained FROM cp"""),
     "q60_bench_agg": q("log runs", """SELECT workload, size, count(*) AS trials, count(*) FILTER (failed) AS failures, quantile_cont(cents, 0.5) AS median, quantile_cont(cents, 0.1) AS p10, quantile_cont(cents, 0.9) AS p90, max(cents) AS most FROM runs GROUP BY workload, size"""),
     "q60b_latest_session": q("log runs", """SELECT session, workload, count(*) AS n FROM runs WHERE session = (SELECT session FROM runs GROUP BY session ORDER BY max(ts_us) DESC, session LIMIT 1) GROUP BY session, workload"""),
     "q61_percentile_definitions": q("log runs", """s AS (SELECT workload, list_sort(list(cents)) AS a, count(*) AS n FROM runs GROUP BY workload)
@@ -188,4 +209,51 @@ FROM n LEFT JOIN r USING (stream, shard) LEFT JOIN s USING (leader)) SELECT stre
     "e2_sliding": f"""WITH {_WINDOW}, w AS (SELECT (t // 21600000000 - k) * 21600000000 AS s, e.* FROM e, (VALUES (0), (1)) v(k)) SELECT s AS start_us, s + 43200000000 AS end_us, event_type, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM w GROUP BY s, event_type""",
     "e3_session": f"""WITH {_WINDOW}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 7200000000 THEN 0 ELSE 1 END AS new FROM e), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS s FROM g)
 SELECT min(t) AS start_us, max(t) + 7200000000 AS end_us, user_id, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM h GROUP BY user_id, s""",
+    "q06b_trailing_gap": q("log", """l AS (SELECT stream, shard, max("offset") AS last, max("offset") FILTER (mark_kind = 'data') AS d, min("offset") AS b FROM log GROUP BY ALL) SELECT stream, shard, coalesce(d + 1, b) AS first, last FROM l WHERE coalesce(d + 1, b) <= last"""),
+    "q10b_offload": q("log", """s AS (SELECT *, "offset" // 64 AS seg, max("offset" // 64) OVER (PARTITION BY stream, shard) AS act FROM log) SELECT stream, shard, seg AS segment, min("offset") AS first_offset, max("offset") AS last_offset, count(*) AS records, CAST(sum(strlen(payload)) AS BIGINT) AS bytes, max(ts_us) AS newest_us FROM s WHERE seg < act GROUP BY stream, shard, seg"""),
+    "q20b_index_read": q("cache", f"""{LATEST} SELECT shard, key, "offset" AS version, ts_ms, bytes FROM last WHERE rn = 1 AND op = 'put' AND (expires_at_millis = 0 OR {NOW} < expires_at_millis)"""),
+    "st4_cache_watch": q("cache", f"""o AS (SELECT * FROM cache WHERE starts_with(key, 'user-1')), l AS (SELECT *, row_number() OVER (PARTITION BY shard, key ORDER BY "offset" DESC) AS rn FROM o WHERE "offset" < 200)
+SELECT 'retained' AS phase, shard, key, "offset", value FROM l WHERE rn = 1 AND op = 'put' AND (expires_at_millis = 0 OR {NOW} < expires_at_millis) UNION ALL SELECT 'change', shard, key, "offset", value FROM o WHERE "offset" >= 200"""),
+    "q21b_key_watch": q("cache", f"""o AS (SELECT * FROM cache WHERE key = 'user-7'), l AS (SELECT *, row_number() OVER (PARTITION BY shard, key ORDER BY "offset" DESC) AS rn FROM o WHERE "offset" < 20)
+SELECT 'retained' AS phase, shard, key, "offset", value FROM l WHERE rn = 1 AND op = 'put' AND (expires_at_millis = 0 OR {NOW} < expires_at_millis) UNION ALL SELECT 'change', shard, key, "offset", value FROM o WHERE "offset" >= 20"""),
+    "q21c_watch_resume": q("cache", f"""o AS (SELECT * FROM cache WHERE starts_with(key, 'user-1')), l AS (SELECT *, row_number() OVER (PARTITION BY shard, key ORDER BY "offset" DESC) AS rn FROM o WHERE shard * 60 < 100)
+SELECT 'resnapshot' AS phase, shard, CAST(100 AS BIGINT) AS "offset", NULL AS key, CAST(NULL AS BIGINT) AS value FROM cache WHERE shard * 60 < 100 GROUP BY shard
+UNION ALL SELECT 'retained', shard, "offset", key, value FROM l WHERE rn = 1 AND op = 'put' AND (expires_at_millis = 0 OR {NOW} < expires_at_millis)
+UNION ALL SELECT 'change', shard, "offset", key, value FROM o WHERE shard * 60 >= 100 AND "offset" >= shard * 60
+UNION ALL SELECT 'caught_up', shard, max("offset") + 1, NULL, NULL FROM cache GROUP BY shard"""),
+    "q22b_ttl_sweep": q("cache", f"""{LATEST}, d AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY expires_at_millis, key) AS n FROM last WHERE rn = 1 AND op = 'put' AND expires_at_millis > 0 AND expires_at_millis <= {NOW}), t AS (SELECT shard, max("offset") + 1 AS tail FROM cache GROUP BY shard)
+SELECT d.shard, key, 'delete' AS op, "offset" AS version, tail + n - 1 AS "offset" FROM d JOIN t ON d.shard = t.shard WHERE n <= 20"""),
+    "q27c_attempts": q("log", """c AS (SELECT shard, stream AS grp, "offset" % 40 AS "offset", event_id AS idx FROM log WHERE event_id % 20 BETWEEN 11 AND 14) SELECT *, CAST(row_number() OVER w AS INT) AS attempt, row_number() OVER w > 1 AS redelivered FROM c WINDOW w AS (PARTITION BY shard, grp, "offset" ORDER BY idx)"""),
+    "q15_conditional_publish": steps("log", """SELECT stream, shard, event_id AS arrival, CASE WHEN event_id % 5 <> 0 THEN "offset" - "offset" // 7 END AS expected, "offset" + 1 AS n FROM log""",
+        """SELECT DISTINCT stream, shard, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, true AS applied, CAST(0 AS BIGINT) AS first_offset, CAST(0 AS BIGINT) AS tail FROM r""",
+        """SELECT r.stream, r.shard, r.n, r.arrival, r.expected IS NULL OR r.expected = f.tail, CASE WHEN r.expected IS NULL OR r.expected = f.tail THEN f.tail END, f.tail + CASE WHEN r.expected IS NULL OR r.expected = f.tail THEN 1 ELSE 0 END FROM f JOIN r ON r.stream = f.stream AND r.shard = f.shard AND r.n = f.n + 1""",
+        """SELECT stream, shard, arrival, applied, first_offset, tail FROM f WHERE n > 0"""),
+    "q33b_trim_fold": steps("log", """SELECT stream, shard, event_id AS seq, "offset" // 2 AS before, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 2 = 0 THEN "offset" // 4 END AS expected, row_number() OVER (PARTITION BY stream, shard ORDER BY event_id) AS n FROM log WHERE mark_kind = 'trim'""",
+        """SELECT DISTINCT stream, shard, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, true AS applied, CAST(0 AS BIGINT) AS floor FROM r""",
+        """SELECT r.stream, r.shard, r.n, r.seq, r.expected IS NULL OR r.expected = f.floor, CASE WHEN r.expected IS NULL OR r.expected = f.floor THEN greatest(f.floor, r.before) ELSE f.floor END FROM f JOIN r ON r.stream = f.stream AND r.shard = f.shard AND r.n = f.n + 1""",
+        """SELECT stream, shard, seq, applied, floor FROM f WHERE n > 0"""),
+    "q22_cache_cas": steps("cache", """SELECT shard, key, "offset", ts_ms, op, expires_at_millis, CASE WHEN "offset" % 3 <> 0 THEN "offset" - "offset" % 50 END AS expected, row_number() OVER (PARTITION BY shard, key ORDER BY "offset") AS n FROM cache""",
+        """SELECT DISTINCT shard, key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS "offset", false AS applied, CAST(NULL AS BIGINT) AS version, CAST(0 AS BIGINT) AS expires FROM r""",
+        """SELECT shard, key, n, "offset", ok, CASE WHEN NOT ok THEN version WHEN op = 'put' THEN "offset" END, CASE WHEN ok THEN expires_at_millis ELSE expires END FROM (SELECT r.*, f.version, f.expires, CASE WHEN f.expires <> 0 AND r.ts_ms >= f.expires THEN NULL ELSE f.version END IS NOT DISTINCT FROM r.expected AS ok FROM f JOIN r ON r.shard = f.shard AND r.key = f.key AND r.n = f.n + 1)""",
+        """SELECT shard, key, "offset", applied, version FROM f WHERE n > 0"""),
+    "q68_lease_holder": steps("cache", """SELECT 'lease-' || substring(key, 6, 1) AS lease, key AS holder, "offset" * 4 + shard AS "offset", ts_ms, row_number() OVER (PARTITION BY substring(key, 6, 1) ORDER BY "offset" * 4 + shard) AS n FROM cache""",
+        """SELECT lease, n, holder, "offset" AS token, "offset" AS version, ts_ms + 21600000 AS until FROM r WHERE n = 1""",
+        """SELECT lease, n, CASE WHEN free THEN new ELSE holder END, CASE WHEN free THEN o ELSE token END, CASE WHEN free OR holder = new THEN o ELSE version END, CASE WHEN free OR holder = new THEN ts_ms + 21600000 ELSE until END FROM (SELECT f.lease, r.n, f.holder, r.holder AS new, r."offset" AS o, f.token, f.version, f.until, r.ts_ms, r.ts_ms >= f.until AS free FROM f JOIN r ON r.lease = f.lease AND r.n = f.n + 1)""",
+        f"""SELECT lease, holder, token, version, until > {NOW} AS held FROM f WHERE n = (SELECT max(n) FROM r WHERE r.lease = f.lease)"""),
+    "q13b_route_jump": q("log", _ROUTE.partition(" SELECT event_id")[0] + """, j AS (SELECT key, (WITH RECURSIVE k AS (SELECT x AS st, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS g UNION ALL SELECT (st * 2862933555777941757 + 1) % 18446744073709551616, g, CAST(floor((g + 1) * (2147483648.0::DOUBLE / CAST(((((st * 2862933555777941757 + 1) % 18446744073709551616) >> 33) + 1) AS DOUBLE))) AS BIGINT) FROM k WHERE g < 4) SELECT max(b) FROM k) AS b FROM f3)
+SELECT event_id, key, CAST(b AS INT) AS routed FROM log JOIN j USING (key)"""),
+    "q45b_cursor_page": """WITH p AS (SELECT c_mktsegment, c_custkey, c_name FROM customer WHERE (c_mktsegment, c_custkey) > ('FURNITURE', 7)), n AS (SELECT *, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS rn, count(*) OVER () > 30 AS more FROM p) SELECT c_mktsegment, c_custkey, c_name, more FROM n WHERE rn <= 30""",
+    "q52b_drain_time": q("log", f"""SELECT stream, shard, count(*) AS outstanding, max(ts_us + cents * 1000000) - {TIMES[4]} AS drain_us FROM log WHERE ts_us <= {TIMES[4]} AND ts_us + cents * 1000000 > {TIMES[4]} GROUP BY stream, shard"""),
+    "q60c_jsonl_runs": q("log runs", """g AS (SELECT *, event_id % 19 = 0 AS bad, CAST(user_id % 5 AS INT) AS size FROM log WHERE event_id % 501 <> 0) SELECT stream AS workload, size, count(*) AS trials, count(*) FILTER (bad) AS failures, quantile_cont(cents, 0.5) AS median, quantile_cont(cents, 0.1) AS p10, quantile_cont(cents, 0.9) AS p90, CAST(max(cents) AS DOUBLE) AS most FROM g GROUP BY stream, size"""),
+    "q64b_registry": """WITH o AS (SELECT 't' || (o_custkey % 3) AS tenant, 'stream' AS kind, 's-' || o_custkey AS name, o_orderkey AS seq, o_orderstatus = 'P' AS rm, o_orderstatus = 'F' AS durable FROM orders), g AS (SELECT name, max(seq) AS gone FROM o WHERE rm GROUP BY name)
+SELECT tenant, kind, o.name, arg_min(durable, seq) AS durable, min(seq) AS since, count(*) - 1 AS again FROM o LEFT JOIN g ON g.name = o.name WHERE NOT rm AND seq > coalesce(gone, -1) GROUP BY tenant, kind, o.name""",
+    "q69_json_props": q("log", """SELECT stream, count(regexp_extract(payload, '"k": ?(-?[0-9]+)', 1)) AS n, CAST(sum(CAST(regexp_extract(payload, '"k": ?(-?[0-9]+)', 1) AS BIGINT)) AS BIGINT) AS k, min(CAST(regexp_extract(payload, '"k": ?(-?[0-9]+)', 1) AS BIGINT)) AS least, max(CAST(regexp_extract(payload, '"k": ?(-?[0-9]+)', 1) AS BIGINT)) AS most FROM log GROUP BY stream"""),
+    "q70_record_batches": q("log", """SELECT stream, shard, "offset", ts_us // 1000 AS ts_ms, key, payload, CAST(-1 AS BIGINT) AS producer_id, CAST(-1 AS BIGINT) AS sequence FROM log WHERE mark_kind = 'data'"""),
+    "q71_commit_records": q("heads ops", """SELECT o.shard, o."offset", event, op, key, CASE WHEN op = 'put' THEN value END AS value FROM ops o JOIN heads h ON h.shard = o.shard AND h."offset" = o."offset" """),
+    "q72_publish_report": q("log", _ROUTE.partition(" SELECT event_id")[0] + """, e AS (SELECT event_id // 50 AS batch, event_id % 50 AS pos, CAST(x % 4 AS INT) AS shard, strlen(payload) AS b FROM log JOIN f3 USING (key))
+SELECT batch, shard, count(*) AS records, CAST(sum(b) AS BIGINT) AS bytes, (batch + shard) % 9 <> 0 AS ok, CASE WHEN (batch + shard) % 9 = 0 THEN string_agg(pos, ',' ORDER BY pos) END AS failed FROM e GROUP BY batch, shard"""),
+    "q74_apply_in_order": q("log", """SELECT stream, shard, "offset", ts_us + cents * 1000 AS finished, max(ts_us + cents * 1000) OVER (PARTITION BY stream, shard ORDER BY "offset") AS applied FROM log"""),
+    "q75_lag_notices": q("log tails", """s AS (SELECT 'sub/' || stream || '/' || shard AS sub, stream, shard, tail, tail * (shard + 6) // 10 AS position FROM tails) SELECT sub, stream, shard, tail - position - 64 AS dropped, position AS resume FROM s WHERE tail - position > 64"""),
+    "q76_topic_subscription": q("topics", f"""m AS (SELECT topic, page_id, greatest({_SUBSCRIBED}) AS qos FROM topics WHERE topic <> '' AND strlen(topic) <= 65535 AND NOT regexp_matches(topic, '[+#]')) SELECT topic, 'pages' AS stream, CAST(page_id % 4 AS INT) AS shard, page_id // 4 AS "offset", qos FROM m WHERE qos IS NOT NULL AND page_id // 4 >= 3"""),
+    "q77_retry_classes": """SELECT event_id, ['not_found', 'throttled', 'stale', 'other'][event_id % 4 + 1] AS code, ['never', 'later', 'refresh', 'never'][event_id % 4 + 1] AS retry FROM events""",
 }
