@@ -425,17 +425,21 @@ def test_mount_overlap(spark):
 
 def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
-
-    def run():
-        stream = spark.readStream.schema("id long").parquet(source)
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-
+    run = lambda: live.resumed(spark.readStream.schema("id long").parquet(source), out, marks)
     spark.range(3).coalesce(1).write.parquet(source)
-    run()
+    assert rows(run(), "id") == [(i,) for i in range(3)]
     spark.range(3, 5).coalesce(1).write.mode("append").parquet(source)
-    run()
-    assert rows(spark.read.parquet(out), "id") == [(i,) for i in range(5)]
-    assert live.shared_path(spark, "x") != live.shared_path(spark, "x")
+    assert rows(run(), "id") == [(i,) for i in range(5)] and rows(run(), "id") == [(i,) for i in range(5)]
+
+
+def test_reports_are_written(spark, tmp_path):
+    from tidelog.operators import bench
+
+    df = spark.createDataFrame([("a", 1)], "name string, n long")
+    for form in ("csv", "parquet"):
+        bench.write_report(df, str(tmp_path / form), form)
+        reader = spark.read.option("header", True).schema(df.schema)
+        assert rows(getattr(reader, form)(str(tmp_path / form)), "name", "n") == [("a", 1)]
 
 
 def test_phantom_gets_are_reported_and_no_evidence(spark):

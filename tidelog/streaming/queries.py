@@ -16,12 +16,16 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream has now, written exactly once to a table and read from there."""
-    spark = stream.sparkSession
-    out, marks = shared_path(spark, name), shared_path(spark, f"{name}-state")
+def resumed(stream: DataFrame, out: str, marks: str) -> DataFrame:
+    """What a subscription has got up to now: the stream is read on from where its checkpoint (marks) stands, written exactly once to out, and
+    read from there. A subscription that was stopped, or lost, goes on without a gap or a repeat."""
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a new subscription has got up to now."""
+    return resumed(stream, shared_path(stream.sparkSession, name), shared_path(stream.sparkSession, f"{name}-state"))
 
 
 def tail(spark: SparkSession, d: str, stream: str) -> DataFrame:
