@@ -130,12 +130,12 @@ def write_report(rows: DataFrame, path: str, form: str) -> None:
 
 
 def reservoir(rows: DataFrame, by: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of n rows of each group (all, if it has fewer), the same for the same seed: those of the least hashes of their key.
+    """A uniform sample of n rows of each group (all, if it has fewer), the same for the same seed: those of the least digests of seed and key.
 
-    A group's rows are first reduced within slices of the hash, then once more, so that no group has to be in one task.
+    A group's rows are first reduced within slices of the digest, then once more, so that no group has to be in one task.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), key))
-    for part in ([F.pmod(F.col("_h"), F.lit(64))], []):
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    for part in ([F.substring("_h", 1, 2)], []):
         order = Window.partitionBy(*by, *part).orderBy("_h", key)
         hashed = hashed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
     return hashed.drop("_h")

@@ -170,9 +170,19 @@ def promote(members: DataFrame) -> DataFrame:
     return fit.groupBy(*SHARD).agg(F.max(F.struct("reported", "member")).alias("m")).select(*SHARD, F.col("m.member").alias("member"), F.col("m.reported").alias("reported"))
 
 
+#: Nodes of a cluster, and shards that are placed one after the other: metadata, which is counted before it is broadcast or put in one task.
+MOST_NODES, MOST_SHARDS = 10_000, 1_000_000
+
+
+def _bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
+    if (n := rows.count()) > most:
+        raise ValueError(f"{n} {what}, over {most}")
+    return rows
+
+
 def shard_scores(shards: DataFrame, nodes: DataFrame) -> DataFrame:
     """The score of each node for each shard; both tables are metadata, the nodes a short list kept in one row per shard."""
-    every = nodes.agg(F.collect_list(F.struct("node", "zone")).alias("ns"))
+    every = _bounded(nodes, MOST_NODES, "nodes").agg(F.collect_list(F.struct("node", "zone")).alias("ns"))
     rows = shards.withColumn("_k", F.lit(1)).join(F.broadcast(every.withColumn("_k", F.lit(1))), "_k").select(*shards.columns, F.explode("ns").alias("n")).select(*shards.columns, "n.*")
     return rows.withColumn("score", rendezvous_score(F.col("tenant"), F.col("namespace"), F.col("stream"), F.col("shard"), F.col("node")))
 
@@ -190,7 +200,7 @@ def bounded_placement(shards: DataFrame, nodes: DataFrame, copies: int = 3) -> D
     A node at its cap (the even share, rounded up) is passed over while another is free; replicas prefer zones without a copy;
     a node without a zone is a zone of its own. unspread: the set covers fewer zones than it could.
     """
-    scored = shard_scores(shards, nodes).groupBy("tenant", "namespace", "stream", "shard").agg(F.sort_array(F.collect_list(F.struct("score", "node", "zone")), asc=False).alias("ranked")).withColumn("all", F.lit(1))
+    scored = shard_scores(_bounded(shards, MOST_SHARDS, "shards"), nodes).groupBy("tenant", "namespace", "stream", "shard").agg(F.sort_array(F.collect_list(F.struct("score", "node", "zone")), asc=False).alias("ranked")).withColumn("all", F.lit(1))
 
     def make() -> dict:
         return {"load": {}, "n": 0}

@@ -67,6 +67,20 @@ _ROUTE = """h AS (SELECT key, list_reduce(list_prepend(CAST(14695981039346656037
 f1 AS (SELECT key, (xor(x, x >> 30) * 13787848793156543929) % 18446744073709551616 AS x FROM h), f2 AS (SELECT key, (xor(x, x >> 27) * 10723151780598845931) % 18446744073709551616 AS x FROM f1),
 f3 AS (SELECT key, xor(x, x >> 31) AS x FROM f2) SELECT event_id, key, CAST(x % 4 AS INT) AS routed FROM log JOIN f3 USING (key)"""
 
+_ALL, _CRC64 = "CAST(18446744073709551615 AS UBIGINT)", "CAST(14514072000185962306 AS UBIGINT)"
+
+
+def _fnv(numbers: str) -> str:
+    return f"list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform({numbers}, lambda v: CAST(v AS UHUGEINT))), lambda x, y: (xor(x, y) * 1099511628211) % 18446744073709551616)"
+
+
+def _mix(h: str) -> str:
+    """splitmix64's finalizer of a number, each step by a list of one."""
+    for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931)):
+        h = f"list_transform([{h}], lambda z: (xor(z, z >> {shift}) * {factor}) % 18446744073709551616)[1]"
+    return f"list_transform([{h}], lambda z: xor(z, z >> 31))[1]"
+
+
 _WINDOW = """e AS (SELECT epoch_us(ts) AS t, event_type, user_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"""
 
 ORACLES = {
@@ -256,4 +270,19 @@ SELECT batch, shard, count(*) AS records, CAST(sum(b) AS BIGINT) AS bytes, (batc
     "q75_lag_notices": q("log tails", """s AS (SELECT 'sub/' || stream || '/' || shard AS sub, stream, shard, tail, tail * (shard + 6) // 10 AS position FROM tails) SELECT sub, stream, shard, tail - position - 64 AS dropped, position AS resume FROM s WHERE tail - position > 64"""),
     "q76_topic_subscription": q("topics", f"""m AS (SELECT topic, page_id, greatest({_SUBSCRIBED}) AS qos FROM topics WHERE topic <> '' AND strlen(topic) <= 65535 AND NOT regexp_matches(topic, '[+#]')) SELECT topic, 'pages' AS stream, CAST(page_id % 4 AS INT) AS shard, page_id // 4 AS "offset", qos FROM m WHERE qos IS NOT NULL AND page_id // 4 >= 3"""),
     "q77_retry_classes": """SELECT event_id, ['not_found', 'throttled', 'stale', 'other'][event_id % 4 + 1] AS code, ['never', 'later', 'refresh', 'never'][event_id % 4 + 1] AS retry FROM events""",
+    "q30c_record_digest": q("log", f"""b AS (SELECT event_id, list_concat([0, 0, 0, 0, 0, 0, 0, length(payload)], list_transform(range(1, length(payload) + 1), lambda i: ascii(payload[i]))) AS bytes FROM log),
+c AS (SELECT event_id, xor({_ALL}, list_reduce(list_prepend({_ALL}, list_transform(bytes, lambda b: CAST(b AS UBIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: CAST(k AS UBIGINT))), lambda h, k: xor(h >> 1, CASE WHEN h & 1 = 1 THEN {_CRC64} ELSE CAST(0 AS UBIGINT) END)))) AS d FROM b)
+SELECT event_id, CAST(CASE WHEN d >= 9223372036854775808 THEN CAST(d AS HUGEINT) - 18446744073709551616 ELSE d END AS BIGINT) AS digest FROM c"""),
+    "q41_rendezvous": q("log", f"""s AS (SELECT DISTINCT tenant, namespace, stream, shard FROM log), n AS (SELECT 'node-' || s_suppkey AS node FROM supplier),
+l AS (SELECT *, {_mix(_fnv("list_concat(" + ", ".join(f"list_transform(range(1, length({c}) + 1), lambda i: ascii({c}[i])), [255]" for c in ("tenant", "namespace", "stream")) + ", [0, 0, 0, shard, 255])"))} AS a FROM s),
+r AS (SELECT *, {_mix(_fnv("list_concat(list_transform(range(1, length(node) + 1), lambda i: ascii(node[i])), [255])"))} AS b FROM n),
+p AS (SELECT l.*, node, {_mix("xor((a * 11400714819323198485) % 18446744073709551616, ((b << 32) % 18446744073709551616) | (b >> 32))")} AS score FROM l, r),
+k AS (SELECT *, row_number() OVER (PARTITION BY tenant, namespace, stream, shard ORDER BY score DESC, node DESC) AS rn FROM p), w AS (SELECT tenant, namespace, stream, shard, node FROM k WHERE rn = 1)
+SELECT w.*, count(*) OVER (PARTITION BY node) AS leads FROM w"""),
+    "q73_reservoir": q("log", """r AS (SELECT stream, event_id, cents, row_number() OVER (PARTITION BY stream ORDER BY md5('42:' || event_id), event_id) AS n FROM log) SELECT stream, event_id, cents FROM r WHERE n <= 100"""),
+    "x1_tenant_rate": steps("log", """SELECT tenant, ts_us AS at_us, CAST(1 AS BIGINT) AS msgs, cents AS bytes, row_number() OVER (PARTITION BY tenant ORDER BY ts_us, cents) AS n FROM log""",
+        """SELECT DISTINCT tenant, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS at_us, CAST(0 AS BIGINT) AS msgs, CAST(0 AS BIGINT) AS bytes, true AS admitted, CAST(0 AS BIGINT) AS wait_ms, CAST(10 AS DOUBLE) AS m, CAST(2000 AS DOUBLE) AS b FROM r""",
+        """SELECT tenant, n, at_us, msgs, bytes, w = 0, w, CASE WHEN w = 0 THEN greatest(m - msgs, -0.01::DOUBLE * 5) ELSE m END, CASE WHEN w = 0 THEN greatest(b - bytes, -2.0::DOUBLE * 5) ELSE b END FROM (SELECT *, greatest(CASE WHEN m < 0 THEN CAST(ceil(-m / 0.01::DOUBLE * 1000) AS BIGINT) ELSE 0 END, CASE WHEN b < 0 THEN CAST(ceil(-b / 2.0::DOUBLE * 1000) AS BIGINT) ELSE 0 END) AS w
+  FROM (SELECT r.*, least(f.m + (r.at_us - coalesce(f.at_us, r.at_us)) / 1e6::DOUBLE * 0.01::DOUBLE, 10) AS m, least(f.b + (r.at_us - coalesce(f.at_us, r.at_us)) / 1e6::DOUBLE * 2.0::DOUBLE, 2000) AS b FROM f JOIN r ON r.tenant = f.tenant AND r.n = f.n + 1))""",
+        """SELECT tenant, at_us, msgs, bytes, admitted, wait_ms FROM f WHERE n > 0"""),
 }
