@@ -130,8 +130,8 @@ def list_cycles(appends: DataFrame, reads: DataFrame, seen: DataFrame, final: Da
     last_owned = own.join(owned.groupBy(*SHARD, "value").agg(F.max("place").alias("place")), [*SHARD, "value"]).groupBy(*SHARD, "op").agg(F.max_by("place", "offset").alias("entered"))
     reading = reads.join(last_seen, [*SHARD, "op"], "left").join(last_owned, [*SHARD, "op"], "left")
     if exact_tails:
-        # the next append after what was seen: places from the end on, reads before the appends of greater offsets
-        ahead = Window.partitionBy(*SHARD).orderBy("offset", "kind").rowsBetween(1, Window.unboundedFollowing)
+        # the next append after what was seen: from the end on, so that the frame grows and isn't computed anew for each row
+        ahead = Window.partitionBy(*SHARD).orderBy(F.desc("offset"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
         line = owned.select(*SHARD, "offset", F.lit(0).alias("kind"), "place", F.lit(None).cast(reads.schema["op"].dataType).alias("op"))
         line = line.unionByName(reading.select(*SHARD, F.coalesce("offset", long(-1)).alias("offset"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("place"), "op"))
         following = line.withColumn("leads", F.min("place").over(ahead)).where("kind = 1").select("op", "leads")
