@@ -285,4 +285,9 @@ SELECT w.*, count(*) OVER (PARTITION BY node) AS leads FROM w"""),
         """SELECT tenant, n, at_us, msgs, bytes, w = 0, w, CASE WHEN w = 0 THEN greatest(m - msgs, -0.01::DOUBLE * 5) ELSE m END, CASE WHEN w = 0 THEN greatest(b - bytes, -2.0::DOUBLE * 5) ELSE b END FROM (SELECT *, greatest(CASE WHEN m < 0 THEN CAST(ceil(-m / 0.01::DOUBLE * 1000) AS BIGINT) ELSE 0 END, CASE WHEN b < 0 THEN CAST(ceil(-b / 2.0::DOUBLE * 1000) AS BIGINT) ELSE 0 END) AS w
   FROM (SELECT r.*, least(f.m + (r.at_us - coalesce(f.at_us, r.at_us)) / 1e6::DOUBLE * 0.01::DOUBLE, 10) AS m, least(f.b + (r.at_us - coalesce(f.at_us, r.at_us)) / 1e6::DOUBLE * 2.0::DOUBLE, 2000) AS b FROM f JOIN r ON r.tenant = f.tenant AND r.n = f.n + 1))""",
         """SELECT tenant, at_us, msgs, bytes, admitted, wait_ms FROM f WHERE n > 0"""),
+    "q63_regression_verdict": q("log runs", """g AS (SELECT workload, candidate, cents + CASE WHEN candidate AND workload IN ('view', 'signup') THEN 1000 ELSE 0 END AS cents FROM runs WHERE NOT failed), s AS (SELECT workload, count(*) FILTER (NOT candidate) AS n0, count(*) FILTER (candidate) AS n1, median(cents) FILTER (NOT candidate) AS median0, median(cents) FILTER (candidate) AS median1,
+  avg(cents) FILTER (NOT candidate) AS m0, avg(cents) FILTER (candidate) AS m1, var_samp(cents) FILTER (NOT candidate) / count(*) FILTER (NOT candidate) AS s0, var_samp(cents) FILTER (candidate) / count(*) FILTER (candidate) AS s1 FROM g GROUP BY workload),
+t AS (SELECT *, abs(m0 - m1) / sqrt(s0 + s1) AS t, (s0 + s1) ^ 2 / (s0 ^ 2 / (n0 - 1) + s1 ^ 2 / (n1 - 1)) AS df, (median1 - median0) / median0 * 100 AS pct_change FROM s),
+p AS (SELECT *, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * t / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (i * t / 2000) ^ 2 / df, -(df + 1) / 2))) AS p FROM t)
+SELECT workload, n0, n1, median0, median1, pct_change, CASE WHEN pct_change > 0 AND p < 0.05 AND pct_change >= 3 THEN 'regression' WHEN pct_change >= 10 THEN 'inconclusive' ELSE 'ok' END AS status FROM p"""),
 }
