@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, crc_mod, labelled_sample, worker_cache
+from tidelog.llm.common import chunks, crc_mod, labelled_sample, mapped, worker_cache
 
 _LETTERS = re.compile(r"[\W\d_]+")
 _RUNS = re.compile(r"([^\W\d_]+)|(\d+)|((.)\4*)", re.DOTALL)
@@ -38,64 +38,97 @@ def shape_of(word: str) -> str:
             return "A" if len(m[1]) > 1 and m[1].isupper() else "Aa" if m[1][0].isupper() else "a"
         return "0" if m[2] else m[4] + str(min(len(m[3]), 4))
 
-    return _RUNS.sub(one, word)[:24]
+    return _RUNS.sub(one, word)
 
 
 class Features:
     """Hashed features of texts; word rows are kept in a bounded cache, emptied when full."""
 
-    def __init__(self, bits: int = 20, most: int = 300_000):
-        self.bits, self.most = bits, most
+    MARKS = ".,;:!?"
+
+    def __init__(self, bits: int = 20, most: int = 300_000, most_chars: int = 20_000_000):
+        self.bits, self.most, self.most_chars = bits, most, most_chars
         self.clear()
 
     def clear(self) -> None:
         import numpy as np
 
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, 2), np.uint64)
+        self.shapes: dict = {}
+        self.chars = 0
+        self.rows = np.zeros((1 << 12, 2), np.uint64)
+
+    def _row(self, word: str) -> tuple[int, int]:
+        """The hashes of a word's letters and of its shape."""
+        import xxhash
+
+        core = word.rstrip(self.MARKS)
+        if core.isalpha():  # most words: letters, and marks after them, whose shapes are few
+            kind = "A" if len(core) > 1 and core.isupper() else "Aa" if core[0].isupper() else "a"
+            key, letters = (kind, word[len(core) :]), core.lower()
+        else:
+            key, letters = word, _LETTERS.sub("", word).lower()
+        shape = self.shapes.get(key)
+        if shape is None:
+            shape = xxhash.xxh64_intdigest(shape_of(word), 2)
+            if len(self.shapes) < 100_000:
+                self.shapes[key] = shape
+        return xxhash.xxh64_intdigest(letters, 1), shape
 
     def _learn(self, words: list[str]) -> None:
         import numpy as np
-        import xxhash
 
-        digest = xxhash.xxh64_intdigest
-        rows = [(digest(_LETTERS.sub("", w).lower(), 1), digest(shape_of(w), 2)) for w in words]
-        self.known.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
-        self.rows = np.concatenate([self.rows, np.array(rows, np.uint64).reshape(-1, 2)])
+        held, total = len(self.known), len(self.known) + len(words)
+        if total > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(total, 2 * len(self.rows)) - len(self.rows), 2), np.uint64)])
+        if words:
+            self.rows[held:total] = np.array(list(map(self._row, words)), np.uint64)
+        self.known.update(zip(words, range(held, total)))
+        self.chars += sum(map(len, words))
+
+    def indices(self, texts: list[str]):
+        """(index, text) of every feature of some texts, repeats included; all texts of a slice are taken together."""
+        from itertools import chain
 
-    def indices(self, text: str):
-        """The index of every feature of a text, repeats included."""
         import numpy as np
         import xxhash
 
-        words = text.split()
+        split = [t.split() for t in texts]
+        if len(self.known) > self.most or self.chars > self.most_chars:
+            self.clear()
         known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            self._learn(new)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self._learn(list(set(chain.from_iterable(split)).difference(known)))
+        sizes = np.array([len(words) for words in split], np.int64)
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
         word, shape = self.rows[at, 0], self.rows[at, 1].copy()
-        shape[1:][word[1:] == word[:-1]] ^= np.uint64(0x9E3779B97F4A7C15)
+        two = owner[1:] == owner[:-1]  # the word and the one after it are of one text
+        three = two[1:] & two[:-1]
+        shape[1:][two & (word[1:] == word[:-1])] ^= np.uint64(0x9E3779B97F4A7C15)
         mix = np.uint64(0xFF51AFD7ED558CCD)
         pairs = shape[:-1] * mix + shape[1:]
-        lines = [x for x in text.split("\n") if x.strip()]
-        whole = [f"length {len(words).bit_length()}"]
-        if lines:
-            whole.append(f"lines {4 * (len(lines) - len(set(lines))) // len(lines)} {min(len(lines).bit_length(), 3)}")
-            whole.append(f"different {8 * len(np.unique(at)) // len(words)} {min(len(words).bit_length(), 8)}")
-        parts = [word, word[:-1] * mix + word[1:], shape, pairs * mix + np.uint64(1), pairs[:-1] * mix + shape[2:] + np.uint64(2)]
-        extra = np.array([xxhash.xxh64_intdigest(x, 3) for x in whole], np.uint64)
-        hashes = np.concatenate([*parts, np.repeat(extra, max(1, len(words) // 4))])
+        extra, extra_owner = [], []
+        for i, (text, words) in enumerate(zip(texts, split)):
+            lines = [x for x in text.split("\n") if x.strip()]
+            whole = [f"length {len(words).bit_length()}"]
+            if lines:
+                whole.append(f"lines {4 * (len(lines) - len(set(lines))) // len(lines)} {min(len(lines).bit_length(), 3)}")
+                whole.append(f"different {8 * len(set(words)) // len(words)} {min(len(words).bit_length(), 8)}")
+            times = max(1, len(words) // 4)
+            extra += [xxhash.xxh64_intdigest(x, 3) for x in whole] * times
+            extra_owner += [i] * (times * len(whole))
+        parts = [word, (word[:-1] * mix + word[1:])[two], shape, (pairs * mix + np.uint64(1))[two], (pairs[:-1] * mix + shape[2:] + np.uint64(2))[three], np.array(extra, np.uint64)]
+        hashes = np.concatenate(parts)
         hashes ^= hashes >> np.uint64(31)
         hashes *= np.uint64(0xC4CEB9FE1A85EC53)
-        if len(self.known) > self.most:
-            self.clear()
-        return (hashes >> np.uint64(64 - self.bits)).view(np.int64)
+        owners = np.concatenate([owner, owner[1:][two], owner, owner[1:][two], owner[2:][three], np.array(extra_owner, np.int64)])
+        return (hashes >> np.uint64(64 - self.bits)).view(np.int64), owners
 
     def of(self, text: str):
         """(indices, values) of a text; indices ascend and are distinct."""
         import numpy as np
 
-        all_ = self.indices(text)
+        all_, _ = self.indices([text])
         index, counts = np.unique(all_, return_counts=True)
         return index, SCALE * counts / len(all_)
 
@@ -138,11 +171,13 @@ class Regression:
         self.w = self._weights(np.arange(1 << self.bits)).astype(np.float32)
         del self.z, self.n
 
-    def score(self, indices) -> float:
-        """The score of a text with these features, repeats included."""
+    def score(self, texts: list[str], features: Features):
+        """The scores of texts: of each the sparse dot product of its features' shares and the weights."""
         import numpy as np
 
-        return float(1 / (1 + np.exp(-np.clip(SCALE * float(self.w[indices].mean()) + self.bias, -35, 35))))
+        index, owner = features.indices(texts)
+        sums, sizes = np.bincount(owner, self.w[index], len(texts)), np.bincount(owner, minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(SCALE * sums / sizes + self.bias, -35, 35)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 1500, max_chars: int = 20_000, held: int = 0, folds: int = 5) -> Regression | float:
@@ -166,8 +201,9 @@ def _score(model, version: str):
         import pyarrow as pa
 
         features = worker_cache("quality", Features, version)
-        for part in chunks(batches, "text", 4 << 20):
-            scores = [model if isinstance(model, float) else model.score(features.indices(t or "")) for t in part.column("text").to_pylist()]
+        for part in chunks(batches, "text", 1 << 20):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            scores = [model] * len(texts) if isinstance(model, float) else model.score(texts, features)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
     return run
@@ -176,7 +212,7 @@ def _score(model, version: str):
 def score_quality(docs: DataFrame, model: Regression | float, id_col: str = "doc_id", text_col: str = "text", held: int = 0, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(model, uuid.uuid4().hex), "doc_id long, held_out boolean, score double")
+    return rows.transform(mapped, _score(model, uuid.uuid4().hex), "doc_id long, held_out boolean, score double")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
