@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,10 +26,24 @@ def chunks(batches: Iterator, column: str, max_bytes: int = 4 << 20) -> Iterator
             to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+    batch = None
+    release()
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), rows going to Python in batches of 4 MB: with the default, 64 MB, a batch of long texts takes several times as
+    much memory on both sides. A session that has set another size keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) == "67108864b":
+        conf.set(BATCH_BYTES, "4m")
+    return df.mapInArrow(run, schema)
 
 
 def worker_cache(name: str, make: Callable, version: str = ""):
-    """An object that outlives a task in a Python worker that Spark reuses, until another version of it is asked for.
+    """An object that outlives a task in a Python worker that Spark reuses, until another one, or another version of it, is asked for.
 
     Only caches and loaded files live here: no result depends on what is found.
     """
@@ -36,11 +51,25 @@ def worker_cache(name: str, make: Callable, version: str = ""):
     import types
 
     home = sys.modules.setdefault("_tidelog_worker_cache", types.ModuleType("_tidelog_worker_cache"))
-    held = getattr(home, name, None)
-    if held is None or held[0] != version:
-        held = (version, make())
-        setattr(home, name, held)
-    return held[1]
+    if getattr(home, "key", None) != (name, version):
+        home.held = None
+        release()
+        home.key, home.held = (name, version), make()
+    return home.held
+
+
+def release() -> None:
+    """Gives memory that isn't used any more back to the system: a Python worker lives on between its tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that most systems have
+    if trim:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,8 +90,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, or in the innermost scratch() folder."""
+    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that isn't read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for all tables that are written within, removed at the end: what is still wanted then must have been written elsewhere."""
+    path = shared_path(spark, "scratch")
+    _scratch.append(path)
+    try:
+        yield path
+    finally:
+        _scratch.remove(path)
+        remove(spark, path)
 
 
 #: Rows of a few numbers or a digest each that may be broadcast, once they were counted: some 100 MB in an executor.
@@ -102,26 +153,24 @@ def join_skewed(rows: DataFrame, table: DataFrame, key: str, share: int = 1000,
 
 
 def least_hashed(rows: DataFrame, group: str, per_group: int, counts: dict, spare: int = 4) -> DataFrame:
-    """Of each group the per_group rows (column _i) of the least hash of _i, in order of it; counts: the number of rows of each group.
+    """Of each group the per_group rows (column _i, distinct) of the least hash of _i; counts: the number of rows of each group.
 
-    Only rows under a threshold that lets some spare * per_group of a group through are ranked, so that no group's rows meet in one task;
-    hashes are uniform, and where too few should pass, the others are ranked, too.
+    Only rows under a threshold that lets some spare * per_group of a group through, as hashes are uniform, come to the driver, and are
+    ranked there; where too few should pass, the threshold is raised.
     """
     span = 1 << 64
-
-    def ranked(most: float) -> DataFrame:
-        limit = F.lit(None).cast("long")
-        bounds = [(g, (1 << 63) - 1 if n <= most else int(span * most / n) - (1 << 63)) for g, n in sorted(counts.items())]
-        if bounds:
-            limit = F.element_at(F.create_map(*(F.lit(x) for b in bounds for x in b)), F.col(group)).cast("long")
-        order = Window.partitionBy(group).orderBy("_h", "_i")
-        return rows.withColumn("_h", F.xxhash64("_i")).where(F.col("_h") <= limit).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_group).drop("_r", "_h")
-
-    found = cut(ranked(spare * per_group))
-    got = {r[0]: r[1] for r in found.groupBy(group).count().collect()}
-    if any(got.get(g, 0) < min(per_group, n) for g, n in counts.items()):
-        return cut(ranked(float("inf")))
-    return found
+    while True:
+        bounds = [(g, (1 << 63) - 1 if n <= spare * per_group else int(span * spare * per_group / n) - (1 << 63)) for g, n in sorted(counts.items())]
+        limit = F.element_at(F.create_map(*(F.lit(x) for b in bounds for x in b)), F.col(group)) if bounds else F.lit(None)
+        found = rows.withColumn("_h", F.xxhash64("_i")).where(F.col("_h") <= limit.cast("long")).select("_h", "_i", group).collect()
+        by: dict = {}
+        for r in sorted(found):
+            by.setdefault(r[2], []).append(r[1])
+        if all(len(by.get(g, ())) >= min(per_group, n) for g, n in counts.items()):
+            break
+        spare = 16 * max(spare, 1)
+    picked = [(i, g) for g, ids in by.items() for i in ids[:per_group]]
+    return rows.sparkSession.createDataFrame(picked, rows.select("_i", group).schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int, max_chars: int) -> list[tuple[int, str, int]]:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks
+from tidelog.llm.common import chunks, mapped
 
 # Common function words of English, German, French, Spanish, Italian, Portuguese, Dutch and Russian.
 STOP_WORDS = frozenset(
@@ -247,7 +247,7 @@ def _extract(batches: Iterator) -> Iterator:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.transform(mapped, _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks
+from tidelog.llm.common import chunks, mapped
 
 UNIT = 192
 SLICE = 1 << 13
@@ -358,7 +358,7 @@ def _store(batches: Iterator) -> Iterator:
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every text as a JPEG that holds its bytes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return rows.transform(mapped, _store, "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, thumbnail_hash string, thumbnail_sha256 string"
@@ -384,7 +384,7 @@ def _features(batches: Iterator) -> Iterator:
 
 def media_features(media: DataFrame) -> DataFrame:
     """media (columns doc_id, n_bytes and media) with dimensions, payload digests and thumbnail hashes in place of the files."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, f"doc_id long, n_bytes long, {FEATURES}")
+    return media.select("doc_id", "n_bytes", "media").transform(mapped, _features, f"doc_id long, n_bytes long, {FEATURES}")
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:

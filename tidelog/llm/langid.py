@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, crc_mod, least_hashed, worker_cache
+from tidelog.llm.common import chunks, crc_mod, least_hashed, mapped, worker_cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = "\x01"
@@ -246,7 +246,7 @@ def _predict(models: Models, version: str):
         import pyarrow as pa
 
         cache = worker_cache("langid", dict, version)
-        for part in chunks(batches, "text", 2 << 20):
+        for part in chunks(batches, "text", 1 << 20):
             langs, score, entropy, accepted = models.predict(part.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), pa.array(langs, pa.string()), pa.array(np.asarray(score, float)), pa.array(np.asarray(entropy, float)), pa.array(accepted)], names=[*part.schema.names, "lang_pred", "score", "cross_entropy", "accepted"])
 
@@ -258,7 +258,7 @@ def identify(rows: DataFrame, models: Models) -> DataFrame:
     import uuid
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_predict(models, uuid.uuid4().hex), f"{schema}, lang_pred string, score double, cross_entropy double, accepted boolean")
+    return rows.transform(mapped, _predict(models, uuid.uuid4().hex), f"{schema}, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 
 def _accept(models: Models, version: str, column: str):
@@ -266,7 +266,7 @@ def _accept(models: Models, version: str, column: str):
         import pyarrow as pa
 
         cache = worker_cache("langid", dict, version)
-        for part in chunks(batches, column, 2 << 20):
+        for part in chunks(batches, column, 1 << 20):
             accepted = models.predict(part.column(column).to_pylist(), cache)[3]
             yield part.filter(pa.array(accepted))
 
@@ -278,7 +278,7 @@ def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
     import uuid
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_accept(models, uuid.uuid4().hex, text_col), schema)
+    return docs.transform(mapped, _accept(models, uuid.uuid4().hex, text_col), schema)
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, worker_cache
+from tidelog.llm.common import chunks, mapped, worker_cache
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -207,7 +207,7 @@ def harmonic_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per piece; capacity and least are powers of two. sequence_id holds the partition's number in its upper bits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     run = _pack(tokenizer or default_tokenizer(), capacity, least, end_id.to_bytes(4, "little"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.transform(mapped, run, SCHEMA)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks
+from tidelog.llm.common import chunks, mapped
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -131,8 +131,8 @@ class Tagger:
             legal[[later - 1, later], later] = 0  # a window may begin within a span
         return legal
 
-    def _run(self, x, side: str):
-        """Hidden states [T, N, H] and what the backward pass needs; x: classes [T, N]."""
+    def _run(self, x, side: str, keep: bool):
+        """Hidden states [T, N, H] and, if it is to be kept, what the backward pass needs; x: classes [T, N]."""
         import numpy as np
 
         steps, n = x.shape
@@ -150,14 +150,15 @@ class Tagger:
             tc = np.tanh(c)
             h = o * tc
             hs[t] = h
-            kept.append((t, before_h, before_c, i, f, o, g, tc))
+            if keep:
+                kept.append((t, before_h, before_c, i, f, o, g, tc))
         return hs, kept
 
-    def emissions(self, x):
+    def emissions(self, x, keep: bool = True):
         import numpy as np
 
-        forward, kept_f = self._run(x, "f")
-        backward, kept_b = self._run(x, "b")
+        forward, kept_f = self._run(x, "f", keep)
+        backward, kept_b = self._run(x, "b", keep)
         both = np.concatenate([forward, backward], axis=2)
         return both @ self.p["o"] + self.p["ob"], both, kept_f, kept_b
 
@@ -244,7 +245,7 @@ class Tagger:
         """The best tags [T, N] of windows of classes [T, N]."""
         import numpy as np
 
-        e = self.emissions(x)[0]
+        e = self.emissions(x, keep=False)[0]
         trans = self.p["t"] + self._legal()
         score = trans[TAGS] + e[0]
         back = np.zeros((len(e), x.shape[1], TAGS), np.int8)
@@ -286,8 +287,8 @@ class Tagger:
                         break
                     at += stride
         tags: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        for first in range(0, len(places), 2048):
-            part = places[first : first + 2048]
+        for first in range(0, len(places), 512):
+            part = places[first : first + 512]
             x = np.stack([classes_of(texts[i][at : at + size].ljust(size)) for i, at in part], axis=1)
             best = self.viterbi(x)
             for n, (i, at) in enumerate(part):
@@ -473,7 +474,7 @@ def _find(tagger: Tagger | None):
         def column(found):
             return pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in spans] for spans in found], kind)
 
-        for part in chunks(batches, "text", 4 << 20):
+        for part in chunks(batches, "text", 1 << 20):
             texts = [t or "" for t in part.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
             some = [i for i, t in enumerate(texts) if TRIGGER.search(t)] if tagger else []
@@ -491,7 +492,7 @@ def _find(tagger: Tagger | None):
 def find_spans(rows: DataFrame, tagger: Tagger | None) -> DataFrame:
     """rows (column text, and any but base and spans) with base, the patterns' spans, and spans, all of them."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_find(tagger), f"{schema}, {SPANS}")
+    return rows.transform(mapped, _find(tagger), f"{schema}, {SPANS}")
 
 
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -509,7 +510,7 @@ def _mask(tagger: Tagger | None, column: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in chunks(batches, column, 4 << 20):
+        for part in chunks(batches, column, 1 << 20):
             texts = part.column(column).to_pylist()
             some = [i for i, t in enumerate(texts) if t and TRIGGER.search(t)]
             base = [base_spans(texts[i]) for i in some]
@@ -525,7 +526,7 @@ def _mask(tagger: Tagger | None, column: str):
 def masked(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
     """docs, their texts without personal data."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_mask(tagger, text_col), schema)
+    return docs.transform(mapped, _mask(tagger, text_col), schema)
 
 
 def joined(spans: str) -> Column:

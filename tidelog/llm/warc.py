@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import chunks, cut, is_small, join_skewed, shared_path
+from tidelog.llm.common import chunks, cut, is_small, join_skewed, mapped, shared_path
 
 MANIFEST = "file string, temporary string, shard int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -249,8 +249,8 @@ def write_archive(pages: DataFrame, root: str | None = None, id_col: str = "page
     system.create_dir(folder, recursive=True)
     if system.get_file_info(f"{folder}/manifest").type == fs.FileType.Directory:  # from here on the root holds no complete archive
         system.delete_dir(f"{folder}/manifest")
-    manifest = cut(rows.mapInArrow(_write(root, roll_bytes, level), MANIFEST))
-    manifest.mapInArrow(_commit(root), "file string").write.format("noop").mode("overwrite").save()
+    manifest = cut(rows.transform(mapped, _write(root, roll_bytes, level), MANIFEST))
+    manifest.transform(mapped, _commit(root), "file string").write.format("noop").mode("overwrite").save()
     _remove_leftovers(manifest, system, folder)
     manifest.drop("temporary").orderBy("file").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
     return root
@@ -351,7 +351,7 @@ def read_archive(spark, root: str, with_payload: bool = True) -> DataFrame:
         raise FileNotFoundError(f"{root} holds no complete archive")
     files = spark.read.schema("file string, shard int, records long, bytes long, sha256 string").json(f"{root}/manifest")
     n = files.count()
-    return files.repartition(max(1, min(n, 1 << 16))).mapInArrow(_read(root, with_payload), RECORDS) if n else spark.createDataFrame([], RECORDS)
+    return files.repartition(max(1, min(n, 1 << 16))).transform(mapped, _read(root, with_payload), RECORDS) if n else spark.createDataFrame([], RECORDS)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
