@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, neardup, langid, packing, pii
-from tidelog.llm.common import cut
+from tidelog.llm.common import remove, scratch, shared_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        rows = cut(stage(spark, rows, sf_dir))
+    """The rows of the last stage. A stage's own tables, and its input, are removed once its rows are written."""
+    rows, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        path = shared_path(spark, name)
+        with scratch(spark):
+            kept = stage(spark, rows, sf_dir)
+            kept.write.parquet(path)
+        if before:
+            remove(spark, before)
+        rows, before = spark.read.schema(kept.schema).parquet(path), path
     return rows
