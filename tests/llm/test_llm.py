@@ -798,6 +798,13 @@ def test_pipeline_against_brute_force(spark, docs):
     check_packing(stages["packing"](spark, masked, D).collect(), [(r["doc_id"], r["text"]) for r in masked.collect()])
 
 
+def test_pipeline_run_removes_what_it_needs_no_more(spark):
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file://")))
+    result = corpus_pipeline.run(spark, D)
+    left = set(os.listdir(common.shared_dir(spark).removeprefix("file://"))) - before
+    assert result.count() > 0 and {x.partition("-")[0] for x in left} == {"packing"}
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd):
     rows = odd
     for name, stage in corpus_pipeline.STAGES[:-1]:
