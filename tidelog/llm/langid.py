@@ -159,7 +159,7 @@ class Models:
             open_ = np.concatenate([open_[~fits], missed])
         return np.add.reduceat(total, starts, axis=0)
 
-    def score(self, texts: list[str | None], cache: dict, most: int = 200_000):
+    def score(self, texts: list[str | None], cache: dict, most: int = 100_000):
         """(sums of log probabilities by language, characters, words) of every text; cache keeps rows by word."""
         import numpy as np
 

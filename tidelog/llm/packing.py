@@ -79,7 +79,7 @@ class Encoder:
     # The fixed pattern of this kind of byte-level BPE.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         import os
         import re
 
