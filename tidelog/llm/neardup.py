@@ -2,14 +2,14 @@
 
 A text is the set of its distinct five-word shingles (a shorter text is one shingle); texts of the same set are one node. At a
 similarity of 0.8 two SimHashes differ in 14 % of their bits, about nine of 64, too unsteady a number to filter by; so a fingerprint here
-has 512 bits, of which such a pair differs in 72 with a deviation of 9, and a distance of at most DISTANCE = 104 loses hardly any.
+has 512 bits, of which such a pair differs in 72 with a deviation of 8.4, and a distance of at most DISTANCE = 92 loses one in a hundred.
 
 The 512 bits are a ring of 64 segments of a byte. A chain starts where three consecutive segments are equal, which is the key of the
-index; its next eight segments are tested prefix by prefix against the proportional budgets l * 104 / 64, then the whole
+index; its next eight segments are tested prefix by prefix against the proportional budgets l * 92 / 64, then the whole
 Hamming distance, and last the exact similarity. The budgets alone would let the first segments differ by a bit or two; to demand that
 they are equal makes the index a join, and is paid for by many starts: 21 chains that don't overlap in each of
-ORDERS = 10 fixed orders of the ring. Measured on 3,000 pairs each, 0.96 of the pairs at a similarity of exactly 0.8 are found by a chain of
-their own, 0.98 at 0.82, 0.993 at 0.85 (a test holds this); in a group of copies a missed link is mostly made up for by others.
+ORDERS = 10 fixed orders of the ring. Measured on 3,000 pairs each, 0.954 of the pairs at a similarity of exactly 0.8 are found by a chain of
+their own, 0.978 at 0.82, 0.992 at 0.85, all at 0.9 (a test holds this); in a group of copies a missed link is mostly made up for by others.
 
 Defined cases: those of simhash; texts without words are copies of each other.
 """
@@ -17,14 +17,15 @@ Defined cases: those of simhash; texts without words are copies of each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import broadcast_if_small, chunks, cut, join_skewed, worker_cache
+from tidelog.llm.common import broadcast_if_small, chunks, cut, join_skewed, mapped, release, worker_cache
 from tidelog.llm.simhash import bucket_links, chain_holds, first_of_each, with_components
 
-SHINGLE, SEGMENTS, EQUAL, ORDERS, DISTANCE = 5, 64, 3, 10, 104
+SHINGLE, SEGMENTS, EQUAL, ORDERS, DISTANCE = 5, 64, 3, 10, 92
 #: Sets of fewer shingles reach 4/5 with equal sets only.
 LEAST = 4
 WORDS = [f"f{i}" for i in range(SEGMENTS // 8)]
@@ -111,6 +112,7 @@ def _key_batches(batches: Iterator) -> Iterator:
             words = np.stack([part.column(w).to_numpy(zero_copy_only=False) for w in WORDS], axis=1)
             for number, key, following in chains(words):
                 yield pa.RecordBatch.from_arrays([pa.array(key | (number << 32)), node, pa.array(following)], names=["k", "node", "bits"])
+    release()
 
 
 def _shingle_batches(shingle: int):
@@ -134,26 +136,36 @@ def _alike(na: Column, nb: Column, common: Column) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, component_id): one row per row of docs; component_id is the smallest id reachable over pairs at 0.8 or more."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(texts.mapInArrow(_sketch_batches(shingle), "doc_id long, node long, n long, " + ", ".join(f"{w} long" for w in WORDS)))
+    rows = cut(texts.transform(mapped, _sketch_batches(shingle), "doc_id long, node long, n long, " + ", ".join(f"{w} long" for w in WORDS)))
     firsts = [F.first(c).alias(c) for c in ("n", *WORDS)]
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *firsts))
 
+    held: list[DataFrame] = []  # the sets that were asked for so far
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """The sets of asked nodes, and of others; texts are read again only for nodes that weren't asked for before."""
+        for sets in held:
+            asked = asked.join(sets.select("node"), "node", "left_anti")
+        asked = cut(asked)
+        if asked.take(1):
+            wanted = nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("_id")).distinct()
+            again = texts.join(broadcast_if_small(cut(wanted)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+            sets = again.transform(mapped, _shingle_batches(shingle), "node long, shingles array<long>").join(broadcast_if_small(asked), "node", "left_semi")
+            held.append(cut(sets.dropDuplicates(["node"])))
+        return reduce(DataFrame.unionByName, held) if held else docs.sparkSession.createDataFrame([], "node long, shingles array<long>")
+
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(w).alias(f"{x}{w}") for w in WORDS))
         apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS), F.lit(0))
         close = pairs.join(side("a"), "a").join(side("b"), "b").where((apart <= DISTANCE) & _alike(F.col("na"), F.col("nb"), F.least("na", "nb")))
         close = cut(close.select("a", "b", "na", "nb"))
-        asked = cut(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        wanted = nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("_id")).distinct()
-        again = texts.join(broadcast_if_small(cut(wanted)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        sets = again.mapInArrow(_shingle_batches(shingle), "node long, shingles array<long>").join(broadcast_if_small(asked), "node", "left_semi")
-        sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+        sets = sets_of(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
         of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
         both = close.join(of("a"), "a").join(of("b"), "b")
         return both.where(_alike(F.col("na"), F.col("nb"), F.size(F.array_intersect("sa", "sb")))).select("a", "b")
 
     large = nodes.where(F.col("n") >= LEAST).select("node", *WORDS)
-    keys = large.mapInArrow(_key_batches, "k long, node long, bits long")
+    keys = large.transform(mapped, _key_batches, "k long, node long, bits long")
     links = bucket_links(keys, lambda apart: chain_holds(apart, 8, DISTANCE, SEGMENTS, EQUAL), verified)
     table = with_components(nodes.select("node", "rep", F.col("copies").alias("n")), links, "node")
     return join_skewed(rows.select("doc_id", "node"), table, "node").select("doc_id", "component_id")
