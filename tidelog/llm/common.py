@@ -55,6 +55,7 @@ def worker_cache(name: str, make: Callable, version: str = ""):
         home.held = None
         release()
         home.key, home.held = (name, version), make()
+        release()  # what was needed to make it
     return home.held
 
 
