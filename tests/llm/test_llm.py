@@ -880,3 +880,73 @@ def test_near_duplicate_recall_at_the_threshold():
             found |= holds
         found &= np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1) <= neardup.DISTANCE
         assert found.mean() >= least, (similarity, found.mean())
+
+
+def nearly_similar(number, seed=5):
+    """Texts made from one of 240 words, each with one to six others in places of its own: similarities on both sides of 0.8."""
+    rng = random.Random(seed)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(240)], {}
+    for i in range(number):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randrange(1, 7)):
+            words[at] = f"w{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    return texts
+
+
+def test_near_duplicate_pairs_of_a_group_are_not_rows(spark):
+    """What joins, explodes and groups of the stage make, by name, over a group of nearly similar texts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    texts = nearly_similar(600)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    assert neardup.near_duplicates(df).count() == len(texts)
+    made = {}
+    for at in range(store.executionsList().size()):
+        run = store.executionsList().apply(at).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size() if run not in seen else 0)):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if re.search("Join|Generate|GroupsInArrow", node.name()) and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    name = re.sub(r"#\d+L?", "", node.desc())[:60]
+                    made[name] = made.get(name, 0) + int(values.apply(m.accumulatorId()).replace(",", ""))
+    # a text asks for its family once for each of its 210 buckets
+    most = {k: n for k, n in made.items() if n > len(texts) * (210 if "[node], [node], LeftOuter" in k else 40)}
+    assert made and not most, most
+
+
+@pytest.mark.parametrize("block, blocks, shingles", [(1 << 20, 16, 1 << 20), (16, 16, 1 << 20), (16, 2, 700)])
+def test_near_duplicates_of_a_group_in_blocks(spark, monkeypatch, block, blocks, shingles):
+    texts = nearly_similar(160)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCKS", blocks)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    want = brute_jaccard(texts)
+    assert 1 < len(set(want.values())) < len(texts) - 10
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == want
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_families_are_merged_over_every_chain_of_a_bucket(rows):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(rows)
+    k = np.sort(rng.integers(0, 12, 400))
+    bits = rng.integers(0, 4, 400) << rng.integers(0, 62, 400) | np.array([0, -1])[rng.integers(0, 2, 400)]  # near 0, and all ones
+    family = rng.integers(0, 300, 400)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + rows]) for c in (k, bits, family)], names=["k", "bits", "family"]) for i in range(0, 400, rows)]
+    got = [p for b in neardup._merge_batches(iter(batches)) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+
+    def parts(pairs):
+        root = list(range(300))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(i for i in range(300) if root[i] == r) for r in root}
+
+    def holds(x):
+        return all(((x % (1 << 64)) & ((1 << 8 * n) - 1)).bit_count() <= (neardup.EQUAL + n) * neardup.DISTANCE // neardup.SEGMENTS for n in range(1, 9))
+
+    pairs = [(int(family[i]), int(family[j])) for i in range(400) for j in range(i) if k[i] == k[j] and holds(int(bits[i]) ^ int(bits[j]))]
+    assert len(parts(pairs)) > 5 and parts(got) == parts(pairs) and len(got) == 300 - len(parts(got))

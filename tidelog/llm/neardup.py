@@ -11,23 +11,28 @@ they are equal makes the index a join, and is paid for by many starts: 21 chains
 ORDERS = 10 fixed orders of the ring. Measured on 3,000 pairs each, 0.954 of the pairs at a similarity of exactly 0.8 are found by a chain of
 their own, 0.978 at 0.82, 0.992 at 0.85, all at 0.9 (a test holds this); in a group of copies a missed link is mostly made up for by others.
 
+Pairs whose chain holds are never rows of a table. They make families, components over chains that hold, which are found from one row per
+member of a bucket. A family is dealt in blocks, and each two blocks meet in a task, which tests all their pairs by distance and exact
+similarity until they are connected, and gives back no more links than it has members.
+
 Defined cases: those of simhash; texts without words are copies of each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import broadcast_if_small, chunks, cut, join_skewed, mapped, release, worker_cache
-from tidelog.llm.simhash import bucket_links, chain_holds, first_of_each, with_components
+from tidelog.llm.simhash import chain_holds, components, first_of_each, with_components
 
 SHINGLE, SEGMENTS, EQUAL, ORDERS, DISTANCE = 5, 64, 3, 10, 92
 #: Sets of fewer shingles reach 4/5 with equal sets only.
 LEAST = 4
+#: A family has blocks of some BLOCK texts, but no more than BLOCKS of them unless one would hold more than BLOCK_SHINGLES shingles.
+BLOCK, BLOCKS, BLOCK_SHINGLES = 256, 16, 1 << 20
 WORDS = [f"f{i}" for i in range(SEGMENTS // 8)]
 
 
@@ -128,9 +133,110 @@ def _shingle_batches(shingle: int):
     return run
 
 
-def _alike(na: Column, nb: Column, common: Column) -> Column:
-    """Whether common / (na + nb - common) is at least 4/5, in whole numbers."""
-    return common * 9 >= (na + nb) * 4
+def _merge_batches(batches: Iterator) -> Iterator:
+    """(a, b): families of (k, node, bits, family), ascending by k, to be made one, as a chain of two of their members in a bucket holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    parent: dict = {}
+
+    def root(x: int) -> int:
+        while x in parent:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    def merges(k, bits, family) -> Iterator:
+        own, place = np.unique(family, return_inverse=True)
+        family = np.fromiter(map(root, own.tolist()), np.int64, len(own))[place]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        several = np.minimum.reduceat(family, starts) != np.maximum.reduceat(family, starts)
+        inside = np.repeat(several, np.diff(np.r_[starts, len(k)]))
+        k, bits, family = k[inside], bits[inside], family[inside]
+        at, away = np.arange(len(k)), 0
+        while len(at):  # each member and the one `away` places after it
+            away += 1
+            at = at[at + away < len(k)]
+            at = at[k[at] == k[at + away]]
+            near = at[family[at] != family[at + away]]
+            apart = (bits[near] ^ bits[near + away]).view(np.uint64)
+            holds = np.ones(len(near), bool)
+            for n in range(1, 9):
+                holds &= np.bitwise_count(apart & np.uint64((1 << 8 * n) - 1)) <= (EQUAL + n) * DISTANCE // SEGMENTS
+            near, found = near[holds], False
+            for a, b in zip(family[near].tolist(), family[near + away].tolist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)], found = min(a, b), True
+                    yield a, b
+            if found:
+                own, place = np.unique(family, return_inverse=True)
+                family = np.fromiter(map(root, own.tolist()), np.int64, len(own))[place]
+
+    def table(pairs: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    rest = [np.empty(0, np.int64)] * 3
+    for batch in batches:
+        if batch.num_rows:
+            rest = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("k", "bits", "family"))]
+            whole = int(np.searchsorted(rest[0], rest[0][-1]))  # the last bucket may go on
+            if whole:
+                yield table(list(merges(*(r[:whole] for r in rest))))
+                rest = [r[whole:] for r in rest]
+    if len(rest[0]):
+        yield table(list(merges(*rest)))
+    release()
+
+
+def families(nodes: DataFrame) -> DataFrame:
+    """(node, root): nodes (node and words) that a chain that holds connects to another, by components over such chains."""
+    keys = nodes.transform(mapped, _key_batches, "k long, node long, bits long")
+    order = Window.partitionBy("k").orderBy("node")
+    rows = keys.withColumn("one", F.first(F.struct("node", "bits")).over(order)).withColumn("next", F.lead("node").over(order))
+    shared = cut(rows.where("one.node <> node OR next IS NOT NULL"))
+    near = chain_holds(F.col("bits").bitwiseXOR(F.col("one.bits")), 8, DISTANCE, SEGMENTS, EQUAL)
+    # one link for each node, which leaves few families to the rest
+    hooks = cut(shared.where(F.col("one.node") != F.col("node")).where(near).groupBy(F.col("node").alias("b")).agg(F.min("one.node").alias("a")).select("a", "b"))
+    rooted = shared.select("k", "node", "bits").join(components(hooks), "node", "left").select("k", "node", "bits", F.coalesce("root", "node").alias("family"))
+    merged = rooted.repartition("k").sortWithinPartitions("k").transform(mapped, _merge_batches, "a long, b long")
+    return components(cut(hooks.unionByName(cut(merged.distinct()))))
+
+
+def _block_links(group):
+    """(a, b): links that connect what links between two blocks of a family (or within one) connect; group: their members, as a table."""
+    import numpy as np
+    import pyarrow as pa
+
+    node, block = (group.column(c).to_numpy() for c in ("node", "block"))
+    words = np.stack([group.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
+    lists = group.column("shingles").combine_chunks()
+    flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+    sets, n = [flat[i:j] for i, j in zip(ends[:-1], ends[1:])], np.diff(ends).astype(np.int64)
+    # how many shingles of a text any other here has: no pair has more in common
+    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    most = np.add.reduceat((times[where] > 1).astype(np.int64), np.r_[0, np.cumsum(n)[:-1]])
+    able = np.flatnonzero(most * 5 >= n * 4)
+    low, high = (group.column(c)[0].as_py() for c in ("low", "high"))
+    left, right = able[block[able] == low], able[block[able] == high]
+    part, links = np.arange(len(node)), []
+    for place, i in enumerate(left):
+        others = right[place + 1 :] if low == high else right
+        others = others[(part[others] != part[i]) & (np.minimum(most[others], most[i]) * 9 >= (n[others] + n[i]) * 4)]
+        apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
+        order = np.argsort(apart, kind="stable")
+        others = others[order[apart[order] <= DISTANCE]]
+        while len(others):  # the nearest first; those that are connected by then need no test
+            now, others = others[:16], others[16:]
+            theirs = np.concatenate([sets[j] for j in now])
+            found = np.searchsorted(sets[i], theirs)
+            found = sets[i][np.minimum(found, n[i] - 1)] == theirs
+            common = np.add.reduceat(found.astype(np.int64), np.r_[0, np.cumsum(n[now])[:-1]])
+            for j in now[common * 9 >= (n[now] + n[i]) * 4]:  # common / (n + n - common) is at least 4/5
+                if part[j] != part[i]:
+                    links.append((int(node[i]), int(node[j])))
+                    part[part == part[j]] = part[i]
+            others = others[part[others] != part[i]]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -140,33 +246,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = [F.first(c).alias(c) for c in ("n", *WORDS)]
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *firsts))
 
-    held: list[DataFrame] = []  # the sets that were asked for so far
-
-    def sets_of(asked: DataFrame) -> DataFrame:
-        """The sets of asked nodes, and of others; texts are read again only for nodes that weren't asked for before."""
-        for sets in held:
-            asked = asked.join(sets.select("node"), "node", "left_anti")
-        asked = cut(asked)
-        if asked.take(1):
-            wanted = nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("_id")).distinct()
-            again = texts.join(broadcast_if_small(cut(wanted)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-            sets = again.transform(mapped, _shingle_batches(shingle), "node long, shingles array<long>").join(broadcast_if_small(asked), "node", "left_semi")
-            held.append(cut(sets.dropDuplicates(["node"])))
-        return reduce(DataFrame.unionByName, held) if held else docs.sparkSession.createDataFrame([], "node long, shingles array<long>")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(w).alias(f"{x}{w}") for w in WORDS))
-        apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS), F.lit(0))
-        close = pairs.join(side("a"), "a").join(side("b"), "b").where((apart <= DISTANCE) & _alike(F.col("na"), F.col("nb"), F.least("na", "nb")))
-        close = cut(close.select("a", "b", "na", "nb"))
-        sets = sets_of(close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
-        of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-        both = close.join(of("a"), "a").join(of("b"), "b")
-        return both.where(_alike(F.col("na"), F.col("nb"), F.size(F.array_intersect("sa", "sb")))).select("a", "b")
-
-    large = nodes.where(F.col("n") >= LEAST).select("node", *WORDS)
-    keys = large.transform(mapped, _key_batches, "k long, node long, bits long")
-    links = bucket_links(keys, lambda apart: chain_holds(apart, 8, DISTANCE, SEGMENTS, EQUAL), verified)
+    members = cut(nodes.join(families(nodes.where(F.col("n") >= LEAST).select("node", *WORDS)), "node").drop("copies"))
+    number = F.greatest(F.least(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(BLOCKS)), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    dealt = members.join(members.groupBy("root").agg(number.alias("blocks")), "root")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("rep")
+
+    again = texts.join(broadcast_if_small(members.select(F.col("rep").alias("_id")).distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = again.transform(mapped, _shingle_batches(shingle), "node long, shingles array<long>")
+    sets = cut(sets.join(broadcast_if_small(members.select("node")), "node", "left_semi").dropDuplicates(["node"]))
+    met = dealt.drop("n").join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+    links = cut(met.groupBy("root", "low", "high").applyInArrow(_block_links, "a long, b long").distinct())
+
     table = with_components(nodes.select("node", "rep", F.col("copies").alias("n")), links, "node")
     return join_skewed(rows.select("doc_id", "node"), table, "node").select("doc_id", "component_id")
 
