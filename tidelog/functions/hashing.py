@@ -113,6 +113,32 @@ def rendezvous_score(tenant: Column, namespace: Column, stream: Column, shard: C
     return run(tenant, namespace, stream, shard, node)
 
 
+def shard_hashes(tenant: list[str], namespace: list[str], stream: list[str], shard: list[int]):
+    """The hash of each shard's name, one side of its scores."""
+    import numpy as np
+
+    number = np.array(shard, np.int64).astype(np.uint64)
+    h = fnv1a([b"%s\0%s\0%s\0" % (t.encode(), n.encode(), s.encode()) for t, n, s in zip(tenant, namespace, stream)], separators=True)
+    for back in (24, 16, 8, 0):  # the shard's four bytes may be zero, so they are folded apart
+        h = (h ^ ((number >> np.uint64(back)) & np.uint64(0xFF))) * np.uint64(FNV_PRIME)
+    return finalize((h ^ np.uint64(0xFF)) * np.uint64(FNV_PRIME))
+
+
+def node_hashes(node: list[str]):
+    """The hash of each node's name, the other side of its scores."""
+    import numpy as np
+
+    h = finalize(fnv1a([n.encode() + b"\0" for n in node], separators=True))
+    return (h << np.uint64(32)) | (h >> np.uint64(32))
+
+
+def rendezvous_scores(shard, nodes):
+    """The scores of nodes for a shard (a hash of shard_hashes, and those of node_hashes), unsigned."""
+    import numpy as np
+
+    return finalize((shard * np.uint64(GOLDEN)) ^ nodes)
+
+
 def crc64_table() -> list[int]:
     table = []
     for byte in range(256):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.folds import ordered_fold
-from tidelog.functions.hashing import batch_digest, rendezvous_score
+from tidelog.functions.hashing import batch_digest, node_hashes, rendezvous_score, rendezvous_scores, shard_hashes
 
 SHARD = ("stream", "shard")
 WINDOW = 64
@@ -187,11 +187,52 @@ def shard_scores(shards: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("score", rendezvous_score(F.col("tenant"), F.col("namespace"), F.col("stream"), F.col("shard"), F.col("node")))
 
 
+#: Shards and nodes that are scored at a time, in one task: every shard meets every node, in as many blocks as it takes.
+SHARD_BLOCK, NODE_BLOCK = 1 << 10, 1 << 14
+
+
+def _dealt(rows: DataFrame, keys: list[str], block: int, own: str) -> tuple[int, DataFrame]:
+    """How many blocks of `block` rows or so rows are dealt to by their keys, and rows with the number of theirs."""
+    blocks = max(1, -(-rows.count() // block))
+    return blocks, rows.withColumn(own, F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+
+
+def _met(rows: DataFrame, blocks: int, other: str) -> DataFrame:
+    """rows once for each block of the other side."""
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
+def block_winners(shards: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The node of the highest score for each shard (the greatest name on ties) in each block of nodes, and that score, its sign bit flipped so
+    that signed order is the unsigned order. A task holds one block of shards and one of nodes."""
+    names = shards.columns
+
+    def run(own, others):
+        import numpy as np
+        import pyarrow as pa
+
+        own = own.select(names).combine_chunks()
+        node = sorted(n for n in others["node"].to_pylist() if n is not None)
+        left = shard_hashes(*(own[c].to_pylist() for c in ("tenant", "namespace", "stream", "shard"))) if node else ()
+        right, won, score = node_hashes(node), [], []
+        for h in left:
+            scores = rendezvous_scores(h, right)
+            at = len(node) - 1 - int(scores[::-1].argmax())
+            won.append(node[at])
+            score.append(int((scores[at] ^ np.uint64(1 << 63)).view(np.int64)))
+        return pa.table({**{c: own[c].slice(0, len(won)) for c in names}, "node": pa.array(won, pa.string()), "score": pa.array(score, pa.int64())})
+
+    ns, s = _dealt(shards, names, SHARD_BLOCK, "_s")
+    nn, n = _dealt(nodes.select("node"), ["node"], NODE_BLOCK, "_n")
+    pairs = _met(s, nn, "_n").groupBy("_s", "_n").cogroup(_met(n, ns, "_s").groupBy("_s", "_n"))
+    return pairs.applyInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shards.schema) + ", node string, score long")
+
+
 def rendezvous(shards: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node of the highest score for each shard, the greatest name on ties, and how many shards that node leads."""
-    best = shard_scores(shards, nodes).groupBy(*shards.columns).agg(F.max(F.struct("score", "node")).alias("b"))
+    best = block_winners(shards, nodes).groupBy(*shards.columns).agg(F.max(F.struct("score", "node")).alias("b"))
     best = best.select(*shards.columns, F.col("b.node").alias("node"))
-    return best.join(best.groupBy("node").agg(F.count(F.lit(1)).alias("leads")), "node")
+    return best.withColumn("leads", F.count(F.lit(1)).over(Window.partitionBy("node")))
 
 
 def bounded_placement(shards: DataFrame, nodes: DataFrame, copies: int = 3) -> DataFrame:
