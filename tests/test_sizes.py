@@ -30,3 +30,22 @@ def test_rendezvous_takes_any_number_of_nodes(spark, monkeypatch):
         of = scores(f"s{i % 3}", i, names)
         want.append((i, max(names, key=lambda n: (of[n], n))))
     assert rows(queues.rendezvous(shards, nodes), "shard", "node") == want
+
+
+def test_placement_takes_any_number_of_nodes(spark):
+    shards, nodes = shards_and_nodes(spark, 5, 10_001)
+    names = sorted(f"node-{i}" for i in range(10_001))
+    zone = lambda n: int(n[5:]) % 4
+    want, load = [], dict.fromkeys(names, 0)
+    for stream, i in sorted((f"s{i % 3}", i) for i in range(5)):  # the shards' order; as many as these leave a cap of 1
+        of, chosen = scores(stream, i, names), []
+        for n in sorted(names, key=lambda n: (of[n], n), reverse=True):
+            if len(chosen) < 3 and not load[n] and zone(n) not in [zone(c) for c in chosen]:
+                chosen.append(n)
+                load[n] = 1
+        want.append((stream, i, chosen[0], chosen[1:]))
+    assert rows(queues.bounded_placement(shards, nodes), "stream", "shard", "leader", "replicas") == want
+    # two nodes and many shards: the cap rises with the shards, and the zones are as many as there are nodes
+    few = queues.bounded_placement(shards, nodes.where("node < 'node-10'"), 2).collect()
+    assert {r["zones"] for r in few} == {2} and not any(r["unspread"] for r in few)
+    assert sorted(n for r in few for n in [r["leader"], *r["replicas"]]) == ["node-0"] * 5 + ["node-1"] * 5

@@ -90,29 +90,6 @@ def shard_jump(key: Column, shards: int) -> Column:
     return F.lit(0) if shards <= 1 else run(key)
 
 
-def rendezvous_score(tenant: Column, namespace: Column, stream: Column, shard: Column, node: Column) -> Column:
-    """The score of a node for a shard, its sign bit flipped so that signed order is the unsigned order."""
-
-    @F.pandas_udf("long")
-    def run(tenant: pd.Series, namespace: pd.Series, stream: pd.Series, shard: pd.Series, node: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def mixed(prefix: list[bytes], number: np.ndarray):
-            h = fnv1a(prefix, separators=True)
-            for back in (24, 16, 8, 0):  # the shard's four bytes may be zero, so they are folded apart
-                h = (h ^ ((number >> np.uint64(back)) & np.uint64(0xFF))) * np.uint64(FNV_PRIME)
-            return (h ^ np.uint64(0xFF)) * np.uint64(FNV_PRIME)
-
-        names = [b"%s\0%s\0%s\0" % (t.encode(), n.encode(), s.encode()) for t, n, s in zip(tenant, namespace, stream)]
-        left = finalize(mixed(names, shard.to_numpy().astype(np.uint64)))
-        right = finalize(fnv1a([n.encode() + b"\0" for n in node], separators=True))
-        right = (right << np.uint64(32)) | (right >> np.uint64(32))
-        score = finalize((left * np.uint64(GOLDEN)) ^ right)
-        return pd.Series((score ^ np.uint64(1 << 63)).view(np.int64))
-
-    return run(tenant, namespace, stream, shard, node)
-
-
 def shard_hashes(tenant: list[str], namespace: list[str], stream: list[str], shard: list[int]):
     """The hash of each shard's name, one side of its scores."""
     import numpy as np

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.folds import ordered_fold
-from tidelog.functions.hashing import batch_digest, node_hashes, rendezvous_score, rendezvous_scores, shard_hashes
+from tidelog.functions.hashing import batch_digest, node_hashes, rendezvous_scores, shard_hashes
 
 SHARD = ("stream", "shard")
 WINDOW = 64
@@ -170,23 +170,6 @@ def promote(members: DataFrame) -> DataFrame:
     return fit.groupBy(*SHARD).agg(F.max(F.struct("reported", "member")).alias("m")).select(*SHARD, F.col("m.member").alias("member"), F.col("m.reported").alias("reported"))
 
 
-#: Nodes of a cluster, and shards that are placed one after the other: metadata, which is counted before it is broadcast or put in one task.
-MOST_NODES, MOST_SHARDS = 10_000, 1_000_000
-
-
-def _bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
-    if (n := rows.count()) > most:
-        raise ValueError(f"{n} {what}, over {most}")
-    return rows
-
-
-def shard_scores(shards: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The score of each node for each shard; both tables are metadata, the nodes a short list kept in one row per shard."""
-    every = _bounded(nodes, MOST_NODES, "nodes").agg(F.collect_list(F.struct("node", "zone")).alias("ns"))
-    rows = shards.withColumn("_k", F.lit(1)).join(F.broadcast(every.withColumn("_k", F.lit(1))), "_k").select(*shards.columns, F.explode("ns").alias("n")).select(*shards.columns, "n.*")
-    return rows.withColumn("score", rendezvous_score(F.col("tenant"), F.col("namespace"), F.col("stream"), F.col("shard"), F.col("node")))
-
-
 #: Shards and nodes that are scored at a time, in one task: every shard meets every node, in as many blocks as it takes.
 SHARD_BLOCK, NODE_BLOCK = 1 << 10, 1 << 14
 
@@ -236,32 +219,61 @@ def rendezvous(shards: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def bounded_placement(shards: DataFrame, nodes: DataFrame, copies: int = 3) -> DataFrame:
-    """Replica sets under a bounded load, in zones as far apart as there are: sequential over the sorted shards, for metadata only.
+    """Replica sets under a bounded load, in zones as far apart as there are: sequential over the sorted shards, since each depends on the load
+    that those before it left. The fold holds the nodes, some hundred bytes each, and scores them for one shard at a time.
 
     A node at its cap (the even share, rounded up) is passed over while another is free; replicas prefer zones without a copy;
     a node without a zone is a zone of its own. unspread: the set covers fewer zones than it could.
     """
-    scored = shard_scores(_bounded(shards, MOST_SHARDS, "shards"), nodes).groupBy("tenant", "namespace", "stream", "shard").agg(F.sort_array(F.collect_list(F.struct("score", "node", "zone")), asc=False).alias("ranked")).withColumn("all", F.lit(1))
 
     def make() -> dict:
-        return {"load": {}, "n": 0}
+        return {"nodes": [], "zones": [], "n": 0}
+
+    def gathered(state: dict) -> None:
+        import numpy as np
+
+        codes: dict[str, int] = {}
+        state["zone"] = np.array([codes.setdefault(z or n, len(codes)) for n, z in zip(state["nodes"], state["zones"])], np.int64)
+        state["offered"] = len(codes)
+        names: dict[str, int] = {}
+        state["id"] = np.array([names.setdefault(n, len(names)) for n in state["nodes"]], np.int64)
+        state["hash"], state["load"], state["zones"] = node_hashes(state["nodes"]), np.zeros(len(names), np.int64), None
 
     def step(state: dict, r: dict):
-        ranked = r["ranked"]
+        import numpy as np
+
+        if r["kind"] == 0:
+            state["nodes"].append(r["node"])
+            state["zones"].append(r["zone"])
+            return
+        if "hash" not in state:
+            gathered(state)
+        nodes, zone, ids, load = state["nodes"], state["zone"], state["id"], state["load"]
+        if not nodes:
+            return
         state["n"] += copies
-        cap = -(-state["n"] // len(ranked))
-        load, chosen, zones = state["load"], [], set()
-        for _ in range(min(copies, len(ranked))):
-            free = [x for x in ranked if x["node"] not in chosen]
-            passes = ([x for x in free if (x["zone"] or x["node"]) not in zones and load.get(x["node"], 0) < cap], [x for x in free if (x["zone"] or x["node"]) not in zones], [x for x in free if load.get(x["node"], 0) < cap], free)
-            best = next(p for p in passes if p)[0]
-            chosen.append(best["node"])
-            zones.add(best["zone"] or best["node"])
-            load[best["node"]] = load.get(best["node"], 0) + 1
-        offered = len({x["zone"] or x["node"] for x in ranked})
-        yield r["stream"], r["shard"], chosen[0], chosen[1:], len(zones), len(zones) < min(len(chosen), offered)
-
-    return ordered_fold(scored, ["all"], ["tenant", "namespace", "stream", "shard"], make, step, "stream string, shard int, leader string, replicas array<string>, zones int, unspread boolean")
+        cap = -(-state["n"] // len(nodes))
+        scores = rendezvous_scores(shard_hashes(*([r[c]] for c in ("tenant", "namespace", "stream", "shard")))[0], state["hash"])
+        free, apart, room = np.ones(len(nodes), bool), np.ones(len(nodes), bool), load[ids] < cap
+        chosen, zones = [], set()
+        for _ in range(min(copies, len(load))):
+            for fit in (apart & room, apart, free & room, free):
+                if len(spots := np.flatnonzero(fit)):
+                    break
+            best = int(spots[len(spots) - 1 - int(scores[spots][::-1].argmax())])  # nodes come in order of names: the greatest on ties
+            chosen.append(nodes[best])
+            zones.add(int(zone[best]))
+            load[ids[best]] += 1
+            free &= ids != ids[best]
+            apart &= free & (zone != zone[best])
+        yield r["stream"], r["shard"], chosen[0], chosen[1:], len(zones), len(zones) < min(len(chosen), state["offered"])
+
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    names = ["tenant", "namespace", "stream"]
+    first = nodes.select(F.lit(0).alias("kind"), *none(*names), F.lit(None).cast("int").alias("shard"), "node", "zone")
+    then = shards.select(F.lit(1).alias("kind"), *names, "shard", *none("node", "zone"))
+    rows = first.unionByName(then).withColumn("all", F.lit(1))
+    return ordered_fold(rows, ["all"], ["kind", *names, "shard", "node", "zone"], make, step, "stream string, shard int, leader string, replicas array<string>, zones int, unspread boolean")
 
 
 def conditional_publish(attempts: DataFrame) -> DataFrame:
