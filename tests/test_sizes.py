@@ -49,3 +49,29 @@ def test_placement_takes_any_number_of_nodes(spark):
     few = queues.bounded_placement(shards, nodes.where("node < 'node-10'"), 2).collect()
     assert {r["zones"] for r in few} == {2} and not any(r["unspread"] for r in few)
     assert sorted(n for r in few for n in [r["leader"], *r["replicas"]]) == ["node-0"] * 5 + ["node-1"] * 5
+
+
+def test_a_poll_does_not_look_at_every_claim():
+    queue = queues.Deliveries(1000, 9)
+    for o in range(5000):
+        queue.publish(o, 1)
+    list(queue.poll(0, "a", 1000))
+
+    class Counted(dict):
+        looks = 0
+
+        def items(self):
+            Counted.looks += len(self)
+            return super().items()
+
+        def values(self):
+            Counted.looks += len(self)
+            return super().values()
+
+    queue.claims = Counted(queue.claims)
+    assert [len(list(queue.poll(now, "a", 1))) for now in range(100)] == [1] * 100 and Counted.looks == 0
+    queue.answer("nack", 100, 3, "a", 50)
+    queue.answer("nack", 100, 2, "a", 70)
+    assert list(queue.poll(150, "a", 1)) == [(3, "redelivered", 2)] and list(queue.poll(170, "a", 1)) == [(2, "redelivered", 2)]
+    queue.__setstate__(queue.__getstate__())  # as a stream's state is kept
+    assert [o for o, *_ in queue.poll(1000, "a", 1000)] == [o for o in range(1000) if o not in (2, 3)] + [1000, 1100]

@@ -25,7 +25,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], make: Callabl
         now, state, out = None, None, []
 
         def flush():
-            made = pa.RecordBatch.from_pylist([dict(zip(target.names, r)) for r in out], schema=target)
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(target), target.types)], schema=target)
             out.clear()
             return made
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -308,6 +309,22 @@ class Deliveries:
         self.cursor = 0
         self.sizes: dict[int, int] = {}  # of records that aren't settled
         self.new: deque[int] = deque()  # offsets that were never handed out
+        self._find()
+
+    def _find(self) -> None:
+        """What finds claims without looking at all of them: deadlines of those in flight, and those owed by offset. An entry that its claim has
+        left behind (settled, handed out again, given back, extended) is passed over when its turn comes."""
+        self.deadlines = [(c["until"], o) for o, c in self.claims.items()]
+        self.owed: list[int] = []
+        self.lapsed: set[int] = set()  # the offsets in owed that count
+        heapify(self.deadlines)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("deadlines", "owed", "lapsed")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._find()
 
     def publish(self, offset: int, size: int) -> None:
         self.sizes[offset] = size
@@ -315,31 +332,53 @@ class Deliveries:
 
     def settle(self, offset: int) -> None:
         self.claims.pop(offset, None)
+        self.lapsed.discard(offset)
         self.sizes.pop(offset, None)
         self.settled.add(offset)
         while self.cursor in self.settled:
             self.settled.discard(self.cursor)
             self.cursor += 1
 
+    def _until(self, offset: int, until: int) -> None:
+        self.lapsed.discard(offset)
+        heappush(self.deadlines, (until, offset))
+
+    def _lapse(self, now: int) -> None:
+        """Claims whose deadline has come are owed. Time doesn't go back."""
+        while self.deadlines and self.deadlines[0][0] <= now:
+            until, offset = heappop(self.deadlines)
+            c = self.claims.get(offset)
+            if c and c["until"] == until and offset not in self.lapsed:
+                self.lapsed.add(offset)
+                heappush(self.owed, offset)
+        while self.owed and self.owed[0] not in self.lapsed:
+            heappop(self.owed)
+
     def poll(self, now: int, consumer: str, most: int, visibility_ms: int | None = None):
         """(offset, result, attempts) of what the poll gives."""
         most, room, given = min(most, POLL_RECORDS), POLL_BYTES, 0
-        flying = sum(now < c["until"] for c in self.claims.values())
-        owed = deque(sorted(o for o, c in self.claims.items() if now >= c["until"]))
-        while source := owed or self.new:
-            offset = source[0]
+        self._lapse(now)
+        flying = len(self.claims) - len(self.lapsed)
+        while self.owed or self.new:
+            offset = self.owed[0] if self.owed else self.new[0]
             c = self.claims.get(offset)
-            if c and c["attempts"] >= self.bound:
-                source.popleft()
+            dead = c and c["attempts"] >= self.bound
+            size = self.sizes.get(offset, 0)
+            if not dead and (given >= most or flying >= IN_FLIGHT or (given and size > room)):
+                break
+            if self.owed:
+                self.lapsed.discard(offset)
+                while self.owed and self.owed[0] not in self.lapsed:
+                    heappop(self.owed)
+            else:
+                self.new.popleft()
+            if dead:
                 self.settle(offset)
                 yield offset, "dead_letter", c["attempts"]
                 continue
-            size = self.sizes.get(offset, 0)
-            if given >= most or flying >= IN_FLIGHT or (given and size > room):
-                break
-            source.popleft()
-            attempts = c["attempts"] + 1 if c else 1
-            self.claims[offset] = {"until": now + (visibility_ms or self.visibility_ms), "attempts": attempts, "holder": consumer, "delayed": False}
+            attempts, until = c["attempts"] + 1 if c else 1, now + (visibility_ms or self.visibility_ms)
+            self.claims[offset] = {"until": until, "attempts": attempts, "holder": consumer, "delayed": False}
+            self._until(offset, until)
             given, flying, room = given + 1, flying + 1, room - size
             yield offset, "redelivered" if c else "delivered", attempts
 
@@ -352,10 +391,12 @@ class Deliveries:
             return "acked" if event == "ack" else "dead_letter"
         if event == "nack":
             c.update(until=now + delay_ms, delayed=True)
+            self._until(offset, c["until"])
             return "owed"
         if now >= c["until"] or c["holder"] != consumer or c["delayed"]:
             return "ignored"
         c["until"] = now + self.visibility_ms
+        self._until(offset, c["until"])
         return "extended"
 
 
