@@ -2,6 +2,8 @@
 
 from tidelog.functions import hashing
 from tidelog.operators import queues
+from tidelog.plans import catalog
+from tidelog.streaming import queries as live
 
 PLACE = "tenant string, namespace string, stream string, shard int"
 
@@ -75,3 +77,15 @@ def test_a_poll_does_not_look_at_every_claim():
     assert list(queue.poll(150, "a", 1)) == [(3, "redelivered", 2)] and list(queue.poll(170, "a", 1)) == [(2, "redelivered", 2)]
     queue.__setstate__(queue.__getstate__())  # as a stream's state is kept
     assert [o for o, *_ in queue.poll(1000, "a", 1000)] == [o for o in range(1000) if o not in (2, 3)] + [1000, 1100]
+
+
+def test_live_claims_come_in_slices_of_time(spark, monkeypatch, tmp_path):
+    import glob
+
+    d, names = "/root/testdata/sf0.001", ("stream", "shard", "at_ms", "seq", "offset", "event", "result")
+    events, follow = catalog._claims(spark, d), lambda e: live.claims(e, 3600000)
+    monkeypatch.setattr(live, "shared_path", lambda s, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(live, "ANSWERS", 7)
+    got = live.arriving(events, "at_ms", follow, "claims", 700).where("result <> 'lapsed'")
+    assert rows(got, *names) == rows(queues.queue_claims(events, 3600000), *names)
+    assert len(glob.glob(f"{tmp_path}/claims-state/commits/[0-9]*")) >= 3 and spark.read.parquet(f"{tmp_path}/claims-in").count() == events.count()

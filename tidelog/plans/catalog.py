@@ -244,9 +244,7 @@ def _claims(spark, d):
 
 
 def _claims_live(spark, d):
-    rows = stored(_claims(spark, d))
-    path = rows.inputFiles()[0].rpartition("/")[0]
-    return live.drained(live.claims(spark.readStream.schema(rows.schema).parquet(path), 3600000), "claims").where("result <> 'lapsed'")
+    return live.arriving(_claims(spark, d), "at_ms", lambda events: live.claims(events, 3600000), "claims").where("result <> 'lapsed'")
 
 
 def _watch_resume(spark, d):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.tables import shared_path
+from tidelog.functions.tables import shared_path, stored
 from tidelog.operators import projections, queues
 
 
@@ -28,6 +30,25 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return resumed(stream, shared_path(stream.sparkSession, name), shared_path(stream.sparkSession, f"{name}-state"))
 
 
+#: Rows that arrive at a time, and answers that are handed on at a time.
+SLICE, ANSWERS = 1 << 22, 10_000
+
+
+def arriving(rows: DataFrame, at: str, follow: Callable[[DataFrame], DataFrame], name: str, most: int = SLICE) -> DataFrame:
+    """What follow(stream) has given once all rows have come, in order of `at`, some `most` of them at a time: a micro-batch holds one slice of time,
+    so that what follow keeps of a micro-batch doesn't grow with the table. Rows of one time come together."""
+    table, spark = stored(rows, f"{name}-rows"), rows.sparkSession
+    came, out, marks = (shared_path(spark, f"{name}-{part}") for part in ("in", "out", "state"))
+    slices = max(1, -(-table.count() // most))
+    found = table.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] if slices > 1 else []
+    ends = sorted(set(found))
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = table if low is None else table.where(F.col(at) > low)
+        (part if high is None else part.where(F.col(at) <= high)).write.mode("append").parquet(came)
+        got = resumed(follow(spark.readStream.schema(table.schema).parquet(came)), out, marks)
+    return got
+
+
 def tail(spark: SparkSession, d: str, stream: str) -> DataFrame:
     """A live subscription to one stream."""
     rows = events(spark, d).where(F.col("event_type") == stream).select("event_id", "user_id", F.unix_micros("ts").alias("ts_us"), "props")
@@ -77,14 +98,16 @@ def claims(events: DataFrame, visibility_ms: int, bound: int = 5) -> DataFrame:
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = [c.split()[0] for c in CLAIM_ROWS.split(", ")]
+    told = ["at_ms", "seq", "event", "offset", "size", "consumer", "most", "delay_ms"]
 
     def run(key, batches, state):
         import pickle
 
         queue = queues.Deliveries(visibility_ms, bound)
         if state.exists:
-            queue.__dict__.update(pickle.loads(state.get[0]))
+            queue.__setstate__(pickle.loads(state.get[0]))
         out = []
+        flush = lambda: pd.DataFrame(out, columns=names).astype({"attempts": "Int32"})
         if state.hasTimedOut:
             now = state.getCurrentWatermarkMs()
             for offset, c in sorted(queue.claims.items()):
@@ -92,14 +115,19 @@ def claims(events: DataFrame, visibility_ms: int, bound: int = 5) -> DataFrame:
                     c["told"] = True
                     out.append((*key, now, -1, "timer", offset, "lapsed", c["attempts"]))
         else:
-            rows = pd.concat(list(batches)).sort_values(["at_ms", "seq"]).to_dict("records")
-            for r in rows:
-                out += queues.happen(queue, r)
-        state.update((pickle.dumps(queue.__dict__),))
+            rows = pd.concat([b[told] for b in batches]).sort_values(["at_ms", "seq"])
+            for low in range(0, len(rows), ANSWERS):
+                some = rows.iloc[low : low + ANSWERS]
+                for values in zip(*(some[c].tolist() for c in told)):
+                    out += queues.happen(queue, {"stream": key[0], "shard": key[1], **dict(zip(told, values))})
+                if len(out) >= ANSWERS:
+                    yield flush()
+                    out = []
+        state.update((pickle.dumps(queue.__getstate__()),))
         deadlines = [c["until"] for c in queue.claims.values() if not c.get("told")]
         if deadlines:
             state.setTimeoutTimestamp(max(min(deadlines), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names).astype({"attempts": "Int32"})
+        yield flush()
 
     rows = events.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", "0 seconds")
     return rows.groupBy("stream", "shard").applyInPandasWithState(run, CLAIM_ROWS, "queue binary", "append", GroupStateTimeout.EventTimeTimeout)
