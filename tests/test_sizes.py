@@ -89,3 +89,17 @@ def test_live_claims_come_in_slices_of_time(spark, monkeypatch, tmp_path):
     got = live.arriving(events, "at_ms", follow, "claims", 700).where("result <> 'lapsed'")
     assert rows(got, *names) == rows(queues.queue_claims(events, 3600000), *names)
     assert len(glob.glob(f"{tmp_path}/claims-state/commits/[0-9]*")) >= 3 and spark.read.parquet(f"{tmp_path}/claims-in").count() == events.count()
+
+
+def test_small_segments_share_files(spark, tmp_path):
+    import glob
+
+    from tidelog.operators import reads
+
+    log = spark.range(5000).selectExpr("'s' AS stream", "CAST(id % 2 AS INT) AS shard", "id DIV 2 AS offset", "id AS ts_us", "'x' AS payload")
+    got = reads.offload(log, str(tmp_path / "cold"))
+    assert got.count() == 2 * 39 * 64 and got.agg({"segment": "max"}).first()[0] == 38  # the 40th segment is the active one
+    assert len(glob.glob(f"{tmp_path}/cold/**/*.parquet", recursive=True)) == 2
+    one = reads.offload(log, str(tmp_path / "more"), 64, 16).where("segment = 20")
+    assert rows(one.where("shard = 1"), "offset") == [(o,) for o in range(20 * 64, 21 * 64)]
+    assert len(glob.glob(f"{tmp_path}/more/**/*.parquet", recursive=True)) == 6

@@ -125,13 +125,19 @@ def segment_report(log: DataFrame, size: int = 64) -> DataFrame:
     return log.groupBy(*SCOPE, segment.alias("segment")).agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"), F.max("ts_us").alias("newest_us"))
 
 
-def offload(log: DataFrame, path: str, size: int = 64) -> DataFrame:
-    """A log's sealed segments (all but each shard's last one) written to a folder by stream, shard and segment, and read from there."""
-    rows = log.withColumn("segment", F.floor(F.col("offset") / size).cast("long"))
-    active = rows.groupBy(*SCOPE).agg(F.max("segment").alias("_active"))
+#: Segments that share a file where a log is offloaded.
+FILE_SEGMENTS = 1 << 12
+
+
+def offload(log: DataFrame, path: str, size: int = 64, together: int = FILE_SEGMENTS) -> DataFrame:
+    """A log's sealed segments (all but each shard's last one) written to a folder by stream, shard and run of `together` segments, and read from there.
+    A run is a file in order of offsets, so that a read of one segment finds it by the run's name and the file's statistics; small segments
+    don't make as many files."""
+    rows = log.withColumn("segment", F.floor(F.col("offset") / size).cast("long")).withColumn("run", F.floor(F.col("segment") / together).cast("long"))
+    active = log.groupBy(*SCOPE).agg(F.floor(F.max("offset") / size).cast("long").alias("_active"))
     sealed = rows.join(active, list(SCOPE)).where(F.col("segment") < F.col("_active")).drop("_active")
-    sealed.repartition(*SCOPE, "segment").sortWithinPartitions("offset").write.mode("overwrite").partitionBy(*SCOPE, "segment").parquet(path)
-    return log.sparkSession.read.schema(sealed.schema).parquet(path)
+    sealed.repartition(*SCOPE, "run").sortWithinPartitions(*SCOPE, "run", "offset").write.mode("overwrite").partitionBy(*SCOPE, "run").parquet(path)
+    return log.sparkSession.read.schema(sealed.schema).parquet(path).drop("run")
 
 
 def publish_report(records: DataFrame, refused: Column) -> DataFrame:
