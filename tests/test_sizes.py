@@ -103,3 +103,24 @@ def test_small_segments_share_files(spark, tmp_path):
     one = reads.offload(log, str(tmp_path / "more"), 64, 16).where("segment = 20")
     assert rows(one.where("shard = 1"), "offset") == [(o,) for o in range(20 * 64, 21 * 64)]
     assert len(glob.glob(f"{tmp_path}/more/**/*.parquet", recursive=True)) == 6
+
+
+def test_commits_are_coded_by_batches():
+    import pyarrow as pa
+    import pytest
+
+    from tidelog.functions import codecs
+
+    kinds = pa.list_(pa.struct([("op", pa.string()), ("key", pa.string()), ("value", pa.int64())]))
+    ops = [[], [("put", "ü", -5), ("delete", "d", 9)], [("delete", "", 0)], [("put", f"k{i}", i << 40) for i in range(9)]]
+    events = ["e", "", "é", "order-1"]
+    one = [codecs.encode_commit(e.encode(), [(op, key, str(value).encode()) for op, key, value in o]) for e, o in zip(events, ops)]
+    data = codecs.encode_commits(pa.array(events), pa.array([[dict(zip(("op", "key", "value"), x)) for x in o] for o in ops], kinds))
+    assert data.to_pylist() == one
+    found, of, place, put, key, value = codecs.decode_commits(data)
+    assert [e.decode() for e in found.to_pylist()] == events
+    want = [(i, n, op == "put", k.encode(), str(v).encode() if op == "put" else b"") for i, o in enumerate(ops) for n, (op, k, v) in enumerate(o)]
+    assert list(zip(of.tolist(), place.tolist(), put.tolist(), key.to_pylist(), value.to_pylist())) == want
+    for bad in (one[1][:-1], one[1] + b"x", b"\x02" + one[1][1:], b"", one[2][:11] + b"\x07" + one[2][12:]):
+        with pytest.raises(ValueError):
+            codecs.decode_commits(pa.array([one[0], bad], pa.binary()))
