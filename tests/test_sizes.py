@@ -124,3 +124,9 @@ def test_commits_are_coded_by_batches():
     for bad in (one[1][:-1], one[1] + b"x", b"\x02" + one[1][1:], b"", one[2][:11] + b"\x07" + one[2][12:]):
         with pytest.raises(ValueError):
             codecs.decode_commits(pa.array([one[0], bad], pa.binary()))
+
+
+def test_lines_go_to_their_commits_as_they_are(spark):
+    plan = catalog.QUERIES["q24_commit_state"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join Inner") :]
+    assert "struct(" not in joined and "part-" not in joined and "max_by" not in plan

@@ -98,7 +98,7 @@ def cache_cas(attempts: DataFrame) -> DataFrame:
 def commit_state(ops: DataFrame) -> DataFrame:
     """Keyed state of a stream of atomic commits: the last operation of each key, by offset and then place in the commit. One aggregation,
     combined before it is shuffled; a commit's operations are never gathered."""
-    last = ops.groupBy("shard", "key").agg(F.max_by(F.struct("op", "value", "offset"), F.struct("offset", "place")).alias("l"))
+    last = ops.groupBy("shard", "key").agg(F.max(F.struct("offset", "place", "op", "value")).alias("l"))
     return last.where("l.op = 'put'").select("shard", "key", F.col("l.value").alias("value"), F.col("l.offset").alias("version"))
 
 

@@ -81,14 +81,17 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
 
 def commit_ops(spark: SparkSession, d: str) -> DataFrame:
     """The put and delete operations of the commits, a row each; place orders those of a commit."""
-    lines = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"),
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus")
+    rows = lines.join(commits(spark, d).drop("event"), F.col("l_orderkey") == F.col("o_orderkey"))  # lines go there as they are, which is narrow
+    return rows.select(
+        "o_orderkey",
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("place"),
         F.when(F.col("l_linestatus") == "F", "delete").otherwise("put").alias("op"),
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("key"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("value"),
-    )
-    return lines.join(commits(spark, d).drop("event"), "o_orderkey")
+        "shard",
+        "offset",
+    )
 
 
 def producer(spark: SparkSession, d: str) -> DataFrame:
